@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import common, exact_dedup, simhash, tokens
+from tallyforge.llm import common, exact_dedup, langid, mixing, packing, quality, simhash, tokens
 
 END_ID = 2
 
@@ -20,6 +20,22 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(parts, folder)
 
 
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.documents(spark, sf_dir))
+
+
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.documents(spark, sf_dir))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(common.documents(spark, sf_dir))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(common.documents(spark, sf_dir))
 
@@ -30,6 +46,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": op2_token_output,
+    "op3_pfair_mix": op3_pfair_mix,
+    "op4_best_fit": op4_best_fit,
+    "op5_language": op5_language,
+    "op8_quality": op8_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_simhash": op9_simhash,
 }
