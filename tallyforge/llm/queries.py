@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import common, exact_dedup, langid, mixing, packing, quality, simhash, tokens
+from tallyforge.llm import common, exact_dedup, langid, mixing, packing, pii, quality, simhash, tokens
 
 END_ID = 2
+#: The queries' key; a real run brings its own.
+PII_KEY = "demonstration key"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(common.documents(spark, sf_dir), key=PII_KEY)
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +51,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_token_output": op2_token_output,
     "op3_pfair_mix": op3_pfair_mix,
     "op4_best_fit": op4_best_fit,
