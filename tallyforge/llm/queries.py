@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import common, exact_dedup, langid, mixing, packing, pii, quality, simhash, tokens
+from tallyforge.llm import common, exact_dedup, langid, mixing, packing, pii, quality, simhash, suffixes, tokens
 
 END_ID = 2
 #: The queries' key; a real run brings its own.
@@ -38,6 +38,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(common.documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(common.documents(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pfair_mix": op3_pfair_mix,
     "op4_best_fit": op4_best_fit,
     "op5_language": op5_language,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_quality": op8_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_simhash": op9_simhash,
