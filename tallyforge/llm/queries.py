@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import common, exact_dedup, langid, mixing, packing, pii, quality, simhash, suffixes, tokens
+from tallyforge.llm import common, exact_dedup, langid, mixing, packing, pii, quality, search, simhash, suffixes, tokens
 
 END_ID = 2
 #: The queries' key; a real run brings its own.
@@ -54,6 +54,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, sf_dir), words=3, distance=3)
 
 
+def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return search.search(docs, docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_token_output": op2_token_output,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_simhash": op9_simhash,
+    "op10_bm25_search": op10_bm25_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
