@@ -96,9 +96,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: in
         order = rng.permutation(len(rows))
         for i in range(0, len(order), batch):
             chosen = [rows[k] for k in order[i : i + batch]]
-            at = np.concatenate([b for b, _, _ in chosen])
+            at = np.concatenate([b for b, _, _ in chosen]).astype(np.int64)
             owner = np.repeat(np.arange(len(chosen)), [len(b) for b, _, _ in chosen])
-            share = np.concatenate([c / max(1, c.sum()) for _, c, _ in chosen]).astype(np.float32)
+            share = np.concatenate([c / max(1, int(c.sum())) for _, c, _ in chosen]).astype(np.float32)
             mean = np.stack([np.bincount(owner, share * vectors[at, k], len(chosen)) for k in range(dim)], axis=1).astype(np.float32)
             out = mean @ layer + bias
             p = np.exp(out - out.max(axis=1, keepdims=True))
@@ -115,14 +115,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: in
 
 
 def histograms(rows: DataFrame) -> DataFrame:
-    """buckets and counts (little-endian uint32 bytes) and label of rows (text, label)."""
+    """buckets and counts (little-endian uint16 bytes; counts above its range are its greatest) and label of rows (text, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             texts = common.byte_texts(batch.column("text"))
             kinds = features(texts)
             each = [np.unique(np.concatenate([bucket[lo[i] : hi[i]] for bucket, lo, hi in kinds]), return_counts=True) for i in range(len(texts))]
-            part = lambda k: pa.array([x[k].astype("<u4").tobytes() for x in each], pa.binary())
+            part = lambda k: pa.array([np.minimum(x[k], 65535).astype("<u2").tobytes() for x in each], pa.binary())
             yield pa.RecordBatch.from_arrays([part(0), part(1), batch.column("label")], names=["buckets", "counts", "label"])
 
     return rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(run, "buckets binary, counts binary, label int")
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # sample_rows bounds it
     found = histograms(texts).orderBy(F.xxhash64("buckets", "counts")).collect()
-    return fit([(np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float32), y) for b, c, y in found])
+    return fit([(np.frombuffer(b, "<u2"), np.frombuffer(c, "<u2"), y) for b, c, y in found])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
