@@ -160,27 +160,45 @@ def pieces(found: DataFrame) -> DataFrame:
     return found.select("packed", "key", "spans").mapInArrow(run, "key long, span long, lead binary, text binary, hot boolean")
 
 
-def multikey(flat: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Whether the width-byte string at each start equals that at another: a multikey sort by eight-byte tokens in which those alone with their key leave."""
+def multikey(flat: np.ndarray, starts: np.ndarray, width: int = WIDTH, tokens: int = 4) -> np.ndarray:
+    """Whether the width-byte string at each start equals that at another.
+
+    A multikey sort: by eight-byte tokens, group by group, and those alone with their key leave. After
+    the leading tokens the rest of the string is one token, its hash, and what then stands together
+    is compared byte for byte. Strings whose whole hash is unique don't take part.
+    """
     words = np.zeros(len(flat) + 8, U)
     padded = np.concatenate([flat, np.zeros(16, np.uint8)]).astype(U)
     for i in range(8):
         words = words << U(8) | padded[i : i + len(words)]
-    alive, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    for depth in range(0, width, 8):
+    total, down = _running(flat, PIECE_BASE)
+    whole = (total[starts + width] - total[starts]) * down[starts]
+    order = np.argsort(whole)
+    same = whole[order[1:]] == whole[order[:-1]]
+    alive = np.sort(order[np.concatenate([same, [False]]) | np.concatenate([[False], same])])
+    out, group = np.zeros(len(starts), bool), np.zeros(len(alive), np.int64)
+    keys = [words[starts + d] for d in range(0, min(width - 7, 8 * tokens), 8)]
+    for token in (*keys, whole):
         if not len(alive):
-            break
-        token = words[starts[alive] + depth]
-        if width - depth < 8:
-            token = token >> U(8 * (8 - width + depth))
-        order = np.argsort(token, kind="stable")
-        order = order[np.argsort(group[order], kind="stable")]
-        alive, group, token = alive[order], group[order], token[order]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (token[1:] != token[:-1])])
-        group = np.cumsum(new) - 1
+            return out
+        key = token[alive]
+        order = np.argsort(key, kind="stable")
+        if group[-1]:
+            order = order[np.argsort(group[order], kind="stable")]
+        alive, group, key = alive[order], group[order], key[order]
+        group = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])) - 1
         more = np.bincount(group)[group] > 1
-        alive, group = alive[more], group[more]
-    out = np.zeros(len(starts), bool)
+        alive, group = alive[more], np.unique(group[more], return_inverse=True)[1]
+    at, next_to = starts[alive], group[1:] == group[:-1]
+    left, right = at[:-1][next_to], at[1:][next_to]
+    for d in (*range(0, width - 7, 8), width - 8):
+        if width < 8 or (words[left + d] != words[right + d]).any():  # unequal strings of one hash, or short ones: compare each
+            seen: dict[bytes, int] = {}
+            text = flat.tobytes()
+            for i in alive:
+                seen[text[starts[i] : starts[i] + width]] = seen.get(text[starts[i] : starts[i] + width], 0) + 1
+            out[alive] = [seen[text[starts[i] : starts[i] + width]] > 1 for i in alive]
+            return out
     out[alive] = True
     return out
 
