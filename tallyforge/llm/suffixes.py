@@ -276,7 +276,8 @@ def sort_single(contested: DataFrame) -> DataFrame:
             yield out(held, np.array([before is not None and before == tuple(int(r[0]) for r in held[:3])]))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    suffixes = contested.select("key", "span", "text").mapInArrow(split, "token long, high long, low long, key long, at long")
+    evenly = contested.select("key", "span", "text").repartition(parts)
+    suffixes = evenly.mapInArrow(split, "token long, high long, low long, key long, at long")
     order = ["token", "high", "low", "key", "at"]
     compared = common.stored(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, "token long, high long, low long, key long, at long, again boolean, part int"))
     name = F.struct("token", "high", "low")
