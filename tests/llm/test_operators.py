@@ -268,11 +268,13 @@ def test_search_is_exact(spark, docs, odd, empty, monkeypatch):
     from collections import Counter
 
     df = Counter(w for _, t in rows for w in set(brute.words(t)))
+    mean = sum(len(brute.words(t)) for _, t in rows) / len(rows)
     code = {w: int(np.int64(search.terms([w.encode()])[1].view(np.int64)[0])) for w in df}
     chosen = {}
     for q, t in ((d, t) for d, t in rows if d % 20 == 0):
         tf = Counter(w for w in brute.words(t) if df[w] >= 2)
-        worth = sorted(tf, key=lambda w: (-tf[w] * math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)), code[w]))
+        n = len(brute.words(t)) / mean
+        worth = sorted(tf, key=lambda w: (-math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * n)), code[w]))
         chosen[q] = worth[: search.QUERY_TERMS]
     want = {q: x for q, x in brute.bm25(rows, chosen).items() if x}
     assert got.keys() == want.keys()
