@@ -63,10 +63,14 @@ def guard(expected: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame
     return expected.join(answers, keys, "left").select(*keys, F.when(F.col("answer").eqNullSafe(F.col("expected")), F.col("expected")).otherwise("manual_review").alias("verdict"))
 
 
-@F.pandas_udf("double")
-def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+def likeness(a: Column, b: Column) -> Column:
     """G-28: the sequence ratio (twice the matching blocks' length over both lengths); no edit distance equals it."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return ratio(a, b)
 
 
 def consensus(readings: DataFrame, fuzzy: bool = False) -> DataFrame:
