@@ -1,15 +1,17 @@
 """Pairing of bill lines with receipt lines (J-14..J-20).
 
 Tolerance joins are always keyed by document, never across. Order-dependent assignment (a line that
-is paired takes its receipt line away from later ones) folds over one document's candidates in a
-grouped map; a document has at most a few thousand lines, and its candidate pairs are made inside.
+is paired takes its receipt line away from later ones) folds over one document's rows at a time; a document has at most a few thousand lines, and its candidate pairs are made inside.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from tallyforge import config
 from tallyforge.functions import normalize as N
 
 PAIR_SCHEMA = "doc_id long, line_no long, rcv_line long, lot long, step int"
+PAIR_NAMES = ["doc_id", "line_no", "rcv_line", "lot", "step"]
+PAIR_TYPES = [pa.int64()] * 4 + [pa.int32()]
 
 
 def price_pairs(lines: DataFrame, active: DataFrame) -> DataFrame:
@@ -34,24 +38,52 @@ def mutually_unique(lines: DataFrame, active: DataFrame) -> DataFrame:
     return pairs.where("n_line = 1").join(rival, ["doc_id", "price_c"]).where("n_price = 1").select("doc_id", "line_no", "rcv_line", "lot")
 
 
+def folded(lines: DataFrame, active: DataFrame, fold: Callable[[list[dict], list[dict]], Iterable[tuple]]) -> DataFrame:
+    """The pairs that fold(bill lines, receipt lines) gives for each document, both in order; a task holds one document at a time."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            yield from batch.to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PAIR_TYPES, strict=True)], names=PAIR_NAMES)
+
+        for doc, group in groupby(rows(batches), key=lambda r: r["doc_id"]):
+            sides: tuple[list[dict], list[dict]] = ([], [])
+            for r in group:
+                sides[r["side"]].append(r)
+            out += [(doc, *pair) for pair in fold(*sides)]
+            if len(out) >= 10_000:
+                yield made()
+                out = []
+        yield made()
+
+    both = lines.withColumn("side", F.lit(0)).unionByName(active.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    return both.repartition("doc_id").sortWithinPartitions("doc_id", "side", "line_no", "rcv_line", "lot").mapInArrow(run, PAIR_SCHEMA)
+
+
 def ordered_m1(lines: DataFrame, active: DataFrame) -> DataFrame:
     """J-14 exactly: lines in order, each taking its one candidate away; a line isn't looked at twice."""
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("line_no"), right.sort_values(["rcv_line", "lot"])
-        price = dict(zip(left["line_no"], left["price_c"], strict=True))
-        free = {(r.rcv_line, r.lot): (r.rcv_price_c, r.unit) for r in right.itertuples()}
-        out = []
-        for row in left.itertuples():
-            mine = [k for k, (p, u) in free.items() if p == row.price_c and (pd.isna(row.unit) or u == row.unit)]
-            if len(mine) == 1 and not any(p == free[mine[0]][0] for n, p in price.items() if n != row.line_no):
-                out.append((key[0], row.line_no, *mine[0], 1))
-                del free[mine[0]], price[row.line_no]
-        return pd.DataFrame(out, columns=["doc_id", "line_no", "rcv_line", "lot", "step"])
+    def fold(bills: list[dict], receipts: list[dict]) -> Iterator[tuple]:
+        waiting = Counter(b["price_c"] for b in bills)
+        free: dict[int, list[dict]] = defaultdict(list)
+        for r in receipts:
+            free[r["rcv_price_c"]].append(r)
+        for b in bills:
+            mine = [r for r in free[b["price_c"]] if b["unit"] is None or r["unit"] == b["unit"]]
+            if len(mine) == 1 and waiting[b["price_c"]] == 1:
+                yield b["line_no"], mine[0]["rcv_line"], mine[0]["lot"], 1
+                free[b["price_c"]].remove(mine[0])
+                waiting[b["price_c"]] -= 1
 
     a = lines.select("doc_id", "line_no", "price_c", N.v66_uom_group(F.col("uom")).alias("unit"))
     b = active.select("doc_id", "rcv_line", "lot", "rcv_price_c", N.v66_uom_group(F.col("rcv_uom")).alias("unit"))
-    return a.groupBy("doc_id").cogroup(b.groupBy("doc_id")).applyInPandas(run, PAIR_SCHEMA)
+    return folded(a, b, fold)
 
 
 def exact_values(lines: DataFrame, active: DataFrame) -> DataFrame:
@@ -90,9 +122,7 @@ def ladder(lines: DataFrame, active: DataFrame) -> DataFrame:
     first one.
     """
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        bills = left.sort_values("line_no").to_dict("records")
-        receipts = right.sort_values(["rcv_line", "lot"]).to_dict("records")
+    def fold(bills: list[dict], receipts: list[dict]) -> list[tuple]:
         whole = bool(bills) and bills[0]["sub_total_c"] is not None and bills[0]["sub_total_c"] > 0 and abs(bills[0]["sub_total_c"] - sum(r["rcv_amount_c"] for r in receipts)) <= 100
         score = lambda b, r: description_score(b["description"], r["item_no"], r["item_text"])
         price, qty = (lambda b, r: b["price_c"] == r["rcv_price_c"]), (lambda b, r: b["qty"] == r["rcv_qty"])
@@ -119,16 +149,15 @@ def ladder(lines: DataFrame, active: DataFrame) -> DataFrame:
                 if fits:
                     best = max(fits, key=lambda i, b=b, worth=worth: (worth(b, receipts[i]), -i))
                     free.remove(best)
-                    out.append((key[0], b["line_no"], receipts[best]["rcv_line"], receipts[best]["lot"], number))
+                    out.append((b["line_no"], receipts[best]["rcv_line"], receipts[best]["lot"], number))
                 elif number == len(steps) and receipts:
-                    out.append((key[0], b["line_no"], receipts[0]["rcv_line"], receipts[0]["lot"], number))
+                    out.append((b["line_no"], receipts[0]["rcv_line"], receipts[0]["lot"], number))
                 else:
                     rest.append(b)
             open_lines = rest
-        return pd.DataFrame(out, columns=["doc_id", "line_no", "rcv_line", "lot", "step"])
+        return out
 
-    receipts = active.withColumn("of_doc", F.col("doc_id") + 0).drop("doc_id")  # lines and receipts may come from one table
-    return lines.groupBy("doc_id").cogroup(receipts.groupBy("of_doc")).applyInPandas(run, PAIR_SCHEMA)
+    return folded(lines, active, fold)
 
 
 def proposals(lines: DataFrame, receipts: DataFrame, least: float = 0.34) -> DataFrame:

@@ -30,6 +30,16 @@ def deduplicated(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
+#: The only state store that keeps typed state variables.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def keyed(stream: DataFrame, processor: StatefulProcessor, schema: str, mode: str, time: str) -> DataFrame:
+    for name, value in STATE_STORE.items():
+        stream.sparkSession.conf.set(name, value)
+    return stream.groupBy("external_id").transformWithStateInPandas(processor, schema, mode, time)
+
+
 class Latest(StatefulProcessor):
     """S-02: passes on revisions above all before of their document."""
 
@@ -50,7 +60,7 @@ class Latest(StatefulProcessor):
 
 def monotone(stream: DataFrame) -> DataFrame:
     """S-02 for a stream of (external_id, event_id, revision)."""
-    return stream.groupBy("external_id").transformWithStateInPandas(Latest(), "external_id long, event_id long, revision long", "Append", "None")
+    return keyed(stream, Latest(), "external_id long, event_id long, revision long", "Append", "None")
 
 
 class Workflow(StatefulProcessor):
@@ -83,7 +93,7 @@ class Workflow(StatefulProcessor):
 def workflow(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """A document's state after each batch that has actions of it."""
     mode = "ProcessingTime" if ttl_ms else "None"
-    return stream.groupBy("external_id").transformWithStateInPandas(Workflow(ttl_ms), store.STATE_SCHEMA, "Update" if not ttl_ms else "Append", mode)
+    return keyed(stream, Workflow(ttl_ms), store.STATE_SCHEMA, "Update" if not ttl_ms else "Append", mode)
 
 
 def upserted(stream: DataFrame, path: str, checkpoint: str):
@@ -96,9 +106,15 @@ def upserted(stream: DataFrame, path: str, checkpoint: str):
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
-    """All that a stream gives for what is there now, as a table."""
-    spark = stream.sparkSession
-    out = scratch(spark, name)
-    q = upserted(stream, f"{out}/table", f"{out}/checkpoint")
-    q.awaitTermination()
+    """All that a stream gives for what is there now, as a table.
+
+    Batches without data are off meanwhile: state with a time to live would ask for them for ever.
+    """
+    spark, quiet = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    out, before = scratch(spark, name), stream.sparkSession.conf.get(quiet)
+    spark.conf.set(quiet, "false")
+    try:
+        upserted(stream, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(quiet, before)
     return spark.read.parquet(f"{out}/table").drop("batch")
