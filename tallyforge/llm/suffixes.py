@@ -43,8 +43,9 @@ WIDTH = 200
 GRAM = 32
 HOT = 1500
 SCREEN_BITS = 1 << 26
-#: Windows that a bucket sorts at a time.
-SORT_WINDOWS = 1 << 20
+#: Bytes of pieces that a bucket sorts at a time (all of one lead stay together), and windows of a text whose units are found at a time.
+SORT_BYTES = 1 << 20
+CHUNK = 1 << 17
 GRAM_BASE, PIECE_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 U = np.uint64
 
@@ -71,10 +72,18 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start, anchor, gram and piece hash of each unit of a text."""
+    """First and last window start, anchor, gram and piece hash of each unit of a text; a unit ends with its chunk, which contests it but loses nothing."""
     if len(text) < WIDTH:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 2
-    flat, span = np.frombuffer(text, np.uint8), WIDTH - GRAM + 1
+    flat, found = np.frombuffer(text, np.uint8), []
+    for at in range(0, len(text) - WIDTH + 1, CHUNK):
+        first, last, anchor, gram, piece = _units(flat[at : at + CHUNK + WIDTH - 1])
+        found.append((first + at, last + at, anchor + at, gram, piece))
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _units(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    span = WIDTH - GRAM + 1
     total, down = _running(flat, GRAM_BASE)
     gram = _mixed((total[GRAM:] - total[:-GRAM]) * down[: len(total) - GRAM])
     m = len(gram)
@@ -229,11 +238,11 @@ def sort_buckets(contested: DataFrame) -> DataFrame:
         rows, size, last = [], 0, None
         for batch in batches:
             for key, span, lead, text in zip(*(batch.column(c).to_pylist() for c in ("key", "span", "lead", "text")), strict=True):
-                if lead != last and size >= SORT_WINDOWS:  # equal windows have equal leads
+                if lead != last and size >= SORT_BYTES:  # equal windows have equal leads
                     yield solve(rows)
                     rows, size = [], 0
                 rows.append((key, span, text))
-                size, last = size + len(text) - WIDTH + 1, lead
+                size, last = size + len(text), lead
         if rows:
             yield solve(rows)
 
