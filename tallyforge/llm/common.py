@@ -42,6 +42,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session hands Python workers batches of few rows, so that buffers outside the heap stay small."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        df.sparkSession.conf.set(name, str(most))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` bytes of `column` each, or of one row."""
     for batch in batches:

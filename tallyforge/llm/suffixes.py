@@ -349,7 +349,7 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = common.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
     ranges = table(repeated_ranges(rows), "ranges")
     lists = ranges.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     found = packed(rows, bitmap(ranges, "key"), all_rows=True).join(lists, "key", "left")
