@@ -74,3 +74,26 @@ def bm25(rows, chosen, k=10, k1=1.2, b=0.75):
                 hits.append((-sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * (k1 + 1) / (c[w] + k1 * (1 - b + b * n / mean)) for w in ws if w in c), d))
         out[q] = [(d, -s) for s, d in sorted((round(s, 9), d) for s, d in hits)[:k]]
     return out
+
+
+def near_kept(rows, width=5):
+    """Smallest ids of the classes of all pairs whose shingles' Jaccard similarity is 0.8 or more."""
+    sets = []
+    for _, t in rows:
+        found = words(t)
+        sets.append({tuple(found[i : i + width]) for i in range(max(1, len(found) - width + 1))})
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return set(least.values())

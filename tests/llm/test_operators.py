@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tallyforge.llm import common, exact_dedup, fuse, langid, mixing, packing, pii, quality, queries, search, simhash, suffixes, tokens  # noqa: E402
+from tallyforge.llm import common, exact_dedup, fuse, langid, mixing, packing, pii, quality, queries, resemblance, search, simhash, suffixes, tokens  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 PASSAGE = "the quick brown fox jumps over the lazy dog and then it does so again and again " * 5
@@ -298,3 +298,22 @@ def test_pipeline_keeps_one_of_each_and_packs_all(spark):
     assert len({" ".join((t or "").split()) for _, t in rows}) == len(rows)
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SMALL).collect()
     assert {r.doc_id for r in packed} == {d for d, _ in rows}
+
+
+def test_near_stage_links_all_of_similarity_four_fifths(spark, odd, docs, monkeypatch):
+    rng = np.random.default_rng(11)
+    some = [(r.doc_id, r.text) for r in docs.limit(60).collect()]
+    for i in range(40):  # copies with one to twelve of their 200 words replaced
+        base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for j in range(4):
+            for at in rng.choice(200, rng.integers(1, 13), replace=False):
+                base[at] = f"n{rng.integers(0, 5000)}"
+            some.append((1000 + 10 * i + j, " ".join(base)))
+    hot = [f"h{x}" for x in range(100)]
+    some += [(2000 + i, " ".join(hot[:50] + [f"only{i}"] + hot[50:])) for i in range(30)] + [(3000 + i, " ".join(hot) + "".join(f" u{i}x{j}" for j in range(60))) for i in range(30)]
+    table = spark.createDataFrame(some, "doc_id long, text string")
+    for frequent in (4, 10**9):
+        monkeypatch.setattr(resemblance, "FREQUENT", frequent)
+        got = {r.doc_id for r in corpus_pipeline.near_stage(spark, table, SMALL).collect()}
+        assert got == brute.near_kept(some)
+    assert corpus_pipeline.near_stage(spark, odd.where("false"), SMALL).collect() == []
