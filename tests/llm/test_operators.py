@@ -317,3 +317,33 @@ def test_near_stage_links_all_of_similarity_four_fifths(spark, odd, docs, monkey
         got = {r.doc_id for r in corpus_pipeline.near_stage(spark, table, SMALL).collect()}
         assert got == brute.near_kept(some)
     assert corpus_pipeline.near_stage(spark, odd.where("false"), SMALL).collect() == []
+
+
+def test_search_of_whole_texts_is_exact(spark, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in common.documents(spark, SMALL).collect()]
+    monkeypatch.setattr(search, "SHARD_DOCS", 60)
+    got = {}
+    for r in queries.op10_bm25_search(spark, SMALL).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, round(r.score, 6)))
+    want = brute.bm25(rows, {d: sorted(set(brute.words(t))) for d, t in rows if d % 20 == 0})
+    assert got == {q: [(d, round(s, 6)) for d, s in x] for q, x in want.items() if x}
+    alone = spark.createDataFrame([(1, "unheard of words"), (2, "other things")], "doc_id long, text string")
+    assert {r.query_id: r.doc_id for r in search.search(alone, alone.selectExpr("doc_id AS query_id", "text"), n_terms=None, min_docs=1).collect()} == {1: 1, 2: 2}
+
+
+def test_words_left_aside_change_no_hit():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 150) if x < 5000).encode() for _ in range(700)]
+    of, term, tf, n = search.counted(texts)
+    shard = search.Shard.build(list(range(len(texts))), [n], [(of, term, tf)])
+    shard.weigh(float(n.mean()))
+    df = np.diff(shard.offsets)
+    for q in range(0, 700, 35):
+        places = shard.at(term[of == q])
+        idf = np.log(1 + (700 - df[places] + 0.5) / (df[places] + 0.5))
+        score = shard.scores(places, idf, None)
+        order = np.lexsort((np.arange(700), -score))[:10]
+        for floor in (0.0, score[order[-1]], score[order[4]], score[order[0]]):
+            got, hits = shard.top(places, idf, 10, floor)
+            want = [d for d in order if score[d] >= floor]
+            assert hits.tolist() == want and np.allclose(got, score[want])
