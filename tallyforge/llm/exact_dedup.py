@@ -8,7 +8,9 @@ its bucket, and only positives join the snapshot's exact bucket, where the texts
 
 An empty batch or snapshot gives an empty result or no positives; of rows with equal text and the
 same least doc_id all carry that keep_id, and `kept` is true of each of them (repeated rows can't be
-told apart; deduplicate on doc_id after it where ids repeat). Other columns are not looked at.
+told apart; deduplicate on doc_id after it where ids repeat). Rows without an id never give their
+group's keep_id if another row has one, and aren't kept then; in a group without any id keep_id is
+null and every row is `kept`. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -78,7 +80,8 @@ def ingest(batch: DataFrame, snapshot: DataFrame, texts: DataFrame) -> DataFrame
     """digest, keep_id, size for the distinct digests of batch and snapshot together.
 
     batch, snapshot: as group() returns them; texts: doc_id and text of all their rows. The
-    snapshot's rows stay where a digest is in both and the texts' bytes are equal.
+    snapshot's rows stay where a digest is in both and the texts' bytes are equal; of a snapshot's
+    group without ids, the batch's keep_id.
     """
     buckets = max(LEAST_BUCKETS, -(-snapshot.count() // FILTER_KEYS))
     built = common.stored(filters(snapshot, buckets))
@@ -91,7 +94,7 @@ def ingest(batch: DataFrame, snapshot: DataFrame, texts: DataFrame) -> DataFrame
     held = snapshot.select("digest", F.col("keep_id").alias("held_id"), F.col("size").alias("held_size"))
     both = batch.join(held, "digest", "full").join(equal, "digest", "left")
     same = F.col("equal") | F.col("keep_id").isNull()
-    return both.select("digest", F.when(same, F.col("held_id")).otherwise(F.col("keep_id")).alias("keep_id"), (F.coalesce("size", F.lit(0)) + F.coalesce("held_size", F.lit(0))).alias("size"))
+    return both.select("digest", F.when(same, F.least("held_id", "keep_id")).otherwise(F.col("keep_id")).alias("keep_id"), (F.coalesce("size", F.lit(0)) + F.coalesce("held_size", F.lit(0))).alias("size"))
 
 
 def exact_duplicates(docs: DataFrame, batches: int = 2) -> DataFrame:

@@ -347,3 +347,19 @@ def test_words_left_aside_change_no_hit():
             got, hits = shard.top(places, idf, 10, floor)
             want = [d for d in order if score[d] >= floor]
             assert hits.tolist() == want and np.allclose(got, score[want])
+
+
+def test_rows_without_id_stay_if_their_text_is_theirs_alone(spark):
+    same, near = "a text that two rows hold", " ".join(f"w{i}" for i in range(100))
+    rows = [(None, same), (1, "one"), (2, "two"), (3, "three"), (4, same), (5, same), (None, "alone"), (None, "x  y"), (None, "x y"), (6, near), (None, near + " end")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.exact_duplicates(table).collect()
+    assert len(got) == len(rows)
+    key = {r.text: r.h for r in table.select("text", F.lower(F.hex(exact_dedup.digest(F.col("text")))).alias("h")).collect()}
+    of = lambda t: sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got if r.text_sha256 == key[t]), key=str)
+    assert of(same) == [(4, 4, 3, True), (5, 4, 3, False), (None, 4, 3, False)]
+    assert of("alone") == [(None, None, 1, True)]
+    exact = common.stored(corpus_pipeline.exact_stage(spark, table, SMALL))
+    assert sorted((str(r.doc_id), " ".join(r.text.split())) for r in exact.collect()) == sorted([("1", "one"), ("2", "two"), ("3", "three"), ("4", same), ("None", "alone"), ("None", "x y"), ("6", near), ("None", near + " end")])
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, exact, SMALL).collect()]
+    assert (None, "alone") in kept and (6, near) in kept and len(kept) == 7
