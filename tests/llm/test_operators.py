@@ -363,3 +363,32 @@ def test_rows_without_id_stay_if_their_text_is_theirs_alone(spark):
     assert sorted((str(r.doc_id), " ".join(r.text.split())) for r in exact.collect()) == sorted([("1", "one"), ("2", "two"), ("3", "three"), ("4", same), ("None", "alone"), ("None", "x y"), ("6", near), ("None", near + " end")])
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, exact, SMALL).collect()]
     assert (None, "alone") in kept and (6, near) in kept and len(kept) == 7
+
+
+def test_packing_follows_the_mix(spark, docs, tmp_path, monkeypatch):
+    mixed = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda d, w=None: mixed(d, w, block_bytes=4096))
+    two = docs.where("source is not null").orderBy("source").select("source").distinct().limit(2).collect()
+    one, other = two[0].source, two[1].source
+    table, means = docs.where(F.col("source").isin(one, other)), []
+    for favoured, rest in ((one, other), (other, one)):
+        weights = spark.createDataFrame([(favoured, 50.0), (rest, 1.0)], "source string, weight double")
+        at = str(tmp_path / favoured)
+        corpus_pipeline.mix_stage(spark, table, SMALL, weights).write.parquet(at)
+        slot = {r.doc_id: (r.slot, r.doc_id) for r in mixing.mix(table, weights).collect()}
+        for read in (spark.read.parquet(at), common.stored(table.join(spark.createDataFrame([(d, s) for d, (s, _) in slot.items()], "doc_id long, slot long"), "doc_id").orderBy("slot", "doc_id").select(table["*"]))):
+            got = packing.pack(read, group_items=10, ordered=True).collect()
+            order = sorted(slot, key=slot.get)
+            count = {d: sum(r.doc_id == d for r in got) for d in order}
+            part, past = {}, 0
+            for d in order:
+                part[d] = sorted((past + i) // 10 for i in range(count[d]))
+                past += count[d]
+            assert {d: sorted(r.bin_id >> 32 for r in got if r.doc_id == d) for d in order} == part
+        packed = corpus_pipeline.pack_stage(spark, spark.read.parquet(at), SMALL).collect()
+        first = {}
+        for r in packed:
+            first[r.bin_id] = min(first.get(r.bin_id, slot[r.doc_id]), slot[r.doc_id])
+        assert [first[b] for b in sorted(first)] == sorted(first.values())
+        means.append([r.bin_id for r in sorted(packed, key=lambda r: (r.doc_id, r.piece))])
+    assert means[0] != means[1]
