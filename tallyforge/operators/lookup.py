@@ -1,4 +1,6 @@
-"""Receipt lookups (J-01..J-13): equi-joins on spellings of keys, and cascades as prioritised unions.
+"""Receipt lookups (of J-01..J-13): equi-joins on spellings of keys, and cascades as prioritised unions.
+
+Not built: the tax predicate of J-01, J-04 and J-06, the three levels of J-09, the tax and invoice step of J-10.
 
 A cascade runs every lookup over all documents at once and keeps, for each document, the rows of the
 first that found any: one window over (document, priority), no loop over documents.
@@ -26,7 +28,7 @@ def spelled(header: DataFrame, policy: config.Policy = config.Policy()) -> DataF
 
 
 def by_invoice(header: DataFrame, heads: DataFrame) -> DataFrame:
-    """J-02, J-06: receipts booked under any spelling; the best spelling's mode is kept."""
+    """J-02, J-06 without its tax predicate: receipts booked under any spelling; the best spelling's mode is kept."""
     hit = spelled(header).join(heads, F.col("spelling") == F.col("booked_invoice"))
     mode = F.when(F.col("place") == 0, "EXACT").otherwise("NORMALIZED")
     return hit.groupBy("doc_id", "receipt_num", "n_rows", "supp").agg(F.min(mode).alias("match_mode"))

@@ -69,7 +69,7 @@ def v04_receipts(header: DataFrame, active: DataFrame, profile: str = "v66", mul
 
 
 def v05_entity(header: DataFrame, entity: DataFrame) -> DataFrame:
-    """J-11, J-12: the buyer is a known, active entity with this tax id; its name after normalising."""
+    """J-11, J-12 by tax id only (no address, postal or branch check, no name similarity): a known, active entity with this tax id; its name after normalising."""
     from tallyforge.functions import normalize as N
 
     e = entity.select("org_id", F.col("tax_id").alias("known_tax"), "status", "legal_name")
