@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,11 +43,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df; from now on its session hands Python workers batches of few rows, so that buffers outside the heap stay small."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
-        df.sparkSession.conf.set(name, str(most))
-    return df
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, the session hands Python workers batches of few rows, so that buffers outside the heap stay small; what is run later has the caller's settings again."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, most in settings.items():
+            spark.conf.set(name, most)
+        yield
+    finally:
+        for name, most in before.items():
+            spark.conf.set(name, most)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

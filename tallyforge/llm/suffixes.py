@@ -3,24 +3,28 @@
 Sorting every suffix of a corpus would ship WIDTH bytes for each byte of text, so suffixes are first
 screened without loss. A window (WIDTH bytes) is represented by its anchor, the place of the least
 hash among its grams of GRAM bytes, leftmost of equal ones; neighbouring windows of one anchor are a
-unit. Equal windows have equal anchors at equal places, so
-
-  * a unit whose gram occurs once in the corpus has no repeated window;
-  * a unit whose whole piece (all its windows together) occurs again is repeated throughout;
-  * the others, next to where a repetition begins or ends, are contested: one unit for each
-    different piece of a gram goes on to the suffix sort.
-
-Contested suffixes are range-partitioned by their leading tokens (the gram's bytes, with splitters
-that Spark samples), and each bucket is sorted by multikey quicksort, eight bytes at a time: suffixes
-that are alone with their key leave, and what is left together after WIDTH bytes is repeated. Grams
-with over HOT different pieces (a passage that many documents share, at its ends) would fill a
-bucket; their suffixes are range-partitioned one by one, by leading token, 128-bit digest and
-position, so that even equal ones spread, and are compared along each bucket and across the
-boundaries between buckets.
-
-Screens in memory are bitmaps of fixed size (SCREEN_BITS): a false hit costs time, never a result.
-Null is empty; texts under WIDTH bytes repeat nothing themselves; repeated rows are each other's
-copies; an empty table gives an empty result; other columns are not looked at.
+unit, and their bytes together its piece. Equal windows have equal anchors at equal places, so a unit
+whose gram occurs once in the corpus has no repeated window.
+
+Units of equal piece (by gram hash and the piece's own hash, 128 bits together) are a class. What of
+a class is repeated is decided for two of its pieces, or for its only one, by the suffix sort, and
+holds for all its units. The sort range-partitions the pieces by their leading tokens (the bytes at
+the anchor, with splitters that Spark samples). Within a bucket, pieces come in order, so equal
+ones are neighbours and are compared byte for byte: all their windows are repeated. The suffixes of
+different pieces of one lead are sorted by multikey quicksort, eight bytes at a time: those alone
+with their key leave, and what is left together after WIDTH bytes is repeated.
+
+A lead of over HEAVY different pieces (a passage that many documents share, at its ends) would fill
+a bucket. Such pieces are first split by their bytes on both sides of the anchor, into blocks of
+BLOCK windows; a block whose core (the bytes that all its windows have) no other piece has is left
+out, as nothing in it can be repeated, and the suffixes of the others are range-partitioned one by
+one, by all their bytes and then their place, so that even equal ones spread, and are compared along
+each bucket and across the boundaries between buckets.
+
+Which texts are shipped is screened by a bitmap of fixed size (SCREEN_BITS): a false hit costs time,
+never a result. Null is empty; texts under WIDTH bytes repeat nothing themselves; repeated rows are
+each other's copies; texts of any length are cut into chunks of CHUNK windows and lose nothing by it;
+an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,7 +45,8 @@ from tallyforge.llm import common
 
 WIDTH = 200
 GRAM = 32
-HOT = 1500
+HEAVY = 4096
+BLOCK = 16
 SCREEN_BITS = 1 << 26
 #: Bytes of pieces that a bucket sorts at a time (all of one lead stay together), and windows of a text whose units are found at a time.
 SORT_BYTES = 1 << 20
@@ -94,8 +99,8 @@ def _units(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     at = (np.minimum(behind[: m - span + 1], ahead[span - 1 : m]) & U((1 << 40) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last, anchor = np.append(first[1:], len(at)) - 1, at[first]
-    total, down = _running(flat, PIECE_BASE)
-    piece = _mixed((total[last + WIDTH] - total[first]) * down[first] + (anchor - first).astype(U) * U(0x1B873593) + (last - first).astype(U))
+    whole = flat.tobytes()
+    piece = np.fromiter((xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(first.tolist(), (last + WIDTH).tolist(), strict=True)), U, len(first))
     return first, last, anchor, gram[anchor], piece
 
 
@@ -114,23 +119,18 @@ def bitmap(values: DataFrame, column: str) -> np.ndarray:
     return screen
 
 
-def anchors(rows: DataFrame, screen: np.ndarray | None) -> DataFrame:
-    """gram alone, or, with a screen of grams, gram, piece, key, span of the units that it lets pass, from (key, text)."""
-    held = rows.sparkSession.sparkContext.broadcast(screen)
+def anchors(rows: DataFrame) -> DataFrame:
+    """gram, piece, key, span of every unit, from (key, text)."""
     signed = lambda x: pa.array(x.view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             found, keys = [units(t) for t in common.byte_texts(batch.column("text"))], batch.column("key").to_numpy(zero_copy_only=False)
             first, last, _, gram, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-            if screen is None:
-                yield pa.RecordBatch.from_arrays([signed(gram)], names=["gram"])
-                continue
             key = np.repeat(keys, [len(x[0]) for x in found])
-            some = _bit(held.value, gram)
-            yield pa.RecordBatch.from_arrays([signed(gram[some]), signed(piece[some]), pa.array(key[some]), pa.array((first << 8 | last - first)[some])], names=["gram", "piece", "key", "span"])
+            yield pa.RecordBatch.from_arrays([signed(gram), signed(piece), pa.array(key), pa.array(first << 8 | last - first)], names=["gram", "piece", "key", "span"])
 
-    return rows.mapInArrow(run, "gram long" if screen is None else "gram long, piece long, key long, span long")
+    return rows.mapInArrow(run, "gram long, piece long, key long, span long")
 
 
 def packed(rows: DataFrame, screen: np.ndarray, all_rows: bool) -> DataFrame:
@@ -148,25 +148,31 @@ def packed(rows: DataFrame, screen: np.ndarray, all_rows: bool) -> DataFrame:
     return rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n_bytes long, packed binary, sha string")
 
 
+PIECE_SCHEMA = "gram long, piece long, lead binary, anchor int, text binary, heavy boolean"
+
+
 def pieces(found: DataFrame) -> DataFrame:
-    """key, span, lead (the anchor's gram), text, hot of contested units, from (packed, key, spans)."""
+    """gram, piece, lead (the anchor's gram), anchor (its place), text, heavy of chosen units, from (packed, key, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["gram", "piece", "lead", "anchor", "text", "heavy"])
         for batch in common.slices(batches, "packed", 1 << 19):
             out = []
-            for blob, key, spans in zip(*(batch.column(c).to_pylist() for c in ("packed", "key", "spans")), strict=True):
+            for blob, spans in zip(*(batch.column(c).to_pylist() for c in ("packed", "spans")), strict=True):
                 text = unpress.decompress(blob)
                 first, _, anchor, _, _ = units(text)
                 where = dict(zip(first.tolist(), anchor.tolist(), strict=True))
                 for s in spans:
                     a, n = s["span"] >> 8, s["span"] & 255
-                    out.append((key, s["span"], text[where[a] : where[a] + GRAM], text[a : a + n + WIDTH], s["hot"]))
-            for i in range(0, len(out), 20_000):
-                cols = list(zip(*out[i : i + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["key", "span", "lead", "text", "hot"])
+                    out += [(s["gram"], s["piece"], text[where[a] : where[a] + GRAM], where[a] - a, text[a : a + n + WIDTH], s["heavy"])] * s["times"]
+                    if len(out) >= 10_000:
+                        yield made(out)
+                        out = []
+            if out:
+                yield made(out)
 
-    return found.select("packed", "key", "spans").mapInArrow(run, "key long, span long, lead binary, text binary, hot boolean")
+    return found.select("packed", "spans").mapInArrow(run, PIECE_SCHEMA)
 
 
 def multikey(flat: np.ndarray, starts: np.ndarray, width: int = WIDTH, tokens: int = 4) -> np.ndarray:
@@ -212,89 +218,124 @@ def multikey(flat: np.ndarray, starts: np.ndarray, width: int = WIDTH, tokens: i
     return out
 
 
-def _ranges(keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """key, lo, hi of runs of window starts, which must come in order for each key."""
-    if not len(at):
-        cut = np.zeros(0, np.int64)
-    else:
-        cut = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1] + 1)]))
+RANGE_SCHEMA = "gram long, piece long, lo int, hi int"
+
+
+def _ranges(gram: np.ndarray, piece: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """gram, piece, lo, hi of runs of window starts, which must come in order for each piece."""
+    cut = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else np.zeros(0, np.int64)
     end = np.append(cut[1:], len(at)) - 1 if len(cut) else cut
-    return pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(at[cut]), pa.array(at[end])], names=["key", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(gram[cut], pa.int64()), pa.array(piece[cut], pa.int64()), pa.array(at[cut], pa.int32()), pa.array(at[end], pa.int32())], names=["gram", "piece", "lo", "hi"])
 
 
-def sort_buckets(contested: DataFrame) -> DataFrame:
-    """key, lo, hi: ranges of repeated windows among pieces (key, span, lead, text), by leading tokens."""
+def sort_buckets(chosen: DataFrame) -> DataFrame:
+    """gram, piece, lo, hi: ranges of repeated windows, counted from each piece's own start, among pieces (gram, piece, lead, text), by leading tokens."""
 
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        flat = np.frombuffer(b"".join(t for _, _, t in rows), np.uint8)
-        n = np.array([len(t) - WIDTH + 1 for _, _, t in rows])
-        base = np.concatenate([[0], np.cumsum([len(t) for _, _, t in rows])[:-1]])
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        again = multikey(flat, np.repeat(base, n) + within)
-        at = np.repeat(np.array([s >> 8 for _, s, _ in rows]), n) + within
-        return _ranges(np.repeat(np.array([k for k, _, _ in rows], np.int64), n)[again], at[again])
+    def solve(rows: list[tuple[bytes, bytes, int, int]]) -> Iterator[pa.RecordBatch]:
+        """rows: in order of lead and text."""
+        again, single, alone = [], [], 0
+        for i, (lead, text, gram, piece) in enumerate(rows):
+            if i and rows[i - 1][:2] == (lead, text):
+                if not again or again[-1][:2] != (gram, piece):
+                    again.append((gram, piece, len(text) - WIDTH))
+                continue
+            if i and rows[i - 1][0] != lead and alone == 1:
+                single.pop()  # no other piece has its lead
+            alone = alone + 1 if i and rows[i - 1][0] == lead else 1
+            single.append((gram, piece, text))
+        if alone == 1:
+            single.pop()
+        if again:
+            gram, piece, last = zip(*again, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(piece, pa.int64()), pa.array([0] * len(last), pa.int32()), pa.array(last, pa.int32())], names=["gram", "piece", "lo", "hi"])
+        if single:
+            flat = np.frombuffer(b"".join(t for _, _, t in single), np.uint8)
+            size = np.array([len(t) for _, _, t in single])
+            n, base = size - WIDTH + 1, np.cumsum(size) - size
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            known = {r[:2] for r in again}
+            found = multikey(flat, np.repeat(base, n) + at) & np.repeat([r[:2] not in known for r in single], n)
+            of = np.repeat(np.arange(len(single)), n)[found]
+            gram, piece = (np.array([r[j] for r in single], np.int64)[of] for j in (0, 1))
+            yield _ranges(gram, piece, at[found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, last = [], 0, None
+        rows, size = [], 0
         for batch in batches:
-            for key, span, lead, text in zip(*(batch.column(c).to_pylist() for c in ("key", "span", "lead", "text")), strict=True):
-                if lead != last and size >= SORT_BYTES:  # equal windows have equal leads
-                    yield solve(rows)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("lead", "text", "gram", "piece")), strict=True):
+                if size >= SORT_BYTES and row[0] != rows[-1][0]:  # equal windows have equal leads
+                    yield from solve(rows)
                     rows, size = [], 0
-                rows.append((key, span, text))
-                size, last = size + len(text), lead
+                rows.append(row)
+                size += len(row[1])
         if rows:
-            yield solve(rows)
+            yield from solve(rows)
+
+    parts = int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chosen.select("lead", "text", "gram", "piece").repartitionByRange(parts, "lead").sortWithinPartitions("lead", "text")
+    return dealt.mapInArrow(run, RANGE_SCHEMA)
 
-    parts = int(contested.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = contested.select("key", "span", "lead", "text").repartitionByRange(parts, "lead").sortWithinPartitions("lead")
-    return dealt.mapInArrow(run, "key long, lo long, hi long")
 
+def blocks(heavy: DataFrame) -> DataFrame:
+    """high, low (digest of the core), text, gram, piece, at, n: BLOCK windows at most of each piece, cut at equal places before the anchor."""
 
-def sort_single(contested: DataFrame) -> DataFrame:
-    """The same for pieces of hot grams, suffix by suffix, compared along and across the buckets' boundaries."""
-    spark = contested.sparkSession
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda b: int.from_bytes(b, "big", signed=True)
+        for batch in common.slices(batches, "text", 1 << 17):
+            out = []
+            for text, anchor, gram, piece in zip(*(batch.column(c).to_pylist() for c in ("text", "anchor", "gram", "piece")), strict=True):
+                last = len(text) - WIDTH
+                for top in range((anchor - last) // BLOCK * BLOCK, anchor + 1, BLOCK):  # starts of windows that lie top to top + BLOCK - 1 before the anchor
+                    lo, hi = max(0, anchor - top - BLOCK + 1), min(last, anchor - top)
+                    core = xxhash.xxh3_128_digest(text[anchor - top : anchor - top - BLOCK + 1 + WIDTH] + top.to_bytes(2, "big"))
+                    out.append((core, text[lo : hi + WIDTH], gram, piece, lo, hi - lo + 1))
+            high, low = ([signed(r[0][i : i + 8]) for r in out] for i in (0, 8))
+            _, texts, gram, piece, at, n = zip(*out, strict=True) if out else ((),) * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((high, pa.int64()), (low, pa.int64()), (texts, pa.binary()), (gram, pa.int64()), (piece, pa.int64()), (at, pa.int32()), (n, pa.int32()))], names=["high", "low", "text", "gram", "piece", "at", "n"])
+
+    return heavy.select("text", "anchor", "gram", "piece").mapInArrow(run, "high long, low long, text binary, gram long, piece long, at int, n int")
+
+
+def sort_single(heavy: DataFrame) -> DataFrame:
+    """As sort_buckets(), for pieces of heavy leads: block by block, and then suffix by suffix, compared along and across the buckets' boundaries."""
+    spark = heavy.sparkSession
+    cut = table(blocks(heavy), "blocks")
+    text = cut.groupBy("high", "low", "text").agg(F.count("*").alias("times"), F.min(F.struct("gram", "piece", "at")).alias("of"))
+    core = text.groupBy("high", "low").agg((F.count("*") > 1).alias("shared"))
+    text = table(text.join(core, ["high", "low"]), "block-texts")
+    whole = cut.join(text.where("times > 1").select("text"), "text").distinct().select("gram", "piece", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1).cast("int").alias("hi"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 1 << 16):
-            out = []
-            for key, span, text in zip(*(batch.column(c).to_pylist() for c in ("key", "span", "text")), strict=True):
-                for i in range(len(text) - WIDTH + 1):
-                    digest = xxhash.xxh3_128_digest(text[i : i + WIDTH])
-                    out.append((int.from_bytes(text[i : i + 8], "big", signed=True), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), key, (span >> 8) + i))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["token", "high", "low", "key", "at"])
+            out = [(text[i : i + WIDTH], of["gram"], of["piece"], of["at"] + i) for text, of in zip(batch.column("text").to_pylist(), batch.column("of").to_pylist(), strict=True) for i in range(len(text) - WIDTH + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["suffix", "gram", "piece", "at"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every suffix with whether it equals a neighbour in its bucket, and whether it is equal to the bucket's first or last."""
-        part = TaskContext.get().partitionId()
-        held: list[np.ndarray] = []
-        out = lambda rows, again: pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows), pa.array(again), pa.array(np.full(len(again), part, np.int32))], names=["token", "high", "low", "key", "at", "again", "part"])
-        before = None
+        """The suffixes that equal a neighbour in their bucket, and the first and the last of the bucket, with the bucket's number."""
+        part, before, same, first, names = TaskContext.get().partitionId(), None, False, True, ["suffix", "gram", "piece", "at", "again", "part"]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()), strict=True)], names=names)
         for batch in batches:
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "high", "low", "key", "at")]
-            if held:
-                rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
-            same = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1]) & (rows[2][1:] == rows[2][:-1])
-            left = np.concatenate([[before is not None and before == tuple(int(r[0]) for r in rows[:3])], same])
-            again = left | np.concatenate([same, [False]])
-            if len(again) > 1:
-                yield out([r[:-1] for r in rows], again[:-1])
-                before = tuple(int(r[-2]) for r in rows[:3])
-            held = [r[-1:] for r in rows]
-        if held:
-            yield out(held, np.array([before is not None and before == tuple(int(r[0]) for r in held[:3])]))
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in names[:4]), strict=True):
+                if before is not None:
+                    equal = row[0] == before[0]
+                    if same or equal or first:
+                        out.append((before[0] if first else None, *before[1:], same or equal, part))
+                    first, same = False, equal
+                before = row
+            yield made(out)
+        if before is not None:
+            yield made([(*before, same, part)])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    evenly = contested.select("key", "span", "text").repartition(parts)
-    suffixes = evenly.mapInArrow(split, "token long, high long, low long, key long, at long")
-    order = ["token", "high", "low", "key", "at"]
-    compared = common.stored(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, "token long, high long, low long, key long, at long, again boolean, part int"))
-    name = F.struct("token", "high", "low")
-    ends = compared.groupBy("part").agg(F.min(name).alias("first"), F.max(name).alias("last")).orderBy("part").collect()  # two suffixes a bucket
-    straddling = sorted({tuple(a["last"]) for a, b in zip(ends, ends[1:], strict=False) if a["last"] == b["first"]})
-    across = spark.createDataFrame(straddling, "token long, high long, low long").withColumn("across", F.lit(True))
-    found = compared.join(F.broadcast(across), ["token", "high", "low"], "left").where("again or across")  # a row a bucket
-    return found.select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    suffixes = text.where("shared").select("text", "of").repartition(parts).mapInArrow(split, "suffix binary, gram long, piece long, at int")
+    order = ["suffix", "gram", "piece", "at"]
+    compared = table(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, "suffix binary, gram long, piece long, at int, again boolean, part int"), "suffixes")
+    ends = compared.where("suffix is not null").orderBy("part", "suffix", "gram", "piece", "at").collect()  # two suffixes a bucket
+    across = {(r.gram, r.piece, r.at) for a, b in zip(ends, ends[1:], strict=False) if a.part != b.part and a.suffix == b.suffix for r in (a, b)}
+    rows = spark.createDataFrame(sorted(across), "gram long, piece long, at int")
+    found = compared.where("again").select("gram", "piece", "at").unionByName(rows)
+    return whole.unionByName(found.select("gram", "piece", F.col("at").alias("lo"), F.col("at").alias("hi")))
 
 
 def finish(rows: DataFrame) -> DataFrame:
@@ -331,26 +372,28 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 def repeated_ranges(rows: DataFrame) -> DataFrame:
     """key, lo, hi: ranges of starts of repeated windows, from (key, text)."""
-    counted = anchors(rows.select("key", "text"), None).groupBy("gram").agg(F.count("*").alias("n"))
-    units_found = anchors(rows.select("key", "text"), bitmap(counted.where("n > 1"), "gram"))
-    by_piece = units_found.groupBy("gram", "piece").agg(F.count("*").alias("c"))
-    by_gram = by_piece.groupBy("gram").agg(F.count("*").alias("m"))
-    known = by_piece.join(by_gram, "gram").where("c > 1 or m > 1")
-    classed = table(units_found.join(known, ["gram", "piece"]).select("gram", "piece", "key", "span", F.col("c") > 1, (F.col("m") > 1).alias("contested"), (F.col("m") > HOT).alias("hot")).withColumnRenamed("(c > 1)", "again"), "units")
-    whole = classed.where("again").select("key", F.shiftright("span", 8).alias("lo"), (F.shiftright("span", 8) + F.col("span").bitwiseAND(255)).alias("hi"))
-    open_units = classed.where("contested")
-    one_each = open_units.where("again").groupBy("gram", "piece").agg(F.min(F.struct("key", "span", "hot")).alias("x")).select("x.*")
-    chosen = open_units.where("not again").select("key", "span", "hot").unionByName(one_each)
-    lists = chosen.groupBy("key").agg(F.collect_list(F.struct("span", "hot")).alias("spans"))
-    texts = packed(rows, bitmap(chosen, "key"), all_rows=False).select("key", "packed")
-    contested = table(pieces(texts.join(lists, "key")), "pieces")
-    return whole.unionByName(sort_buckets(contested.where("not hot"))).unionByName(sort_single(contested.where("hot")))
+    every = table(anchors(rows.select("key", "text")), "units")
+    more = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    found = table(every.join(more, "gram", "left_semi"), "repeated-grams")
+    member = F.struct("key", "span")
+    classes = found.groupBy("gram", "piece").agg(F.count("*").alias("c"), F.min(member).alias("a"), F.max(member).alias("b"))
+    heavy = classes.groupBy("gram").agg((F.count("*") > HEAVY).alias("heavy"))
+    one = lambda of, times: F.struct(F.col(f"{of}.key"), F.col(f"{of}.span"), times.alias("times"))
+    two = F.when(F.col("a") == F.col("b"), F.array(one("a", F.when(F.col("c") > 1, 2).otherwise(1)))).otherwise(F.array(one("a", F.lit(1)), one("b", F.lit(1))))
+    chosen = table(classes.join(heavy, "gram").select("gram", "piece", "heavy", F.explode(two).alias("x")).select("gram", "piece", "heavy", "x.*"), "chosen")
+    lists = chosen.groupBy("key").agg(F.collect_list(F.struct("span", "gram", "piece", "heavy", "times")).alias("spans"))
+    texts = packed(rows, bitmap(chosen, "key"), all_rows=False).select("key", "packed").dropDuplicates(["key"])  # repeated rows have one key
+    sorted_in = table(pieces(texts.join(lists, "key")), "pieces")
+    decided = sort_buckets(sorted_in.where("not heavy")).unionByName(sort_single(sorted_in.where("heavy")))
+    start = F.shiftright("span", 8)
+    return found.join(decided, ["gram", "piece"]).select("key", (start + F.col("lo")).alias("lo"), (start + F.col("hi")).alias("hi"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text)."""
-    rows = common.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    ranges = table(repeated_ranges(rows), "ranges")
-    lists = ranges.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    found = packed(rows, bitmap(ranges, "key"), all_rows=True).join(lists, "key", "left")
-    return finish(found.select("doc_id", "n_bytes", "packed", "sha", "ranges"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    with common.small_batches(docs.sparkSession):
+        ranges = table(repeated_ranges(rows), "ranges")
+        lists = ranges.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+        found = packed(rows, bitmap(ranges, "key"), all_rows=True).join(lists, "key", "left")
+        return table(finish(found.select("doc_id", "n_bytes", "packed", "sha", "ranges")), "kept")

@@ -185,11 +185,16 @@ def test_quality_without_labels_or_texts(spark, odd, empty):
     assert quality.classify(empty, none).collect() == []
 
 
-@pytest.mark.parametrize("hot", [1500, 1])
-def test_repeats_against_brute_force(spark, odd, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+@pytest.mark.parametrize("heavy", [4096, 1])
+def test_repeats_against_brute_force(spark, odd, monkeypatch, heavy):
+    monkeypatch.setattr(suffixes, "HEAVY", heavy)
     near = [(100 + i, f"{i} unlike start {'abc' * i} " + PASSAGE[:300] + f" and {i} another end") for i in range(12)]
     table = odd.where("doc_id is null or doc_id <> 10").select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    rng = np.random.default_rng(2)
+    long = "".join(map(chr, rng.integers(97, 123, suffixes.CHUNK + 9000)))  # over one chunk; what it shares lies across the cut
+    cross = long[suffixes.CHUNK - 700 : suffixes.CHUNK + 900]
+    shared = [(200, long), (201, "other " + cross + " words"), (202, long[:500] + cross[300:700])] + [(210 + i, f"{i * 7919} " * 40 + PASSAGE[:290] + f" {i * 104729}" * 40) for i in range(60)]
+    table = table.unionByName(spark.createDataFrame(shared, "doc_id long, text string"))
     rows = [tuple(r) for r in table.collect()]
     sort = lambda x: sorted(x, key=str)
     assert sort(tuple(r) for r in suffixes.remove_repeats(table).collect()) == sort(brute.repeats(rows))
