@@ -373,7 +373,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
 def repeated_ranges(rows: DataFrame) -> DataFrame:
     """key, lo, hi: ranges of starts of repeated windows, from (key, text)."""
     every = table(anchors(rows.select("key", "text")), "units")
-    more = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    more = table(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")  # written, so that a hot gram's side of the join can be split
     found = table(every.join(more, "gram", "left_semi"), "repeated-grams")
     member = F.struct("key", "span")
     classes = found.groupBy("gram", "piece").agg(F.count("*").alias("c"), F.min(member).alias("a"), F.max(member).alias("b"))
