@@ -6,9 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
-    return found
+    path = context._jvm.org.apache.hadoop.fs.Path(found)  # a path without a scheme is on Spark's own default file system, not on each executor's disk
+    return found if ":" in found.split("/")[0] else path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def place(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder's URI (file, hdfs, s3, ...) and the path in it."""
+    if not urlparse(folder).scheme:
+        return pafs.LocalFileSystem(), folder
+    if folder.startswith("file:"):
+        return pafs.LocalFileSystem(), unquote(urlparse(folder).path)
+    return pafs.FileSystem.from_uri(folder)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

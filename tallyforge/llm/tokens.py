@@ -20,7 +20,6 @@ from array import array
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -113,15 +112,6 @@ def tokenizer(path: str):
     return found
 
 
-def _place(folder: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder's URI (file, hdfs, s3, ...) and the path in it."""
-    if not urlparse(folder).scheme:
-        return pafs.LocalFileSystem(), folder
-    if folder.startswith("file:"):
-        return pafs.LocalFileSystem(), unquote(urlparse(folder).path)
-    return pafs.FileSystem.from_uri(folder)
-
-
 def _store(files: pafs.FileSystem, path: str, pieces: Iterator[bytes]) -> None:
     own = f"{path}.{uuid.uuid4().hex}"
     with files.open_output_stream(own) as out:
@@ -135,13 +125,13 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, partit
     spark = docs.sparkSession
     wide = tokenizer(tokenizer_path).get_vocab_size() > 1 << 16 or end_id >= 1 << 16
     kind = "<u4" if wide else "<u2"
-    files, path = _place(folder)
+    files, path = common.place(folder)
     files.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = word_encoder(tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], kind).tobytes()
-        to, at = _place(folder)
+        to, at = common.place(folder)
         ids, ends = [], [0]
 
         def pieces() -> Iterator[bytes]:
@@ -173,7 +163,7 @@ def read(parts: DataFrame, folder: str, wide: bool = False) -> DataFrame:
     kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, at = _place(folder)
+        files, at = common.place(folder)
         local = isinstance(files, pafs.LocalFileSystem)
         for batch in batches:
             for row in batch.to_pylist():

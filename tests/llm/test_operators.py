@@ -336,22 +336,33 @@ def test_search_of_whole_texts_is_exact(spark, monkeypatch):
     assert {r.query_id: r.doc_id for r in search.search(alone, alone.selectExpr("doc_id AS query_id", "text"), n_terms=None, min_docs=1).collect()} == {1: 1, 2: 2}
 
 
-def test_words_left_aside_change_no_hit():
+def test_pruned_and_whole_scoring_agree():
     rng = np.random.default_rng(4)
     texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 150) if x < 5000).encode() for _ in range(700)]
     of, term, tf, n = search.counted(texts)
     shard = search.Shard.build(list(range(len(texts))), [n], [(of, term, tf)])
-    shard.weigh(float(n.mean()))
-    df = np.diff(shard.offsets)
+    df = np.diff(shard.offsets.astype(np.int64))
+    idf = np.log(1 + (700 - df + 0.5) / (df + 0.5))
+    shard.weigh(float(n.mean()), shard.names.copy(), idf)
+    assert 0 < shard.matrix.shape[1] < len(shard.names)
     for q in range(0, 700, 35):
         places = shard.at(term[of == q])
-        idf = np.log(1 + (700 - df[places] + 0.5) / (df[places] + 0.5))
-        score = shard.scores(places, idf, None)
-        order = np.lexsort((np.arange(700), -score))[:10]
-        for floor in (0.0, score[order[-1]], score[order[4]], score[order[0]]):
-            got, hits = shard.top(places, idf, 10, floor)
-            want = [d for d in order if score[d] >= floor]
-            assert hits.tolist() == want and np.allclose(got, score[want])
+        score = np.zeros(700)
+        for p in places:
+            own = slice(shard.offsets[p], shard.offsets[p + 1])
+            f = shard.tf[own].astype(float)
+            score[shard.docs[own]] += idf[p] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n[shard.docs[own]] / n.mean()))
+        order = np.lexsort((np.arange(700), -score.round(6)))[:10]
+        for floor in (0.0, score[order[-1]] - 1e-6, score[order[4]] - 1e-6, score[order[0]] - 1e-6):
+            for got, hits in (shard.top(places, 10, floor), next(shard.whole([places], 10, [floor]))):
+                want = [d for d in order if score[d] >= floor]
+                assert hits.tolist() == want and np.allclose(got, score[want])
+
+
+def test_search_leaves_out_queries_without_an_id(spark):
+    table = spark.createDataFrame([(None, "some words here"), (5, "some words here"), (6, "words " * 70_000 + "here")], "doc_id long, text string")
+    got = [tuple(r)[:3] for r in search.search(table, table.selectExpr("doc_id AS query_id", "text"), n_terms=None, min_docs=1).orderBy("query_id", "rank").collect()]
+    assert got[:3] == [(5, 1, None), (5, 2, 5), (5, 3, 6)] and {r[0] for r in got} == {5, 6}
 
 
 def test_rows_without_id_stay_if_their_text_is_theirs_alone(spark):
