@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into numpy arrays at a time; one longer text stands alone.
 SLICE_BYTES = 1 << 20
+#: Bits of a bitmap by which rows are screened before a join; a false hit costs time, never a result.
+SCREEN_BITS = 1 << 26
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +73,32 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, most)
 
 
+def bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """SCREEN_BITS bits, set at the low bits of the hashes in a column; the driver gets SCREEN_BITS / 8 bytes at most."""
+    cell = (F.col(column).bitwiseAND(SCREEN_BITS - 1) + 1).alias("cell")
+    found = values.select(cell).groupBy(F.bitmap_bucket_number("cell").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")).collect()
+    screen = np.zeros(SCREEN_BITS // 8, np.uint8)
+    for part, bits in found:
+        screen[(part - 1) * len(bits) : part * len(bits)] = np.frombuffer(bits, np.uint8)
+    return screen
+
+
+def bit(screen: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = hashes.astype(np.uint64) & np.uint64(SCREEN_BITS - 1)
+    return (screen[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def screened(df: DataFrame, column: str, screen: np.ndarray) -> DataFrame:
+    """The rows of df whose hash in a column is in a bitmap; only that column goes to Python."""
+    held = df.sparkSession.sparkContext.broadcast(screen)
+
+    @F.pandas_udf("boolean")
+    def there(hashes: pd.Series) -> pd.Series:
+        return pd.Series(bit(held.value, hashes.to_numpy(np.int64)))
+
+    return df.where(there(column))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` bytes of `column` each, or of one row."""
     for batch in batches:

@@ -21,7 +21,7 @@ out, as nothing in it can be repeated, and the suffixes of the others are range-
 one, by all their bytes and then their place, so that even equal ones spread, and are compared along
 each bucket and across the boundaries between buckets.
 
-Which texts are shipped is screened by a bitmap of fixed size (SCREEN_BITS): a false hit costs time,
+Which texts are shipped is screened by a bitmap of fixed size: a false hit costs time,
 never a result. Null is empty; texts under WIDTH bytes repeat nothing themselves; repeated rows are
 each other's copies; texts of any length are cut into chunks of CHUNK windows and lose nothing by it;
 an empty table gives an empty result; other columns are not looked at.
@@ -47,7 +47,6 @@ WIDTH = 200
 GRAM = 32
 HEAVY = 4096
 BLOCK = 16
-SCREEN_BITS = 1 << 26
 #: Bytes of pieces that a bucket sorts at a time (all of one lead stay together), and windows of a text whose units are found at a time.
 SORT_BYTES = 1 << 20
 CHUNK = 1 << 17
@@ -104,21 +103,6 @@ def _units(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return first, last, anchor, gram[anchor], piece
 
 
-def _bit(screen: np.ndarray, values: np.ndarray) -> np.ndarray:
-    cell = values.astype(U) & U(SCREEN_BITS - 1)
-    return (screen[cell >> U(3)] >> (cell & U(7)).astype(np.uint8)) & 1 == 1
-
-
-def bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """SCREEN_BITS bits, set at the values' low bits; the driver gets SCREEN_BITS / 8 bytes at most."""
-    cell = (F.col(column).bitwiseAND(SCREEN_BITS - 1) + 1).alias("cell")
-    found = values.select(cell).groupBy(F.bitmap_bucket_number("cell").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")).collect()
-    screen = np.zeros(SCREEN_BITS // 8, np.uint8)
-    for part, bits in found:
-        screen[(part - 1) * len(bits) : part * len(bits)] = np.frombuffer(bits, np.uint8)
-    return screen
-
-
 def anchors(rows: DataFrame) -> DataFrame:
     """gram, piece, key, span of every unit, from (key, text)."""
     signed = lambda x: pa.array(x.view(np.int64))
@@ -141,7 +125,7 @@ def packed(rows: DataFrame, screen: np.ndarray, all_rows: bool) -> DataFrame:
         press = zstandard.ZstdCompressor(level=1)
         for batch in common.slices(batches, "text"):
             texts = common.byte_texts(batch.column("text"))
-            some = _bit(held.value, batch.column("key").to_numpy(zero_copy_only=False))
+            some = common.bit(held.value, batch.column("key").to_numpy(zero_copy_only=False))
             out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([len(t) for t in texts], pa.int64()), pa.array([press.compress(t) if s else None for t, s in zip(texts, some, strict=True)], pa.binary()), pa.array([None if s else hashlib.sha256(t).hexdigest() for t, s in zip(texts, some, strict=True)], pa.string())], names=["doc_id", "key", "n_bytes", "packed", "sha"])
             yield out if all_rows else out.filter(pa.array(some))
 
@@ -382,7 +366,7 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     two = F.when(F.col("a") == F.col("b"), F.array(one("a", F.when(F.col("c") > 1, 2).otherwise(1)))).otherwise(F.array(one("a", F.lit(1)), one("b", F.lit(1))))
     chosen = table(classes.join(heavy, "gram").select("gram", "piece", "heavy", F.explode(two).alias("x")).select("gram", "piece", "heavy", "x.*"), "chosen")
     lists = chosen.groupBy("key").agg(F.collect_list(F.struct("span", "gram", "piece", "heavy", "times")).alias("spans"))
-    texts = packed(rows, bitmap(chosen, "key"), all_rows=False).select("key", "packed").dropDuplicates(["key"])  # repeated rows have one key
+    texts = packed(rows, common.bitmap(chosen, "key"), all_rows=False).select("key", "packed").dropDuplicates(["key"])  # repeated rows have one key
     sorted_in = table(pieces(texts.join(lists, "key")), "pieces")
     decided = sort_buckets(sorted_in.where("not heavy")).unionByName(sort_single(sorted_in.where("heavy")))
     start = F.shiftright("span", 8)
@@ -395,5 +379,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     with common.small_batches(docs.sparkSession):
         ranges = table(repeated_ranges(rows), "ranges")
         lists = ranges.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-        found = packed(rows, bitmap(ranges, "key"), all_rows=True).join(lists, "key", "left")
+        found = packed(rows, common.bitmap(ranges, "key"), all_rows=True).join(lists, "key", "left")
         return table(finish(found.select("doc_id", "n_bytes", "packed", "sha", "ranges")), "kept")
