@@ -20,13 +20,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import common
 
 PROFILE = 300
-MOST_LANGUAGES = 1000
 SPACE = 32
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,10 +128,11 @@ def counts(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, size: int = PROFILE) -> Profiles:
     """Profiles of the languages in docs (text, lang); rows without either teach nothing."""
     total = common.stored(counts(docs.where("lang is not null and text is not null")))
-    names = sorted(r[0] for r in total.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    lists = {k: [r[0] for r in total.where(F.col("lang") == k).orderBy(F.desc("n"), "gram").limit(size).select("gram").collect()] for k in names}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    lists: dict[str, list[int]] = defaultdict(list)
+    for lang, gram, _ in total.select("lang", "gram", place.alias("place")).where(F.col("place") <= size).orderBy("lang", "place").collect():  # `size` rows a language
+        lists[lang].append(gram)
+    names = sorted(lists)
     every = np.unique(np.array([g for found in lists.values() for g in found], np.uint64))
     ranks = np.full((len(every) + 1, len(names)), size, np.int64)
     for k, name in enumerate(names):
@@ -153,9 +153,10 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    """By the id; a row without one is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from rows that aren't held out."""
-    return predict(docs, learn(docs.where(~held_out() | F.col("doc_id").isNull()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs, learn(docs.where(~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

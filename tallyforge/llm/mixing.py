@@ -1,22 +1,27 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Each source's documents, in doc_id order, are cut into blocks of BLOCK_BYTES of text. A source of
-weight w releases its block number a (from 0) at floor(a / w) and wants it by ceil((a + 1) / w);
-at every slot the released block of earliest deadline goes, so that after any number of slots each
-source has been given its share to within less than one block. Weights are rounded to whole slots
-of a period (SLOTS), which makes the schedule repeat: one period is folded over a sequence in a
-single row, and each block finds its slot by its number. Nothing is drawn at random.
+Each source's documents, in doc_id order, are cut into blocks of BLOCK_BYTES of text. Slots go in
+periods of SLOTS. By the end of period p a source of weight w has been given the whole part of its
+share of all slots so far, so a remainder is carried over to later periods and no error adds up. In a
+period in which it gets n blocks, its block number a (from 0) is released at floor(a * SLOTS / n) and
+wanted by ceil((a + 1) * SLOTS / n); at every slot the released block of earliest deadline goes. So
+at any slot a source has been given its period's share to within less than one block, and its exact
+weight's to within less than two, however long the mix is. A period is folded over a sequence in a
+row of its own; periods of equal shares are folded once. Nothing is drawn at random.
 
 No rows are dropped: after a source's last block its later slots are passed over and the others go
-on in their own order. A source of null is a source of its own; sources without a given weight get
-the smallest (one slot); null texts count no bytes and keep their place in doc_id order; repeated
-rows and ids stay, in one place of the order; an empty table gives an empty result. Extra columns
-are not looked at. Block numbers come from prefix sums over ranges of doc_id in several levels, so
-no task sums up a whole source.
+on in their own order. A source of null is a source of its own; sources without a given weight above
+0 get the smallest that is given; weights below 1 / LONGEST of the whole count as that; null texts
+count no bytes and keep their place in doc_id order; very long texts are in the block in which they
+begin; repeated rows and ids stay, one after another; rows without an id come first; an empty table
+gives an empty result. Extra columns are not looked at. Block numbers come from prefix sums over
+ranges of rows, so neither a hot source nor a repeated id meets in one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,89 +29,100 @@ from tallyforge.llm import common
 
 BLOCK_BYTES = 1 << 16
 SLOTS = 1000
-#: Sources that one period can hold.
-MOST_SOURCES = SLOTS // 2
-FAN = 256
-LEVELS = 3
+#: Slots of a period at most, unless there are more sources.
+LONGEST = 4000
 
 
 def before(rows: DataFrame, part: str, key: str, ties: list[str], value: str, out: str) -> DataFrame:
     """rows with `out`: the sum of `value` over the rows of the same `part` that come before, by key and then ties.
 
-    Sums go up in LEVELS levels of FAN keys each and come down by joins; a window never holds more
-    than FAN ids (at the top: one row for FAN ** LEVELS ids).
+    Rows are range-partitioned (equal ones by their place in the input), summed up within each range, and
+    the totals of the ranges before are added: as many rows as there are ranges and parts.
     """
-    step = lambda n: F.floor(F.col(key) / F.lit(float(FAN**n)))
-    null_safe = lambda df, other, cols: df.join(other, [df[c].eqNullSafe(other[c]) for c in cols], "left").select(df["*"], other[f"{out}_up"])
-    sums = [rows.groupBy(part, step(1).alias("k1")).agg(F.sum(value).alias("s"))]
-    for n in range(2, LEVELS + 1):
-        sums.append(sums[-1].groupBy(part, F.floor(F.col(f"k{n - 1}") / F.lit(float(FAN))).alias(f"k{n}")).agg(F.sum("s").alias("s")))
-    top = sums[-1]
-    base = top.select(part, f"k{LEVELS}", F.coalesce(F.sum("s").over(Window.partitionBy(part).orderBy(F.asc_nulls_first(f"k{LEVELS}")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{out}_up"))
-    for n in range(LEVELS - 1, 0, -1):
-        up = f"k{n + 1}"
-        level = sums[n - 1].withColumn(up, F.floor(F.col(f"k{n}") / F.lit(float(FAN))))
-        own = F.coalesce(F.sum("s").over(Window.partitionBy(part, up).orderBy(F.asc_nulls_first(f"k{n}")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        level = level.withColumn("own", own)
-        base = null_safe(level, base, [part, up]).select(part, f"k{n}", (F.col("own") + F.col(f"{out}_up")).alias(f"{out}_up"))
-    fine = Window.partitionBy(part, "k1").orderBy(F.asc_nulls_first(key), *ties).rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumn("k1", step(1)).withColumn(f"{out}_own", F.coalesce(F.sum(value).over(fine), F.lit(0)))
-    return null_safe(local, base, [part, "k1"]).withColumn(out, F.col(f"{out}_own") + F.col(f"{out}_up")).drop(f"{out}_own", f"{out}_up", "k1")
-
-
-def shares(volumes: DataFrame, weights: DataFrame | None, slots: int) -> DataFrame:
-    """source, share: whole slots of a period, one at least, in proportion to the weights (by largest remainder).
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.asc_nulls_first(c) for c in (key, *ties, "tie_")]
+    dealt = rows.withColumn("tie_", F.monotonically_increasing_id()).repartitionByRange(n, F.asc_nulls_first(part), *order)
+    dealt = common.stored(dealt.withColumn("range_", F.spark_partition_id()))
+    totals = dealt.groupBy("range_", part).agg(F.sum(value).alias("own_"))
+    earlier = Window.partitionBy(part).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(F.col("range_").alias("at_"), F.col(part).alias("of_"), F.coalesce(F.sum("own_").over(earlier), F.lit(0)).alias("base_"))
+    fine = Window.partitionBy("range_", part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn(out, F.coalesce(F.sum(value).over(fine), F.lit(0)))
+    joined = summed.join(base, (F.col("range_") == F.col("at_")) & F.col(part).eqNullSafe(F.col("of_")))
+    return joined.withColumn(out, F.col(out) + F.col("base_")).drop("tie_", "range_", "at_", "of_", "base_")
+
+
+def shares(volumes: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """source, weight (they add up to 1), upto (sum of the weights of the sources before), place (of the source, from 0), slots (of a period).
 
     Without weights a source's is the square root of its volume.
     """
     if weights is None:
         known = volumes.withColumn("weight", F.sqrt(F.greatest(F.col("volume").cast("double"), F.lit(1.0))))
     else:
-        given = weights.groupBy(F.col("source").alias("of")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
-        known = volumes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
-    one = Window.partitionBy(F.lit(0))  # a row a source, MOST_SOURCES at most
-    exact = known.withColumn("exact", F.coalesce(F.try_divide("weight", F.sum("weight").over(one)), F.lit(0.0)) * (F.lit(slots) - F.count("*").over(one)))
-    floored = exact.withColumn("share", 1 + F.floor("exact")).withColumn("left", slots - F.sum("share").over(one))
-    place = F.row_number().over(one.orderBy(F.desc(F.col("exact") - F.floor("exact")), F.asc_nulls_first("source")))
-    more = F.floor(F.col("left") / F.count("*").over(one)) + F.when(place <= F.col("left") % F.count("*").over(one), 1).otherwise(0)
-    return floored.select("source", (F.col("share") + more).cast("long").alias("share"))
+        given = weights.groupBy(F.col("source").alias("of")).agg(F.max(F.col("weight").cast("double")).alias("weight")).where("weight > 0")
+        known = volumes.join(given, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    one = Window.partitionBy(F.lit(0))  # a row a source
+    known = known.withColumn("weight", F.coalesce("weight", F.min("weight").over(one), F.lit(1.0)))
+    known = known.withColumn("weight", F.greatest(F.col("weight") / F.sum("weight").over(one), 1 / F.greatest(F.lit(LONGEST), F.count("*").over(one))))
+    known = known.withColumn("weight", F.col("weight") / F.sum("weight").over(one))
+    order = one.orderBy(F.asc_nulls_first("source"))
+    slots = F.greatest(F.lit(SLOTS), F.ceil(1 / F.min("weight").over(one))).cast("long")
+    return known.select("source", "weight", F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("upto"), (F.row_number().over(order) - 1).alias("place"), slots.alias("slots"))
+
+
+def given(period: Column, slots: Column, upto: Column, weight: Column) -> Column:
+    """Blocks that a source has been given before a period: whole parts of the running sums of weights, so that all sources' add up to its slots."""
+    whole = lambda x: F.floor(period * slots * F.round(x, 12) + 0.5)
+    return whole(upto + weight) - whole(upto)
 
 
-def period(shared: DataFrame, slots: int) -> DataFrame:
-    """source, share, turn (number of the source's block within a period), slot: one earliest-deadline-first period."""
-    rows = shared.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("missing"), "source", "share"))).alias("all"))
+def pattern(counts: Column, slots: Column) -> Column:
+    """Place of the source of each slot of a period in which each source gets counts[place] blocks, earliest deadline first."""
 
-    def chosen(given: Column, slot: Column) -> Column:
+    def chosen(done: Column, slot: Column) -> Column:
         """Place of the released block with the earliest deadline."""
-        each = F.transform(F.arrays_zip(F.col("all").getField("share").alias("share"), given.alias("given")), lambda x, i: F.when(F.floor(x["given"] * slots / x["share"]) <= slot, F.struct(F.ceil((x["given"] + 1) * slots / x["share"]).alias("deadline"), i.alias("i"))))
+        each = F.transform(F.arrays_zip(counts.alias("n"), done.alias("a")), lambda x, i: F.when((x["a"] < x["n"]) & (F.floor(x["a"] * slots / x["n"]) <= slot), F.struct(F.ceil((x["a"] + 1) * slots / x["n"]).alias("deadline"), i.alias("i"))))
         return F.array_min(each)["i"]
 
     def step(state: Column, slot: Column) -> Column:
         # what the last step chose is counted and noted now, so that each choice is evaluated once
-        given = F.transform(state["given"], lambda n, i: n + F.when(i == state["last"], 1).otherwise(0))
-        return F.struct(given.alias("given"), chosen(given, slot).alias("last"), F.concat(state["order"], F.array(state["last"])).alias("order"))
-
-    start = F.struct(F.transform("all", lambda x: F.lit(0)).alias("given"), F.lit(-1).alias("last"), F.array().cast("array<int>").alias("order"))
-    whole = lambda state: F.concat(F.slice(state["order"], 2, slots), F.array(state["last"]))
-    order = rows.where(F.size("all") > 0).select("all", F.aggregate(F.sequence(F.lit(0), F.lit(slots - 1)), start, step, whole).alias("order"))
-    slot = order.select("all", F.posexplode("order").alias("slot", "i")).select(F.get("all", F.col("i")).alias("x"), "slot", "i")
-    return slot.select("x.source", "x.share", (F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1).alias("turn"), "slot")
-
-
-def mix(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, slots: int = SLOTS) -> DataFrame:
+        done = F.transform(state["done"], lambda n, i: n + F.when(i == state["last"], 1).otherwise(0))
+        return F.struct(done.alias("done"), chosen(done, slot).alias("last"), F.concat(state["order"], F.array(state["last"])).alias("order"))
+
+    start = F.struct(F.transform(counts, lambda n: F.lit(0)).alias("done"), F.lit(-1).alias("last"), F.array().cast("array<int>").alias("order"))
+    whole = lambda state: F.concat(F.slice(state["order"], F.lit(2), F.size(state["order"])), F.array(state["last"]))
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), slots - 1), start, step, whole)
+
+
+def slotted(blocks: DataFrame, shared: DataFrame) -> DataFrame:
+    """source, block, slot of each of blocks (source, block), by the weights of shares()."""
+    shared = common.stored(shared)
+    own = shared.select(F.col("source").alias("of"), "weight", "upto", "place", "slots")
+    found = blocks.join(own, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    about = F.floor(F.col("block") / (F.col("weight") * F.col("slots")))
+    fits = lambda p: (given(p, F.col("slots"), F.col("upto"), F.col("weight")) <= F.col("block")) & (F.col("block") < given(p + 1, F.col("slots"), F.col("upto"), F.col("weight")))
+    period = reduce(lambda rest, d: F.when(fits(about + d), about + d).otherwise(rest), (2, -2, 1, -1, 0), F.lit(None).cast("long"))
+    found = common.stored(found.withColumn("period", period))
+    found = found.withColumn("turn", F.col("block") - given(F.col("period"), F.col("slots"), F.col("upto"), F.col("weight")))
+    sources = shared.agg(F.array_sort(F.collect_list(F.struct("place", "upto", "weight"))).alias("all"))  # a row a source
+    periods = found.select("period", "slots").distinct().withColumn("one", F.lit(0)).join(F.broadcast(sources.withColumn("one", F.lit(0))), "one")
+    counts = F.transform("all", lambda x: given(F.col("period") + 1, F.col("slots"), x["upto"], x["weight"]) - given(F.col("period"), F.col("slots"), x["upto"], x["weight"]))
+    periods = common.stored(periods.select("period", "slots", counts.alias("counts")))
+    kinds = periods.select("counts", "slots").distinct().select("counts", F.posexplode(pattern(F.col("counts"), F.col("slots"))).alias("at", "place"))
+    kinds = common.stored(kinds.withColumn("turn", F.row_number().over(Window.partitionBy("counts", "place").orderBy("at")) - 1))
+    placed = found.join(periods.select("period", "counts"), "period").join(kinds, ["counts", "place", "turn"])
+    return placed.select("source", "block", (F.col("period") * F.col("slots") + F.col("at")).alias("slot"))
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, source, n_bytes, block (of its source, from 0), slot (place of the block in the mix) of every row of docs.
 
     docs: doc_id, text, source; weights: source, weight.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    rows = common.stored(rows)  # no texts: a row of some 30 bytes a document
-    volumes = common.stored(rows.groupBy("source").agg(F.sum("n_bytes").alias("volume")))
-    if volumes.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
-        raise ValueError(f"a period of {slots} slots can't hold more than {MOST_SOURCES} sources")
-    plan = common.stored(period(shares(volumes, weights, slots), slots))
-    blocks = before(rows, "source", "doc_id", ["n_bytes"], "n_bytes", "past").withColumn("block", F.floor(F.col("past") / block_bytes))
-    share = plan.select(F.col("source").alias("of"), "share").distinct()
-    with_share = blocks.join(F.broadcast(share), blocks["source"].eqNullSafe(F.col("of"))).drop("of")  # MOST_SOURCES rows
-    turn = plan.select(F.col("source").alias("of"), F.col("turn").alias("at"), F.col("slot").alias("in_period"))
-    found = with_share.join(F.broadcast(turn), with_share["source"].eqNullSafe(F.col("of")) & (F.col("block") % F.col("share") == F.col("at")))  # `slots` rows
-    return found.select("doc_id", "source", "n_bytes", "block", (F.floor(F.col("block") / F.col("share")) * slots + F.col("in_period")).alias("slot"))
+    blocks = common.stored(before(rows, "source", "doc_id", ["n_bytes"], "n_bytes", "past").withColumn("block", F.floor(F.col("past") / block_bytes)))  # no texts: a row of some 30 bytes a document
+    volumes = blocks.groupBy("source").agg(F.sum("n_bytes").alias("volume"))
+    slots = slotted(blocks.select("source", "block").distinct(), shares(volumes, weights)).select(F.col("source").alias("of"), F.col("block").alias("number"), "slot")
+    found = blocks.join(slots, blocks["source"].eqNullSafe(slots["of"]) & (blocks["block"] == slots["number"]))
+    return found.select("doc_id", "source", "n_bytes", "block", "slot")

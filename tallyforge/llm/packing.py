@@ -7,8 +7,9 @@ are what it is spread over. At the end each bin is downsized to the smallest cap
 contents. A document longer than the largest capacity is cut into pieces; whole pieces fill a bin
 each, and the rest is packed like any other. Nothing is cut off or left out.
 
-Packing runs in groups of about GROUP_ITEMS items dealt by a hash of id and piece, so a task's
-memory is bounded, and a hot source or a very long text spreads over all groups. With `ordered` the
+Packing runs in groups of about GROUP_ITEMS pieces dealt by a hash of id, piece and the row's place in
+the input, so a task's memory is bounded, and a hot source, a repeated or missing id or a very long
+text spreads over all groups. With `ordered` the
 groups are consecutive ranges of pieces in the rows' own order (that of their files and the rows in
 them), numbered in that order, and so are a group's bins by the first piece in them. Lengths are words
 plus an end mark. A null or empty text is one item of length 1; repeated rows are packed as often as
@@ -82,15 +83,16 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: in
     if ordered:
         items = in_order(docs, most)
     else:
-        items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("n"), F.lit(0).alias("past"))
+        items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("n"), F.monotonically_increasing_id().alias("past"))
     pieces = items.select("doc_id", "n", "past", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most).cast("int"))).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("past") + F.col("piece")).alias("number"), F.least(F.lit(most), F.col("n") - F.col("piece") * most).cast("int").alias("length"))
     if ordered:
         dealt = pieces.withColumn("part", F.floor(F.col("number") / group_items))
     else:
-        groups = max(1, -(-docs.count() // group_items))
-        dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    ties = ["number"] if ordered else ["doc_id", "piece"]
+        pieces = common.stored(pieces)  # no texts
+        groups = max(1, -(-pieces.count() // group_items))
+        dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "number"), F.lit(groups)))
+    ties = ["number"] if ordered else ["doc_id", "piece", "number"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", *ties], ascending=[False, *(True for _ in ties)], kind="stable", ignore_index=True)

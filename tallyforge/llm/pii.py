@@ -14,15 +14,19 @@ equal value gets an equal pseudonym in every document, different ones stay diffe
   card   13 to 19 digits with a valid check digit (mod 10): all but the last, which is computed anew;
          so a valid number becomes a valid one
   digits 13 to 19 digits without one: all of them
-  hex    32 to 64 hexadecimal digits of one case, with a digit: a keyed digest of the same length
+  hex    32 to 64 hexadecimal digits of one case, with a digit: all of them, within their 16
 
 What fails its validation (octets over 255, 31 February, an area of 666) stays as it is. Null stays
 null and empty stays empty; ties and repeated rows get equal pseudonyms; an empty table gives an
-empty result; extra columns are passed over. Texts without a digit and without @ are not searched.
+empty result; extra columns are passed over; texts of any length are searched whole. The plan holds
+keys derived from the given one by HMAC, not that key itself. Texts without a digit and without @ are not searched.
 """
 
 from __future__ import annotations
 
+import hmac
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +45,14 @@ HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, LONG, HEX))
 
 
+def own_key(key: str) -> str:
+    """64 hexadecimal digits for one use of a key."""
+    return hmac.new(key.encode(), b"feistel", "sha256").hexdigest()
+
+
 def _number(key: str, *parts: Column) -> Column:
     """A keyed number below 2 ** 60."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *(p.cast("string") for p in parts)), 256), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(own_key(key)), *(p.cast("string") for p in parts)), 256), 1, 15), 16, 10).cast("long")
 
 
 def feistel(a: Column, b: Column, left: Column | int, right: Column | int, key: str) -> Column:
@@ -84,17 +93,23 @@ def card(digits: Column, key: str) -> Column:
     return F.transform(F.array(body), lambda x: F.concat(x, ((10 - check_sum(x, 0)) % 10).cast("string")))[0]
 
 
-def permuted_letters(text: Column, key: str) -> Column:
-    """A permutation of all strings with the same classes (a-z, A-Z, 0-9) in the same places: a Feistel network whose halves are shifted letter by letter."""
+def moved_letter(c: Column, k: Column) -> Column:
+    """A letter or digit, k places on within a-z, A-Z or 0-9."""
+    move = lambda first, size: F.chr(F.lit(first) + (F.ascii(c) - first + k) % size)
+    return F.when(c.between("a", "z"), move(97, 26)).when(c.between("A", "Z"), move(65, 26)).when(c.between("0", "9"), move(48, 10)).otherwise(c)
 
-    def shifted(half: Column, other: Column, r: Column) -> Column:
-        stream = F.sha2(F.concat_ws("|", F.lit(key), r.cast("string"), F.length(half).cast("string"), other), 256)
 
-        def one(c: Column, i: Column) -> Column:
-            k = F.conv(F.substring(stream, i % 62 + 1, F.lit(3)), 16, 10).cast("int")
-            move = lambda first, size: F.chr(F.lit(first) + (F.ascii(c) - first + k) % size)
-            return F.when(c.between("a", "z"), move(97, 26)).when(c.between("A", "Z"), move(65, 26)).when(c.between("0", "9"), move(48, 10)).otherwise(c)
+def moved_hex(c: Column, k: Column) -> Column:
+    """A hexadecimal digit in lower case, k places on among the 16."""
+    return F.substring(F.lit("0123456789abcdef"), (F.conv(c, 16, 10).cast("int") + k) % 16 + 1, F.lit(1))
 
+
+def permuted_letters(text: Column, key: str, moved: Callable[[Column, Column], Column] = moved_letter) -> Column:
+    """A permutation of all strings with the same classes of characters in the same places: a Feistel network whose halves are shifted character by character."""
+
+    def shifted(half: Column, other: Column, r: Column) -> Column:
+        stream = F.sha2(F.concat_ws("|", F.lit(own_key(key)), r.cast("string"), F.length(half).cast("string"), other), 256)
+        one = lambda c, i: moved(c, F.conv(F.substring(stream, i % 62 + 1, F.lit(3)), 16, 10).cast("int"))
         return F.array_join(F.transform(F.split(half, ""), one), "")
 
     def step(x: Column, r: Column) -> Column:
@@ -151,8 +166,8 @@ def long_number(m: Column, key: str) -> Column:
 
 
 def hexadecimal(m: Column, key: str) -> Column:
-    digest = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("hex"), m), 256), F.lit(1), F.length(m))
-    return F.when(~m.rlike("[0-9]"), m).when(m.rlike("[A-F]"), F.upper(digest)).otherwise(digest)
+    found = permuted_letters(F.lower(m), f"{key}|hex", moved_hex)
+    return F.when(~m.rlike("[0-9]"), m).when(m.rlike("[A-F]"), F.upper(found)).otherwise(found)
 
 
 def pseudonym(m: Column, key: str) -> Column:

@@ -8,7 +8,8 @@ lost executor's rerun replaces whole files. A partition's base is the prefix sum
 those before it: one number a file reaches the driver.
 
 Null is empty and gets just the end id; repeated rows are written as often as they come, ordered by
-doc_id and then text; rows with a null doc_id come first; an empty table gives no documents.
+doc_id and then text (rows of one id that fill several files: by the text's first 64 characters
+across files); rows with a null doc_id come first; a very long text is one document; an empty table gives no documents.
 """
 
 from __future__ import annotations
@@ -149,7 +150,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, partit
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [len(ids)], "n_ids": [ends[-1]]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, or of none, spread by how their texts begin and by their place in the input
+    dealt = rows.repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.substring("text", 1, 64), F.monotonically_increasing_id()).sortWithinPartitions("doc_id", "text")
     totals = {p: (d, i) for p, d, i in dealt.mapInArrow(run, PART_SCHEMA).collect()}  # one row a file
     bases, base = [], 0
     for p in sorted(totals):

@@ -1,9 +1,10 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import hmac
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -97,3 +98,140 @@ def near_kept(rows, width=5):
     for i, (d, _) in enumerate(rows):
         least[root(i)] = min(d, least.get(root(i), d))
     return set(least.values())
+
+
+def mix(rows, weights, block_bytes, least=1000, longest=4000):
+    """rows: (doc_id, source, n_bytes); weights: source -> weight. doc_id -> (block, slot), one slot after another."""
+    key = lambda s: (s is not None, s or "")
+    block, volume = {}, defaultdict(int)
+    for d, s, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
+        block[d, s] = volume[s] // block_bytes
+        volume[s] += n
+    order = sorted(volume, key=key)
+    w = {s: weights.get(s, min(weights.values())) if weights else math.sqrt(max(volume[s], 1)) for s in order}
+    total = sum(w.values())
+    w = {s: max(x / total, 1 / max(longest, len(w))) for s, x in w.items()}
+    total = sum(w.values())
+    w = {s: x / total for s, x in w.items()}
+    slots = max(least, math.ceil(1 / min(w.values())))
+    want, slot, period, done = {(s, b) for (_, s), b in block.items()}, {}, 0, dict.fromkeys(order, 0)
+    while not want <= slot.keys():
+        upto, n = 0.0, {}
+        for s in order:
+            whole = lambda x, p=period: math.floor((p + 1) * slots * round(x, 12) + 0.5)
+            n[s] = whole(upto + w[s]) - whole(upto) - done[s]
+            upto += w[s]
+        here = dict.fromkeys(order, 0)
+        for t in range(slots):
+            due = [(-(-(here[s] + 1) * slots // n[s]), i) for i, s in enumerate(order) if here[s] < n[s] and here[s] * slots // n[s] <= t]
+            s = order[min(due)[1]]
+            slot[s, done[s] + here[s]] = period * slots + t
+            here[s] += 1
+        done = {s: done[s] + n[s] for s in order}
+        period += 1
+    return {k: (b, slot[k[1], b]) for k, b in block.items()}, slot, w
+
+
+def best_fit(lengths, capacities, overhead):
+    """Bin, its final capacity and start of each item: every open bin is looked at for every item."""
+    bins, placed = [], []  # [capacity, used]
+    for i, n in enumerate(lengths):
+        rest = sum(lengths[i + 1 :])
+        fits = [(c - u, b) for b, (c, u) in enumerate(bins) if c - u >= n]
+        if fits:
+            b = min(fits)[1]
+        else:
+            c = min((c for c in capacities if c >= n), key=lambda c: ((c + overhead) / (n + min(c - n, rest)), c))
+            bins.append([c, 0])
+            b = len(bins) - 1
+        placed.append((b, bins[b][1]))
+        bins[b][1] += n
+    return [(b, min(c for c in capacities if c >= bins[b][1]), at) for b, at in placed]
+
+
+def _key(key):
+    return hmac.new(key.encode(), b"feistel", "sha256").hexdigest()
+
+
+def feistel(a, b, left, right, key, back=False):
+    move = lambda r, half: int(hashlib.sha256("|".join(map(str, (_key(key), r, left, right, half))).encode()).hexdigest()[:15], 16)
+    for r in reversed(range(6)) if back else range(6):
+        if r % 2 == 0:
+            a = (a - move(r, b)) % left if back else (a + move(r, b)) % left
+        else:
+            b = (b - move(r, a)) % right if back else (b + move(r, a)) % right
+    return a, b
+
+
+def feistel_digits(digits, key, back=False):
+    half = len(digits) // 2
+    a, b = feistel(int(digits[:half]), int(digits[half:]), 10**half, 10 ** (len(digits) - half), key, back)
+    return f"{a:0{half}d}{b:0{len(digits) - half}d}"
+
+
+def feistel_text(text, key, classes, back=False):
+    """classes: strings of characters that stand for one another."""
+    half = -(-len(text) // 2)
+    a, b = text[:half], text[half:]
+
+    def shifted(x, other, r):
+        stream = hashlib.sha256("|".join((_key(key), str(r), str(len(x)), other)).encode()).hexdigest()
+        out = ""
+        for i, c in enumerate(x):
+            own = next((k for k in classes if c in k), None)
+            k = int(stream[i % 62 : i % 62 + 3], 16)
+            out += own[(own.index(c) + (-k if back else k)) % len(own)] if own else c
+        return out
+
+    for r in reversed(range(6)) if back else range(6):
+        if r % 2 == 0:
+            a = shifted(a, b, r)
+        else:
+            b = shifted(b, a, r)
+    return a + b
+
+
+def languages(rows, train, size=300):
+    """rows: (doc_id, text); train: (text, lang). doc_id -> (language, score)."""
+
+    def grams(text):
+        marked = re.sub(r" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+        found = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(marked) - n + 1):
+                g = marked[i : i + n]
+                if g.strip():
+                    code = 0
+                    for c in g:
+                        code = code << 21 | ord(c)
+                    found[code * 0x9E3779B97F4A7C15 % (1 << 64) >> 16] += 1
+        return found
+
+    top = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
+    counts = defaultdict(Counter)
+    for text, lang in train:
+        counts[lang].update(grams(text))
+    profiles = {lang: {g: i for i, g in enumerate(top(c))} for lang, c in sorted(counts.items())}
+    out = {}
+    for d, text in rows:
+        mine = top(grams(text or ""))
+        if not mine:
+            out[d] = ("und", 0.0)
+            continue
+        apart = {lang: sum(abs(p[g] - i) if g in p else size for i, g in enumerate(mine)) for lang, p in profiles.items()}
+        lang = min(apart, key=lambda k: (apart[k], k))
+        out[d] = (lang, 1 - apart[lang] / (len(mine) * size))
+    return out
+
+
+def quality(text, weights, bias):
+    """A document's score by its features one by one."""
+    found, base = [], 0x100000001B3
+    padded = text + b"\n\n\n"
+    for i in range(len(text)):
+        three, four = int.from_bytes(padded[i : i + 3], "big"), int.from_bytes(padded[i : i + 4], "big")
+        found += [three * 0x9E3779B1 % (1 << 32) >> 16, four * 0x85EBCA6B % (1 << 32) >> 16]
+    for word in re.findall(rb"[^\x20\x09-\x0D]+", text):
+        found.append(sum((c + 1) * pow(base, i, 1 << 64) for i, c in enumerate(word)) * 0x9E3779B97F4A7C15 % (1 << 64) >> 48)
+    mean = sum(float(weights[b]) for b in found) / max(len(found), 1)
+    return 1 / (1 + math.exp(-(mean + bias)))

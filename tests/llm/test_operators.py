@@ -85,6 +85,29 @@ def test_pii_is_a_permutation_that_keeps_formats(spark):
     assert all(all(0 <= int(o) <= 255 for o in got[i].split(".")) for i, t in enumerate(texts) if t.startswith("10.0."))
 
 
+def test_pii_equals_a_plain_feistel_network_and_its_inverse(spark):
+    lower, upper, ten, sixteen = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    hexes = [("0123456789abcdef" * 4)[i : i + 32 + i] for i in range(12)] + ["ABCDEF0123456789" * 2]
+    numbers = [f"{7 * 10**14 + i * 98765432123}" for i in range(40)]
+    emails = [f"Ab{i}.c-d@mail{i}.Example.org" for i in range(12)]
+    table = spark.createDataFrame(list(enumerate([*hexes, *numbers, *emails])), "doc_id long, text string")
+    got = [r.text for r in pii.replace(table, "k").orderBy("doc_id").collect()]
+    for x, y in zip(hexes, got, strict=False):
+        low = brute.feistel_text(x.lower(), "k|hex", [sixteen])
+        assert y == (low.upper() if x.isupper() else low) and brute.feistel_text(y.lower(), "k|hex", [sixteen], back=True) == x.lower() and y != x
+    luhn = lambda c: sum((int(d) * 2 // 10 + int(d) * 2 % 10) if i % 2 else int(d) for i, d in enumerate(c[::-1])) % 10
+    for x, y in zip(numbers, got[len(hexes) :], strict=False):
+        if luhn(x) == 0:
+            assert y[:-1] == brute.feistel_digits(x[:-1], "k|card") and luhn(y) == 0 and brute.feistel_digits(y[:-1], "k|card", back=True) == x[:-1]
+        else:
+            assert y == brute.feistel_digits(x, "k|digits") and brute.feistel_digits(y, "k|digits", back=True) == x
+    for x, y in zip(emails, got[len(hexes) + len(numbers) :], strict=True):
+        local, domain = x.split("@")
+        head = domain[: domain.rindex(".") + 1]
+        assert y == brute.feistel_text(local, "k|local", [lower, upper, ten]) + "@" + brute.feistel_text(head, "k|domain", [lower, upper, ten]) + "org"
+        assert brute.feistel_text(y.split("@")[0], "k|local", [lower, upper, ten], back=True) == local
+
+
 def test_pii_links_equal_values_and_leaves_the_rest(spark):
     rows = [(1, "call +1 (017) 555-7713 or a.b@c.example.com"), (2, "+1 (017) 555-7713!!"), (3, "1990-02-31 999.1.1.1 version 1.2.3 of 2024"), (4, "nothing")]
     got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
@@ -117,26 +140,35 @@ def test_word_encoder_equals_the_tokenizer():
         assert np.frombuffer(words.encode(t, "H"), "<u2").tolist() == words.full.encode(t, add_special_tokens=False).ids, t
 
 
-def test_mix_stays_within_one_block(spark, docs):
-    volumes = spark.createDataFrame([(f"s{i}", 1000 * (i + 1) ** 3) for i in range(7)] + [(None, 5)], "source string, volume long")
-    plan = mixing.period(mixing.shares(volumes, None, 100), 100).orderBy("slot").collect()
-    share = {r.source: r.share for r in plan}
-    assert sum(share.values()) == 100 and [r.slot for r in plan] == list(range(100))
-    given = dict.fromkeys(share, 0)
-    for r in plan:
-        given[r.source] += 1
-        assert all(abs(given[s] - share[s] * (r.slot + 1) / 100) < 1 for s in share)
-    got = mixing.mix(docs, block_bytes=4096).collect()
-    assert len(got) == docs.count()
-    for s in {r.source for r in got}:
-        own, past = sorted((r for r in got if r.source == s), key=lambda r: r.doc_id), 0
-        for r in own:
-            assert r.block == past // 4096
-            past += r.n_bytes
-        slots = dict(sorted((r.block, r.slot) for r in own))
-        assert list(slots.values()) == sorted(slots.values())
-    given = spark.createDataFrame([("src0", 3.0), ("src1", 1.0)], "source string, weight double")
-    assert mixing.mix(docs, given).count() == docs.count()
+def test_mix_is_earliest_deadline_first(spark, docs, odd):
+    given = {"src0": 0.6, "src1": 0.3, "src2": 0.1}
+    for table, weights in ((docs, given), (docs, None), (docs, {"src0": 3.0, "src3": 0.00001}), (odd.dropDuplicates(["doc_id"]), None)):
+        frame = weights and spark.createDataFrame(list(weights.items()), "source string, weight double")
+        got = mixing.mix(table, frame, block_bytes=512).collect()
+        rows = [(r.doc_id, r.source, len((r.text or "").encode())) for r in table.select("doc_id", "source", "text").collect()]
+        want, slots, w = brute.mix(rows, weights, 512)
+        assert {(r.doc_id, r.source): (r.block, r.slot) for r in got} == want and len(got) == len(rows)
+    whole = mixing.shares(spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "source string, volume long"), spark.createDataFrame([("a", 0.6), ("b", 0.3), ("c", 0.1)], "source string, weight double"))
+    assert {r.source: round(r.weight, 12) for r in whole.collect()} == {"a": 0.6, "b": 0.3, "c": 0.1}
+
+
+def test_mix_never_drifts_from_its_weights(spark):
+    weights = [("a", 0.61803), ("b", 0.271828), ("c", 0.1), ("d", 0.010142)]
+    volumes = spark.createDataFrame([(s, 1) for s, _ in weights], "source string, volume long")
+    blocks = spark.createDataFrame(weights, "source string, weight double").selectExpr("source", "explode(sequence(0, cast(weight * 60000 as int))) AS block").selectExpr("source", "cast(block as long) AS block")
+    rows = sorted(mixing.slotted(blocks, mixing.shares(volumes, spark.createDataFrame(weights, "source string, weight double"))).collect(), key=lambda r: r.slot)
+    assert len({r.slot for r in rows}) == len(rows) == blocks.count()
+    total, done = sum(w for _, w in weights), dict.fromkeys("abcd", 0)
+    for t, r in enumerate(rows[:59_000]):
+        assert r.slot == t
+        done[r.source] += 1
+        assert all(abs(done[s] - w / total * (t + 1)) < 2 for s, w in weights)
+
+
+def test_mix_of_very_many_sources(spark):
+    table = spark.range(700).selectExpr("id AS doc_id", "'some text' AS text", "concat('s', id % 650) AS source")
+    got = mixing.mix(table, block_bytes=4).collect()
+    assert len(got) == 700 and len({(r.source, r.slot) for r in got}) == 700
 
 
 def test_packing_places_every_word_once(docs, odd):
@@ -158,6 +190,10 @@ def test_packing_places_every_word_once(docs, odd):
                 assert start == end
                 end += length
             assert {c for _, _, c in items} == {min(c for c in (64, 128, 512) if c >= end)}
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        lengths = sorted(map(int, rng.integers(1, 513, rng.integers(1, 90))), reverse=True)
+        assert packing.best_fit(lengths, (64, 128, 512)) == brute.best_fit(lengths, (64, 128, 512), packing.OVERHEAD)
     assert packing.best_fit([60, 50, 40, 4], (64, 128), 0) == [(0, 64, 0), (1, 64, 0), (2, 64, 0), (0, 64, 60)]
     assert packing.best_fit([60, 60, 8], (64, 128), 32) == [(0, 128, 0), (0, 128, 60), (0, 128, 120)]
 
@@ -174,6 +210,23 @@ def test_language_and_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == label[r.doc_id] for r in got]) > 0.9
 
 
+def test_language_and_quality_equal_plain_versions(spark, docs, odd):
+    table = docs.select("doc_id", "text", "lang").unionByName(odd.where("doc_id is null or doc_id not in (4, 10)").select("doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id") + 100_000))
+    rows = table.collect()
+    train = [(r.text, r.lang) for r in rows if r.text is not None and r.lang is not None and (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 3 != 1)]
+    want = brute.languages([(r.doc_id, r.text) for r in rows], train)
+    got = {r.doc_id: (r.lang_pred, r.score, r.held_out) for r in langid.identify(table).collect()}
+    assert got.keys() == want.keys()
+    for d, (lang, score) in want.items():
+        assert got[d][0] == lang and abs(got[d][1] - score) < 1e-9 and got[d][2] == (d is not None and zlib.crc32(str(d).encode()) % 3 == 1)
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality.train(docs, labels.selectExpr("doc_id", "quality AS label"))
+    scores = {r.doc_id: r.score for r in quality.score(table, model).collect()}
+    for r in rows:
+        if len(r.text or "") < 3000:
+            assert abs(scores[r.doc_id] - brute.quality((r.text or "").encode(), model.weights, model.bias)) < 1e-5
+
+
 def test_language_of_texts_without_letters(odd):
     got = {r.doc_id: r for r in langid.identify(odd).collect()}
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (1, 2, 3))
