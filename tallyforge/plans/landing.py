@@ -113,8 +113,12 @@ rl2 AS (
          CAST(CASE WHEN k = 6 AND lot = 0 THEN qty // 2 WHEN k = 6 THEN qty - qty // 2 WHEN k = 1 THEN qty - 1 WHEN k = 2 THEN qty + 1 WHEN k = 7 THEN 0 ELSE qty END AS BIGINT) AS rcv_qty FROM rl1),
 receipt_line AS (SELECT *, rcv_qty * rcv_price_c AS rcv_amount_c FROM rl2),
 active AS (SELECT * FROM receipt_line WHERE rcv_qty > 0),
-ids AS (SELECT n, lpad(CAST(n * 7919 + 100000000000 AS VARCHAR), 12, '0') AS body FROM range(0, 200000) r(n)),
-taxes AS (SELECT n, body || CAST((11 - list_sum([CAST(substr(body, i + 1, 1) AS BIGINT) * (13 - i) FOR i IN range(12)]) % 11) % 10 AS VARCHAR) AS tax FROM ids),
+ids AS (
+  SELECT n, lpad(CAST(n * 7919 + 100000000000 AS VARCHAR), 12, '0') AS body FROM (
+    SELECT n_nationkey AS n FROM nation UNION SELECT n_nationkey + 77 FROM nation UNION SELECT c_nationkey FROM customer UNION SELECT c_nationkey + 77 FROM customer
+    UNION SELECT s_suppkey + 1000 FROM supplier UNION SELECT s_suppkey + 5000 FROM supplier)),
+taxes AS MATERIALIZED (
+  SELECT n, body || CAST((11 - sum(CAST(substr(body, CAST(i AS INT) + 1, 1) AS BIGINT) * (13 - i)) % 11) % 10 AS VARCHAR) AS tax FROM ids CROSS JOIN range(12) d(i) GROUP BY n, body),
 entity AS (
   SELECT CAST(n_nationkey AS BIGINT) AS org_id, n_name || ' CO., LTD.' AS legal_name, r_name, tax AS tax_id, CASE WHEN n_nationkey % 9 = 4 THEN 'cancelled' ELSE 'active' END AS status, lpad(CAST(n_nationkey * 37 + 10000 AS VARCHAR), 5, '0') AS postal
   FROM nation JOIN region ON n_regionkey = r_regionkey JOIN taxes ON n = n_nationkey),
