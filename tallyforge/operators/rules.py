@@ -19,13 +19,12 @@ def outcome(rule: str, code: Column, severity: Column, result: Column | None = N
 
 
 def v01_required(header: DataFrame, profile: str = "v66") -> DataFrame:
-    """P-01, P-02: required fields, at least one line, all pages there; `missing` lists what isn't."""
-    fields = ("customer_name", "customer_tax_id", "invoice_num", "po_number")
-    missing = [F.when(F.coalesce(F.col(f), F.lit("")) == "", f) for f in fields]
-    missing += [F.when(F.col("n_lines") == 0, "lines"), F.when(~F.col("pages_complete"), "pages")]
-    h = header.withColumn("missing", F.array_compact(F.array(*missing)))
-    bad = F.size("missing") > 0
-    return h.select("doc_id", *outcome("V-01", F.when(bad, "E13" if profile == "v62" else "E01"), F.lit("Medium")), F.array_join("missing", ",").alias("missing"))
+    """P-01, P-02: required fields of the profile, at least one line, all pages there; `missing` lists what isn't."""
+    from tallyforge.operators import verdicts
+
+    h = header.withColumn("missing", verdicts.missing_fields(profile))
+    code = F.when(F.size("missing") > 0, config.CODES_V62["missing"] if profile == "v62" else config.CODES_V66["missing"])
+    return h.select("doc_id", *outcome("V-01", code, F.lit("Medium")), F.array_join("missing", ",").alias("missing"))
 
 
 def v02_line_math(header: DataFrame, lines: DataFrame, profile: str = "v66") -> DataFrame:
@@ -68,18 +67,6 @@ def v04_receipts(header: DataFrame, active: DataFrame, profile: str = "v66", mul
     return h.select("doc_id", *outcome("V-04", code, F.lit("High"), result), "rows", "receipts")
 
 
-def v05_entity(header: DataFrame, entity: DataFrame) -> DataFrame:
-    """J-11, J-12 by tax id only (no address, postal or branch check, no name similarity): a known, active entity with this tax id; its name after normalising."""
-    from tallyforge.functions import normalize as N
-
-    e = entity.select("org_id", F.col("tax_id").alias("known_tax"), "status", "legal_name")
-    h = header.join(F.broadcast(e), "org_id", "left")  # one row an organisation
-    manual = F.col("known_tax").isNull() | (F.col("status") == "cancelled")
-    code = F.when(~manual & (F.col("customer_tax_id") != F.col("known_tax")), "E07")
-    result = F.when(manual, "manual_review").when(code.isNotNull(), "fail").otherwise("pass")
-    return h.select("doc_id", *outcome("V-05", code, F.lit("High"), result), N.name_key(F.col("legal_name")).alias("entity_name"))
-
-
 def v06_signatures(header: DataFrame, profile: str = "v66") -> DataFrame:
     """P-07, P-08."""
     code = F.when(~F.col("receiver") | ~F.col("deliverer"), "E26" if profile == "v62" else "E08")
@@ -124,33 +111,3 @@ def v09_receipt_total(header: DataFrame, active: DataFrame) -> DataFrame:
     code = F.when(diff > config.TOTAL_TOLERANCE_C, "E03")
     result = F.when(F.col("receipt_c").isNull() | F.col("sub_total_c").isNull(), "not_evaluated").when(code.isNotNull(), "fail").otherwise("pass")
     return h.select("doc_id", *outcome("V-09", code, F.lit("High"), result), diff.alias("diff_c"))
-
-
-def of_lines(header: DataFrame, findings: DataFrame, rule: str) -> DataFrame:
-    """V-07 or V-08 of each document from its line findings: the worst severity, and its least code."""
-    rank = F.when(F.col("severity") == "High", 0).otherwise(1)
-    worst = findings.where(F.col("rule_id") == rule).groupBy("doc_id").agg(F.min(F.struct(rank.alias("rank"), "code", "severity")).alias("w"))
-    h = header.select("doc_id").join(worst, "doc_id", "left")
-    return h.select("doc_id", *outcome(rule, F.col("w.code"), F.col("w.severity")))
-
-
-def rule_results(header: DataFrame, lines: DataFrame, active: DataFrame, entity: DataFrame) -> DataFrame:
-    """doc_id, rule_id, result, code, severity: all nine rules of all documents, with the gates (P-10): after a failed V-02 nothing is looked up, without one receipt nothing is matched."""
-    findings = line_findings(compared(lines, active))
-    cols = ["doc_id", "rule_id", "result", "code", "severity"]
-    v02, v04 = v02_line_math(header, lines), v04_receipts(header, active)
-    gate = v02.select("doc_id", (F.col("result") == "fail").alias("no_lookup")).join(v04.select("doc_id", (F.col("result") != "pass").alias("no_match")), "doc_id")
-    first = [v01_required(header), v02, v03_totals(header), v06_signatures(header)]
-    second = [v04, v05_entity(header, entity)]
-    third = [of_lines(header, findings, "V-07"), of_lines(header, findings, "V-08"), v09_receipt_total(header, active)]
-    union = lambda frames: _union([f.select(cols) for f in frames])
-    closed = lambda df, cond: df.join(gate, "doc_id").select("doc_id", "rule_id", *(F.when(cond, F.lit(v)).otherwise(F.col(c)).alias(c) for c, v in (("result", "not_evaluated"), ("code", None), ("severity", None))), F.when(cond, F.when(F.col("no_lookup"), "V-02").otherwise("V-04")).alias("halted_by"))
-    free = union(first).withColumn("halted_by", F.lit(None).cast("string"))
-    return free.unionByName(closed(union(second), F.col("no_lookup"))).unionByName(closed(union(third), F.col("no_lookup") | F.col("no_match")))
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out

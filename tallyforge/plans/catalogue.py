@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge import config
 from tallyforge.functions import normalize as N
-from tallyforge.operators import decision, evidence, geometry, lookup, matching, ordered, rules, store
+from tallyforge.operators import decision, evidence, geometry, lookup, matching, ordered, rules, store, verdicts
 from tallyforge.plans.landing import SQL_VIEWS, Landing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +34,8 @@ def longs(df: DataFrame, *names: str) -> DataFrame:
 # --- rules -----------------------------------------------------------------------------------------
 
 V01 = """, v01 AS (
-  SELECT doc_id, concat_ws(',', CASE WHEN coalesce(customer_name, '') = '' THEN 'customer_name' END, CASE WHEN coalesce(customer_tax_id, '') = '' THEN 'customer_tax_id' END, CASE WHEN n_lines = 0 THEN 'lines' END, CASE WHEN NOT pages_complete THEN 'pages' END) AS missing FROM bill_header),
+  SELECT doc_id, concat_ws(',', CASE WHEN coalesce(invoice_num, '') = '' THEN 'invoice_num' END, CASE WHEN coalesce(po_number, '') = '' THEN 'po_number' END, CASE WHEN coalesce(customer_name, '') = '' THEN 'customer_name' END, CASE WHEN coalesce(customer_address, '') = '' THEN 'customer_address' END,
+    CASE WHEN coalesce(customer_tax_id, '') = '' THEN 'customer_tax_id' END, CASE WHEN sub_total_c IS NULL THEN 'sub_total' END, CASE WHEN vat_c IS NULL THEN 'vat' END, CASE WHEN grand_c IS NULL THEN 'grand_total' END, CASE WHEN n_lines = 0 THEN 'lines' END, CASE WHEN NOT pages_complete THEN 'pages' END) AS missing FROM bill_header),
 v01r AS (SELECT doc_id, 'V-01' AS rule_id, CASE WHEN missing = '' THEN 'pass' ELSE 'fail' END AS result, CASE WHEN missing <> '' THEN 'E01' END AS code, CASE WHEN missing <> '' THEN 'Medium' END AS severity, missing FROM v01)"""
 V02 = """, m2 AS (SELECT doc_id, count(*) AS checked, CAST(sum(CASE WHEN abs(qty * price_c - amount_c) > 50 THEN 1 ELSE 0 END) AS BIGINT) AS bad FROM bill_line GROUP BY doc_id),
 v02r AS (SELECT h.doc_id, 'V-02' AS rule_id, CASE WHEN checked IS NULL THEN 'not_evaluated' WHEN bad > 0 THEN 'fail' ELSE 'pass' END AS result, CASE WHEN bad > 0 THEN 'E02' END AS code, CASE WHEN bad > 0 THEN 'High' END AS severity, coalesce(bad, 0) AS bad_lines FROM bill_header h LEFT JOIN m2 USING (doc_id))"""
@@ -47,8 +48,16 @@ V04 = """, n4 AS (SELECT doc_id, count(*) AS rows, count(DISTINCT receipt_num) A
 v04r AS (SELECT h.doc_id, 'V-04' AS rule_id, CASE WHEN n4.rows IS NULL OR receipts > 1 THEN 'fail' WHEN n4.rows >= 50 THEN 'manual_review' ELSE 'pass' END AS result,
   CASE WHEN n4.rows IS NULL THEN 'E05' WHEN receipts > 1 THEN 'E06' END AS code, CASE WHEN n4.rows IS NULL OR receipts > 1 THEN 'High' END AS severity, coalesce(n4.rows, 0) AS rows, coalesce(receipts, 0) AS receipts
   FROM bill_header h LEFT JOIN n4 USING (doc_id))"""
-V05 = """, v05r AS (SELECT doc_id, 'V-05' AS rule_id, CASE WHEN e.tax_id IS NULL OR e.status = 'cancelled' THEN 'manual_review' WHEN customer_tax_id <> e.tax_id THEN 'fail' ELSE 'pass' END AS result,
-  CASE WHEN e.status = 'active' AND customer_tax_id <> e.tax_id THEN 'E07' END AS code, CASE WHEN e.status = 'active' AND customer_tax_id <> e.tax_id THEN 'High' END AS severity, legal_name FROM bill_header LEFT JOIN entity e USING (org_id))"""
+V05 = """, e5 AS (
+  SELECT h.*, e.status, e.tax_id AS known_tax, e.postal, e.n_name, lower(regexp_replace(coalesce(buyer_name, ''), '[.,()-]', ' ', 'g')) AS low,
+    CASE WHEN buyer_name LIKE 'The % Company Limited' OR buyer_name LIKE '% head office' THEN 'alike' WHEN buyer_name LIKE '% EXPORT' THEN 'export' WHEN buyer_name IS NULL THEN 'none' ELSE 'other' END AS kind FROM bill_header h LEFT JOIN entity e USING (org_id)),
+w5 AS (SELECT *, list_filter(regexp_split_to_array(lower(n_name), '[^a-z0-9]+'), lambda w: len(w) > 1) AS ws FROM e5),
+n5 AS (SELECT *, CASE kind WHEN 'alike' THEN 0.9 WHEN 'export' THEN len(ws) / (len(ws) + 1.0) ELSE 0.0 END AS likeness,
+  customer_address LIKE '99/1 Main Road ' || postal OR customer_address LIKE '7 Branch Road ' || postal AS there FROM w5),
+v05r AS (SELECT doc_id, 'V-05' AS rule_id, CASE WHEN known_tax IS NULL OR status = 'cancelled' THEN 'manual_review' WHEN customer_tax_id <> known_tax THEN 'fail' WHEN kind <> 'none' AND likeness < 0.75 AND 0.6 + 0.4 * likeness < 0.85 THEN 'manual_review'
+    WHEN (kind <> 'none' AND likeness < 0.75) OR NOT coalesce(there, true) THEN 'fail' WHEN kind = 'none' OR customer_address IS NULL THEN 'not_evaluated' ELSE 'pass' END AS result,
+  CASE WHEN known_tax IS NULL OR status = 'cancelled' THEN NULL WHEN customer_tax_id <> known_tax THEN 'High' WHEN kind <> 'none' AND likeness < 0.75 AND 0.6 + 0.4 * likeness < 0.85 THEN NULL WHEN (kind <> 'none' AND likeness < 0.75) OR NOT coalesce(there, true) THEN 'Medium' END AS severity,
+  CASE WHEN severity IS NOT NULL THEN 'E07' END AS code, CASE WHEN result = 'not_evaluated' THEN 'V-01' END AS cause FROM n5)"""
 V06 = """, v06r AS (SELECT doc_id, 'V-06' AS rule_id, CASE WHEN receiver AND deliverer THEN 'pass' ELSE 'fail' END AS result, CASE WHEN NOT receiver OR NOT deliverer THEN 'E08' END AS code, CASE WHEN NOT receiver THEN 'High' WHEN NOT deliverer THEN 'Medium' END AS severity FROM bill_header)"""
 COMPARED = """, lots AS (SELECT doc_id, rcv_line AS line_no, CAST(sum(rcv_qty) AS BIGINT) AS rcv_qty, arg_min(rcv_price_c, lot) AS rcv_price_c, arg_min(rcv_uom, lot) AS rcv_uom, CAST(sum(rcv_amount_c) AS BIGINT) AS rcv_amount_c, count(*) AS lots FROM active GROUP BY 1, 2),
 compared AS (SELECT b.*, l.rcv_qty, l.rcv_price_c, l.rcv_uom, l.rcv_amount_c FROM bill_line b LEFT JOIN lots l USING (doc_id, line_no))"""
@@ -67,17 +76,21 @@ w78 AS (SELECT doc_id, rule_id, arg_min(code, (CASE severity WHEN 'High' THEN 'a
 v78r AS (SELECT h.doc_id, r.rule_id, CASE WHEN w.code IS NULL THEN 'pass' ELSE 'fail' END AS result, w.code, w.severity FROM bill_header h CROSS JOIN (VALUES ('V-07'), ('V-08')) r(rule_id) LEFT JOIN w78 w ON w.doc_id = h.doc_id AND w.rule_id = r.rule_id),
 gate AS (SELECT v02r.doc_id, v02r.result = 'fail' AS no_lookup, v04r.result <> 'pass' AS no_match FROM v02r JOIN v04r USING (doc_id)),
 raw AS (
-  SELECT doc_id, rule_id, result, code, severity, 0 AS step FROM v01r UNION ALL SELECT doc_id, rule_id, result, code, severity, 0 FROM v02r UNION ALL SELECT doc_id, rule_id, result, code, severity, 0 FROM v03r UNION ALL SELECT doc_id, rule_id, result, code, severity, 0 FROM v06r
-  UNION ALL SELECT doc_id, rule_id, result, code, severity, 1 FROM v04r UNION ALL SELECT doc_id, rule_id, result, code, severity, 1 FROM v05r
-  UNION ALL SELECT doc_id, rule_id, result, code, severity, 2 FROM v78r UNION ALL SELECT doc_id, rule_id, result, code, severity, 2 FROM v09r),
+  SELECT doc_id, rule_id, result, code, severity, NULL AS cause, 0 AS step FROM v01r UNION ALL SELECT doc_id, rule_id, result, code, severity, NULL, 0 FROM v02r UNION ALL SELECT doc_id, rule_id, result, code, severity, NULL, 0 FROM v03r UNION ALL SELECT doc_id, rule_id, result, code, severity, NULL, 0 FROM v06r
+  UNION ALL SELECT doc_id, rule_id, result, code, severity, NULL, 1 FROM v04r UNION ALL SELECT doc_id, rule_id, result, code, severity, cause, 1 FROM v05r
+  UNION ALL SELECT doc_id, rule_id, result, code, severity, NULL, 2 FROM v78r UNION ALL SELECT doc_id, rule_id, result, code, severity, NULL, 2 FROM v09r),
 shut AS (SELECT raw.*, CASE WHEN step > 0 AND no_lookup THEN 'V-02' WHEN step = 2 AND no_match THEN 'V-04' END AS halted_by FROM raw JOIN gate USING (doc_id)),
-results AS (SELECT doc_id, rule_id, CASE WHEN halted_by IS NULL THEN result ELSE 'not_evaluated' END AS result, CASE WHEN halted_by IS NULL THEN code END AS code, CASE WHEN halted_by IS NULL THEN severity END AS severity, halted_by FROM shut),
+results AS (SELECT doc_id, rule_id, CASE WHEN halted_by IS NULL THEN result ELSE 'not_evaluated' END AS result, CASE WHEN halted_by IS NULL THEN code END AS code, CASE WHEN halted_by IS NULL THEN severity END AS severity, coalesce(halted_by, cause) AS halted_by FROM shut),
 agg AS (SELECT doc_id, bool_or(result = 'manual_review') AS manual, max(CASE severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END) AS sev, bool_or(result = 'not_evaluated' AND halted_by IS NULL) AS open, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS codes FROM results GROUP BY doc_id),
 recommended AS (SELECT doc_id, CASE WHEN manual THEN 'MANUAL_REVIEW' WHEN sev = 3 THEN 'HOLD' WHEN sev = 2 THEN 'REVIEW' WHEN open THEN 'MANUAL_REVIEW' ELSE 'AUTO_PASS' END AS recommendation, ['None', 'Low', 'Medium', 'High'][sev + 1] AS max_severity, codes FROM agg)"""
 
 
-def results(x: Landing) -> DataFrame:
-    return rules.rule_results(x.bill_header, x.bill_line, x.active, x.entity)
+def judged(x: Landing, profile: str = "v66") -> DataFrame:
+    return verdicts.outcomes(x.bill_header, x.bill_line, x.active, x.entity, profile)
+
+
+def results(x: Landing, profile: str = "v66") -> DataFrame:
+    return verdicts.rule_results(x.bill_header, x.bill_line, x.active, x.entity, profile)
 
 
 @query(V01 + "SELECT * FROM v01r")
@@ -112,9 +125,9 @@ def v04_multi_po_flag(x: Landing) -> DataFrame:
     return rules.v04_receipts(x.bill_header, x.active, multi=True)
 
 
-@query(V05 + "SELECT doc_id, rule_id, result, code, severity, lower(replace(replace(legal_name, ' CO., LTD.', ''), '  ', ' ')) AS entity_name FROM v05r")
+@query(V05 + "SELECT doc_id, result, code, severity, cause AS halted_by FROM v05r")
 def entity_check_v05(x: Landing) -> DataFrame:
-    return rules.v05_entity(x.bill_header, x.entity)
+    return verdicts.entity_check(x.bill_header, x.entity)
 
 
 @query(V06 + "SELECT * FROM v06r")
@@ -159,17 +172,17 @@ def rule_results(x: Landing) -> DataFrame:
 
 @query(RESULTS + "SELECT * FROM recommended")
 def recommendation(x: Landing) -> DataFrame:
-    return decision.recommend(results(x))
+    return verdicts.recommended(judged(x))
 
 
 @query(RESULTS + "SELECT recommendation, count(*) AS n_docs FROM recommended GROUP BY 1")
 def decision_summary(x: Landing) -> DataFrame:
-    return decision.recommend(results(x)).groupBy("recommendation").agg(F.count("*").alias("n_docs")).orderBy("recommendation")
+    return verdicts.recommended(judged(x)).groupBy("recommendation").agg(F.count("*").alias("n_docs")).orderBy("recommendation")
 
 
 @query(RESULTS + """SELECT doc_id, recommendation, CASE WHEN recommendation = 'AUTO_PASS' THEN 'none' WHEN len(list_intersect(string_split(codes, ','), ['E01', 'E05', 'E06', 'E08', 'E10', 'E14', 'E15'])) > 0 THEN 'user' ELSE 'accounting' END AS assigned_to FROM recommended""")
 def routing(x: Landing) -> DataFrame:
-    return decision.route(decision.recommend(results(x)))
+    return decision.route(verdicts.recommended(judged(x)))
 
 
 @query(RESULTS + """SELECT h.doc_id, r.rule_id, coalesce(v.result, 'not_evaluated') AS result FROM bill_header h CROSS JOIN (VALUES ('V-01'), ('V-02'), ('V-03'), ('V-04'), ('V-05'), ('V-06'), ('V-07'), ('V-08'), ('V-09')) r(rule_id) LEFT JOIN (SELECT * FROM results WHERE halted_by IS NULL) v ON v.doc_id = h.doc_id AND v.rule_id = r.rule_id""")
@@ -194,60 +207,138 @@ def step_status(x: Landing) -> DataFrame:
 
 @query(RESULTS + """SELECT recommendation, count(*) AS n_docs, CAST(count(*) * 1000 // sum(count(*)) OVER () AS BIGINT) AS per_mille FROM recommended GROUP BY 1""")
 def decision_shares(x: Landing) -> DataFrame:
-    n = decision.recommend(results(x)).groupBy("recommendation").agg(F.count("*").alias("n_docs"))
+    n = verdicts.recommended(judged(x)).groupBy("recommendation").agg(F.count("*").alias("n_docs"))
     return n.withColumn("per_mille", F.floor(F.col("n_docs") * 1000 / F.sum("n_docs").over(Window.partitionBy())).cast("long"))  # a row a status
 
 
-@query(RESULTS + """SELECT count(*) AS visible, count(*) FILTER (recommendation = 'AUTO_PASS') AS passed, count(*) FILTER (recommendation = 'HOLD') AS held, count(*) FILTER (recommendation = 'REVIEW') AS review, count(*) FILTER (recommendation = 'MANUAL_REVIEW') AS manual, count(*) FILTER (doc_id % 50 = 7) AS duplicates FROM recommended""")
+@query(RESULTS + """SELECT count(*) AS visible, count(*) FILTER (recommendation = 'AUTO_PASS') AS passed, count(*) FILTER (recommendation = 'HOLD') AS held, count(*) FILTER (recommendation = 'REVIEW') AS review, count(*) FILTER (recommendation = 'MANUAL_REVIEW') AS manual, count(*) FILTER (is_duplicate) AS duplicates FROM recommended JOIN bill_header USING (doc_id)""")
 def kpi_counts(x: Landing) -> DataFrame:
-    r = decision.recommend(results(x))
+    r = verdicts.recommended(judged(x)).join(x.bill_header.select("doc_id", "is_duplicate"), "doc_id")
     n = lambda v, name: F.count_if(F.col("recommendation") == v).alias(name)
-    return r.agg(F.count("*").alias("visible"), n("AUTO_PASS", "passed"), n("HOLD", "held"), n("REVIEW", "review"), n("MANUAL_REVIEW", "manual"), F.count_if(F.col("doc_id") % 50 == 7).alias("duplicates"))
+    return r.agg(F.count("*").alias("visible"), n("AUTO_PASS", "passed"), n("HOLD", "held"), n("REVIEW", "review"), n("MANUAL_REVIEW", "manual"), F.count_if("is_duplicate").alias("duplicates"))
 
 
 @query(RESULTS + """SELECT r.doc_id, r.recommendation, CASE WHEN bool_or(v.result = 'manual_review') THEN 'MANUAL_REVIEW' WHEN bool_or(v.result = 'fail') THEN 'HOLD' ELSE 'AUTO_PASS' END AS recomputed FROM recommended r JOIN results v USING (doc_id) GROUP BY 1, 2 HAVING recomputed <> r.recommendation""")
 def status_drift(x: Landing) -> DataFrame:
-    r = results(x)
-    again = F.when(F.bool_or(F.col("result") == "manual_review"), "MANUAL_REVIEW").when(F.bool_or(F.col("result") == "fail"), "HOLD").otherwise("AUTO_PASS")
-    return decision.recommend(r).join(r.groupBy("doc_id").agg(again.alias("recomputed")), "doc_id").where("recommendation <> recomputed").select("doc_id", "recommendation", "recomputed")
+    any_ = lambda value: F.exists("rules", lambda y: y["result"] == value)
+    again = F.when(any_("manual_review"), "MANUAL_REVIEW").when(any_("fail"), "HOLD").otherwise("AUTO_PASS")
+    both = verdicts.recommended(judged(x).withColumn("recomputed", again), "recomputed")
+    return both.where("recommendation <> recomputed").select("doc_id", "recommendation", "recomputed")
+
+
+RESULTS_V62 = V03 + V04 + COMPARED + """, m62 AS (
+  SELECT doc_id, bool_or(abs(qty * price_c - amount_c) > 50) AS bad, bool_or(rcv_qty IS NULL) AS e30, bool_or(price_c <> rcv_price_c AND NOT (abs(price_c - rcv_price_c) * 100 <= rcv_price_c AND abs(price_c - rcv_price_c) <= 20000)) AS e05,
+    bool_or(price_c <> rcv_price_c AND abs(price_c - rcv_price_c) * 100 <= rcv_price_c AND abs(price_c - rcv_price_c) <= 20000) AS e29, bool_or(uom <> rcv_uom AND NOT (uom IN ('PC', 'SET') AND rcv_uom IN ('PC', 'SET'))) AS e12, bool_or(qty > rcv_qty) AS e06, bool_or(qty < rcv_qty) AS e34 FROM compared GROUP BY 1),
+t62 AS (SELECT doc_id, CAST(sum(rcv_amount_c) AS BIGINT) AS receipt_c FROM active GROUP BY 1),
+h62 AS (SELECT h.*, e.tax_id AS known_tax, e.postal, coalesce(bad, false) AS bad, coalesce(e30, false) AS e30, coalesce(e05, false) AS e05, coalesce(e29, false) AS e29, coalesce(e12, false) AS e12, coalesce(e06, false) AS e06, coalesce(e34, false) AS e34, abs(sub_total_c - receipt_c) AS off,
+    v3.severity AS s3, v4.result AS r4, v4.code AS c4 FROM bill_header h LEFT JOIN entity e USING (org_id) LEFT JOIN m62 USING (doc_id) LEFT JOIN t62 USING (doc_id) JOIN v03r v3 USING (doc_id) JOIN v04r v4 USING (doc_id)),
+raw62 AS (
+  SELECT doc_id, 'V-01' AS rule_id, 0 AS step, CASE WHEN coalesce(supplier_name, '') = '' OR coalesce(supplier_tax_id, '') = '' OR coalesce(customer_name, '') = '' OR coalesce(customer_tax_id, '') = '' OR invoice_num IS NULL OR invoice_date IS NULL OR po_number IS NULL OR n_lines = 0 OR NOT pages_complete THEN 'E13' END AS code, 'Medium' AS severity, NULL AS other FROM h62
+  UNION ALL SELECT doc_id, 'V-02', 0, CASE WHEN bad THEN 'E28' END, 'High', NULL FROM h62
+  UNION ALL SELECT doc_id, 'V-03', 0, CASE s3 WHEN 'High' THEN 'E31' WHEN 'Low' THEN 'E16' END, s3, NULL FROM h62
+  UNION ALL SELECT doc_id, 'V-04', 1, CASE c4 WHEN 'E05' THEN 'E17' WHEN 'E06' THEN 'E35' END, 'High', CASE WHEN r4 = 'manual_review' THEN r4 END FROM h62
+  UNION ALL SELECT doc_id, 'V-05', 1, CASE WHEN known_tax IS NULL THEN NULL WHEN customer_tax_id IS DISTINCT FROM known_tax OR NOT (coalesce(customer_address, '') = '' OR contains(customer_address, postal)) THEN 'E09' END, CASE WHEN customer_tax_id IS DISTINCT FROM known_tax THEN 'High' ELSE 'Medium' END, CASE WHEN known_tax IS NULL THEN 'manual_review' END FROM h62
+  UNION ALL SELECT doc_id, 'V-06', 0, CASE WHEN pages_complete AND NOT (receiver AND deliverer) THEN 'E26' END, CASE WHEN NOT receiver THEN 'High' ELSE 'Medium' END, NULL FROM h62
+  UNION ALL SELECT doc_id, 'V-07', 2, CASE WHEN e30 OR e05 THEN 'E05' END, 'High', NULL FROM h62 UNION ALL SELECT doc_id, 'V-08', 2, CASE WHEN e06 THEN 'E06' END, 'High', NULL FROM h62
+  UNION ALL SELECT doc_id, 'V-09', 2, CASE WHEN off > 50 THEN 'E31' END, 'High', CASE WHEN off IS NULL THEN 'not_evaluated' END FROM h62),
+stop62 AS (SELECT raw62.*, CASE WHEN step > 0 AND bad THEN 'V-02' WHEN step = 2 AND r4 <> 'pass' THEN 'V-04' END AS halted_by FROM raw62 JOIN h62 USING (doc_id)),
+results62 AS (SELECT doc_id, rule_id, CASE WHEN halted_by IS NOT NULL THEN 'not_evaluated' WHEN other IS NOT NULL THEN other WHEN code IS NULL OR severity = 'Low' THEN 'pass' ELSE 'fail' END AS result, CASE WHEN halted_by IS NULL THEN code END AS code, CASE WHEN halted_by IS NULL AND code IS NOT NULL THEN severity END AS severity, halted_by FROM stop62),
+found62 AS (SELECT doc_id, code, severity FROM results62 WHERE code IS NOT NULL UNION SELECT doc_id, x.code, x.severity FROM (SELECT doc_id, unnest([CASE WHEN e30 THEN {'code': 'E30', 'severity': 'High'} END, CASE WHEN e05 THEN {'code': 'E05', 'severity': 'High'} END, CASE WHEN e29 THEN {'code': 'E29', 'severity': 'Low'} END,
+    CASE WHEN e12 THEN {'code': 'E12', 'severity': 'Medium'} END, CASE WHEN e06 THEN {'code': 'E06', 'severity': 'High'} END, CASE WHEN e34 THEN {'code': 'E34', 'severity': 'Medium'} END]) AS x FROM h62 WHERE NOT bad AND r4 = 'pass') WHERE x IS NOT NULL),
+sum62 AS (SELECT doc_id, bool_or(severity = 'High') AS high, bool_or(severity = 'Medium') AS medium, string_agg(DISTINCT code, ',' ORDER BY code) AS codes, bool_or(code IN ('E06', 'E12', 'E13', 'E17', 'E26', 'E34', 'E35')) AS usr FROM found62 GROUP BY 1),
+decided62 AS (SELECT h.doc_id, CASE WHEN m.manual THEN 'Manual Review' WHEN high THEN 'Hold' WHEN medium THEN 'Review' ELSE 'Auto-pass' END AS status, coalesce(codes, '') AS codes, coalesce(usr, false) AS usr FROM bill_header h LEFT JOIN sum62 USING (doc_id) JOIN (SELECT doc_id, bool_or(result = 'manual_review') AS manual FROM results62 GROUP BY 1) m USING (doc_id))"""
+
+
+@query(RESULTS_V62 + "SELECT * FROM results62")
+def rule_results_v62(x: Landing) -> DataFrame:
+    return results(x, "v62")
+
+
+@query(RESULTS_V62 + "SELECT doc_id, status, CASE WHEN status = 'Auto-pass' THEN 'none' WHEN usr THEN 'user' ELSE 'accounting' END AS assigned_to, codes FROM decided62")
+def decision_v62(x: Landing) -> DataFrame:
+    return verdicts.decided_v62(judged(x, "v62"))
+
+
+@query(RESULTS_V62 + "SELECT doc_id, coalesce(other, CASE WHEN code IS NULL THEN 'pass' ELSE 'fail' END) AS result, code, CASE WHEN code IS NOT NULL THEN severity END AS severity, CAST(NULL AS VARCHAR) AS halted_by FROM raw62 WHERE rule_id = 'V-05'")
+def entity_check_v62(x: Landing) -> DataFrame:
+    return verdicts.entity_check(x.bill_header, x.entity, "v62")
 
 
 # --- lookups ---------------------------------------------------------------------------------------
 
-HEADS = """, heads AS (SELECT 'INV' || CAST(doc_id AS VARCHAR) AS booked_invoice, CAST(doc_id + 50000000 AS VARCHAR) AS booked_po, receipt_num, min(supp) AS supp, count(*) AS n_rows FROM active GROUP BY doc_id, receipt_num),
-norm AS (SELECT doc_id, po_number, upper(replace(replace(invoice_num, ' ', ''), '-', '/')) AS s FROM bill_header),
-sp AS (SELECT doc_id, po_number, s AS spelling, 0 AS place FROM norm UNION SELECT doc_id, po_number, replace(s, '/', ''), 1 FROM norm WHERE replace(s, '/', '') <> s UNION SELECT doc_id, po_number, 'INV/' || substr(s, 4), 2 FROM norm WHERE substr(s, 4, 1) <> '/'),
-by_invoice AS (SELECT doc_id, receipt_num, n_rows, supp, min(CASE WHEN place = 0 THEN 'EXACT' ELSE 'NORMALIZED' END) AS match_mode FROM sp JOIN heads ON spelling = booked_invoice GROUP BY 1, 2, 3, 4),
-by_po AS (SELECT doc_id, receipt_num, n_rows, supp, 'PO' AS match_mode FROM bill_header JOIN heads ON po_number = booked_po)"""
-
-
-@query(HEADS + "SELECT * FROM by_invoice")
+NORM = """, sp AS (
+  SELECT doc_id, po_number, spelling, min(place) AS place FROM (
+    SELECT doc_id, po_number, s AS spelling, 0 AS place FROM norm UNION ALL SELECT doc_id, po_number, replace(s, '/', ''), 1 FROM norm UNION ALL SELECT doc_id, po_number, 'INV/' || substr(s, 4), 2 FROM norm WHERE s LIKE 'INV%' AND len(s) > 3 AND substr(s, 4, 1) <> '/'
+    UNION ALL SELECT doc_id, po_number, 'INV' || substr(s, 5), 3 FROM norm WHERE s LIKE 'INV/%') GROUP BY 1, 2, 3)"""
+HEADS = """, norm AS (SELECT doc_id, po_number, upper(replace(replace(invoice_num, ' ', ''), '-', '/')) AS s FROM bill_header)""" + NORM + """,
+fallback AS (SELECT booked_po AS po_number, min(supplier_tax) AS po_tax FROM receipt_head GROUP BY 1),
+taxed AS (SELECT sp.*, read_tax, coalesce(read_tax, po_tax) AS tax FROM sp JOIN bill_key USING (doc_id) LEFT JOIN fallback ON sp.po_number = fallback.po_number),
+ks AS (SELECT t.*, h.receipt_num, h.n_rows, h.supp, h.booked_po, h.supplier_tax, CASE WHEN spelling = booked_invoice THEN 1 ELSE 2 END AS col FROM taxed t JOIN receipt_head h ON spelling = booked_invoice OR spelling = paid_invoice),
+by_po AS (SELECT doc_id, receipt_num, n_rows, supp, 'PO' AS match_mode FROM bill_header JOIN receipt_head ON po_number = booked_po),
+by_po_invoice AS (SELECT doc_id, receipt_num, n_rows, supp, CASE WHEN min(place) = 0 THEN 'EXACT' ELSE 'NORMALIZED' END AS match_mode FROM ks WHERE po_number = booked_po AND col = 1 GROUP BY 1, 2, 3, 4),
+by_tax AS (SELECT doc_id, receipt_num, n_rows, supp, CASE WHEN min(place) = 0 THEN 'EXACT' ELSE 'NORMALIZED' END AS match_mode FROM ks WHERE tax = supplier_tax AND col = 1 GROUP BY 1, 2, 3, 4),
+by_tax_columns AS (SELECT doc_id, receipt_num, n_rows, supp, CASE min(col) WHEN 1 THEN 'booked_invoice' ELSE 'paid_invoice' END AS match_mode FROM ks WHERE tax = supplier_tax GROUP BY 1, 2, 3, 4),
+unified AS (SELECT doc_id, receipt_num, n_rows, supp, CASE WHEN min(place) = 0 THEN 'EXACT' ELSE 'NORMALIZED' END AS match_mode FROM ks WHERE read_tax = supplier_tax GROUP BY 1, 2, 3, 4)"""
+FIRST = " QUALIFY level = min(level) OVER (PARTITION BY doc_id)"
+
+
+@query(HEADS + "SELECT * FROM unified")
 def unified_receipt_lookup(x: Landing) -> DataFrame:
-    return lookup.by_invoice(x.bill_header, lookup.receipt_heads(x.active))
+    return lookup.unified(x.bill_key, x.receipt_head)
 
 
-@query(HEADS + "SELECT doc_id, spelling, place AS kind FROM sp")
+@query(HEADS + "SELECT doc_id, spelling, CAST(CASE WHEN place = 0 THEN 0 WHEN contains(spelling, '/') THEN 2 ELSE 1 END AS INT) AS kind FROM sp")
 def invoice_variants(x: Landing) -> DataFrame:
-    s = lookup.spelled(x.bill_header)
+    s = lookup.spelled(x.bill_key)
     kind = F.when(F.col("place") == 0, 0).when(F.col("spelling").contains("/"), 2).otherwise(1)
     return s.select("doc_id", "spelling", kind.alias("kind"))
 
 
+@query(""", v AS (SELECT doc_id, unnest([invoice_num, upper(invoice_num), replace(invoice_num, ' ', ''), replace(invoice_num, '/', ''), upper(replace(replace(invoice_num, ' ', ''), '/', '')), upper(replace(invoice_num, '/', ''))]) AS spelling, generate_subscripts([1, 2, 3, 4, 5, 6], 1) AS pos FROM bill_header)
+SELECT doc_id, spelling, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) - 1 AS place FROM v WHERE regexp_full_match(spelling, '[A-Za-z0-9/_.-]{1,40}') GROUP BY 1, 2""")
+def invoice_variants_by_code(x: Landing) -> DataFrame:
+    return x.bill_header.select("doc_id", F.posexplode(N.code_variants(F.col("invoice_num"))).alias("place", "spelling")).withColumn("place", F.col("place").cast("long"))
+
+
 @query(HEADS + "SELECT * FROM by_po")
 def po_list_fallback(x: Landing) -> DataFrame:
-    return lookup.by_po(x.bill_header, lookup.receipt_heads(x.active))
+    return lookup.by_po(x.bill_key, x.receipt_head)
+
+
+@query(HEADS + "SELECT * FROM by_po_invoice")
+def rcv_po_invoice(x: Landing) -> DataFrame:
+    return lookup.by_po_invoice(x.bill_key, x.receipt_head)
 
 
-@query(HEADS + "SELECT doc_id, receipt_num, n_rows, supp, 'PREFIX' AS match_mode FROM (SELECT doc_id, po_number, upper(replace(replace(replace(invoice_num, ' ', ''), '-', ''), '/', '')) AS k FROM bill_header) JOIN heads ON k = booked_invoice AND po_number = booked_po")
+@query(HEADS + "SELECT * FROM by_tax")
+def rcv_tax_invoice(x: Landing) -> DataFrame:
+    return lookup.by_tax_invoice(lookup.with_tax(x.bill_key, x.receipt_head), x.receipt_head)
+
+
+@query(HEADS + "SELECT * FROM by_tax_columns")
+def tax_invoice_columns(x: Landing) -> DataFrame:
+    return lookup.by_tax_columns(lookup.with_tax(x.bill_key, x.receipt_head), x.receipt_head)
+
+
+@query(HEADS + "SELECT doc_id, receipt_num, n_rows, supp, 'PREFIX' AS match_mode FROM (SELECT doc_id, po_number, upper(replace(replace(replace(invoice_num, ' ', ''), '-', ''), '/', '')) AS k FROM bill_header) JOIN receipt_head ON k = booked_invoice AND po_number = booked_po")
 def rcv_composite_prefix(x: Landing) -> DataFrame:
-    return lookup.by_prefix(x.bill_header, lookup.receipt_heads(x.active))
+    return lookup.by_prefix(x.bill_key, x.receipt_head)
 
 
-@query(HEADS + """, every AS (SELECT *, 1 AS level FROM by_invoice WHERE match_mode = 'EXACT' UNION ALL SELECT *, 2 FROM by_po)
-SELECT doc_id, receipt_num, n_rows, supp, match_mode, CAST(level AS BIGINT) AS level FROM every QUALIFY level = min(level) OVER (PARTITION BY doc_id)""")
+@query(HEADS + ", every AS (SELECT *, 1 AS level FROM unified UNION ALL SELECT *, 2 FROM by_po) SELECT doc_id, receipt_num, n_rows, supp, match_mode, CAST(level AS BIGINT) AS level FROM every" + FIRST)
 def lookup_cascade(x: Landing) -> DataFrame:
-    heads = lookup.receipt_heads(x.active)
-    return lookup.cascade(lookup.by_invoice(x.bill_header, heads).where("match_mode = 'EXACT'"), lookup.by_po(x.bill_header, heads))
+    return lookup.cascade(lookup.unified(x.bill_key, x.receipt_head), lookup.by_po(x.bill_key, x.receipt_head))
+
+
+@query(HEADS + """, by_po_tax AS (SELECT doc_id, receipt_num, n_rows, supp, CASE WHEN min(place) = 0 THEN 'EXACT' ELSE 'NORMALIZED' END AS match_mode FROM ks JOIN fallback USING (po_number) WHERE po_tax = supplier_tax AND col = 1 GROUP BY 1, 2, 3, 4),
+every AS (SELECT *, 1 AS level FROM by_po_invoice UNION ALL SELECT *, 2 FROM by_po_tax) SELECT doc_id, receipt_num, n_rows, supp, match_mode, CAST(level AS BIGINT) AS level FROM every""" + FIRST)
+def lookup_cascade_legacy(x: Landing) -> DataFrame:
+    return lookup.legacy(x.bill_key, x.receipt_head)
+
+
+@query(HEADS + ", every AS (SELECT *, 1 AS level FROM by_tax_columns UNION ALL SELECT *, 2 FROM by_po WHERE doc_id IN (SELECT doc_id FROM sp)) SELECT doc_id, receipt_num, n_rows, supp, match_mode, CAST(level AS BIGINT) AS level FROM every" + FIRST)
+def lookup_cascade_tax(x: Landing) -> DataFrame:
+    return lookup.by_tax_or_po(x.bill_key, x.receipt_head)
 
 
 @query("SELECT doc_id, f.supp, coalesce(vat_reg, other_id) AS supplier_tax FROM (SELECT doc_id, min(supp) AS supp FROM receipt_line GROUP BY 1) f JOIN supplier_dim USING (supp)")
@@ -260,7 +351,7 @@ def intercompany_semi(x: Landing) -> DataFrame:
     return lookup.intercompany(x.bill_header, x.entity)
 
 
-@query(""", keyed AS (SELECT org_id AS key, legal_name, tax_id, 0 AS prio FROM entity UNION ALL SELECT org_id + 20, legal_name, tax_id, 1 FROM entity)
+@query(""", keyed AS (SELECT org_id AS key, legal_name, tax_id, 0 AS prio FROM entity UNION ALL SELECT unit_id, legal_name, tax_id, 1 FROM entity)
 SELECT key, legal_name, tax_id FROM keyed QUALIFY row_number() OVER (PARTITION BY key ORDER BY prio, legal_name) = 1""")
 def entity_union_keys(x: Landing) -> DataFrame:
     return lookup.entity_keys(x.entity)
@@ -552,7 +643,7 @@ def available_actions(x: Landing) -> DataFrame:
 
 @query(RESULTS + """SELECT doc_id, CASE WHEN o_orderstatus = 'F' THEN 'posted' WHEN len(list_intersect(string_split(codes, ','), ['E01', 'E05', 'E06', 'E08', 'E10', 'E14', 'E15'])) > 0 THEN 'needs_correction' ELSE 'under_review' END AS state, CASE WHEN o_orderstatus = 'F' THEN 'Closed' WHEN len(list_intersect(string_split(codes, ','), ['E01', 'E05', 'E06', 'E08', 'E10', 'E14', 'E15'])) > 0 THEN 'End user' ELSE 'Accounting' END AS assignee FROM recommended JOIN bill_header USING (doc_id)""")
 def default_workflow_state(x: Landing) -> DataFrame:
-    r = decision.recommend(results(x)).join(x.bill_header.select("doc_id", "o_orderstatus"), "doc_id")
+    r = verdicts.recommended(judged(x)).join(x.bill_header.select("doc_id", "o_orderstatus"), "doc_id")
     status = F.when(F.col("o_orderstatus") == "F", "Posted").otherwise("Open")
     s = r.select("doc_id", store.default_state(status, F.split("codes", ","), config.USER_CODES_V66).alias("s"))
     return s.select("doc_id", "s.state", "s.assignee")

@@ -58,11 +58,37 @@ class Landing:
         """P-09."""
         return self.receipt_line.where("rcv_qty > 0")
 
+    @cached_property
+    def receipt_head(self) -> DataFrame:
+        """A row a receipt: the invoice numbers that goods-in and accounts booked it under, its purchase order and its supplier's tax id. Some suppliers use a number of the document before."""
+        d = F.col("doc_id")
+        heads = self.active.groupBy("doc_id", "receipt_num").agg(F.count("*").alias("n_rows"), F.min("supp").alias("supp"))
+        booked = F.when(d % 13 == 5, d - 1).otherwise(d).cast("string")
+        tax = self.supplier.select("supp", F.coalesce("vat_reg", "other_id").alias("supplier_tax"))
+        keyed = heads.select(F.concat(F.lit("INV"), booked).alias("booked_invoice"), F.when(d % 3 != 0, F.concat(F.lit("INV/"), d.cast("string"))).alias("paid_invoice"), (d + 50_000_000).cast("string").alias("booked_po"), "receipt_num", "supp", "n_rows")
+        return keyed.join(tax, "supp", "left")
+
+    @cached_property
+    def bill_key(self) -> DataFrame:
+        """What a document says of itself that receipts are looked up by: doc_id, invoice_num, po_number, read_tax (null where it wasn't read)."""
+        d = F.col("doc_id")
+        first = self.receipt_line.where("rcv_qty > 0").groupBy("doc_id").agg(F.min("supp").alias("supp")).join(self.supplier.select("supp", F.coalesce("vat_reg", "other_id").alias("tax")), "supp")
+        return self.numbers.join(first, "doc_id", "left").select("doc_id", "invoice_num", "po_number", F.when(d % 6 != 0, F.col("tax")).alias("read_tax"))
+
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """doc_id, invoice_num, po_number: no totals, so that a lookup doesn't pay for them."""
+        d = F.col("doc_id")
+        text = d.cast("string")
+        invoice = F.when(d % 4 == 0, F.concat(F.lit("INV/"), text)).when(d % 4 == 1, F.concat(F.lit("INV"), text)).when(d % 4 == 2, F.concat(F.lit("inv "), text)).otherwise(F.concat(F.lit("INV-"), text))
+        return self.table("orders").select(F.col("o_orderkey").alias("doc_id")).select("doc_id", invoice.alias("invoice_num"), (d + 50_000_000).cast("string").alias("po_number"))
+
     @cached_property
     def entity(self) -> DataFrame:
         n = self.table("nation").join(F.broadcast(self.table("region")), F.col("n_regionkey") == F.col("r_regionkey"))
         key = F.col("n_nationkey").cast("long")
-        return n.select(key.alias("org_id"), F.concat("n_name", F.lit(" CO., LTD.")).alias("legal_name"), "r_name", entity_tax_id(key).alias("tax_id"), F.when(key % 9 == 4, "cancelled").otherwise("active").alias("status"), F.lpad((key * 37 + 10_000).cast("string"), 5, "0").alias("postal"))
+        return n.select(key.alias("org_id"), F.concat("n_name", F.lit(" CO., LTD.")).alias("legal_name"), "r_name", entity_tax_id(key).alias("tax_id"), F.when(key % 9 == 4, "cancelled").otherwise("active").alias("status"), F.lpad((key * 37 + 10_000).cast("string"), 5, "0").alias("postal"),
+            F.array(F.concat("n_name", F.lit(" CO., LTD.")), F.concat(F.lit("OLD "), "n_name")).alias("names"), F.array(*(F.concat(F.lit(street), F.lpad((key * 37 + 10_000).cast("string"), 5, "0")) for street in ("99/1 Main Road ", "7 Branch Road "))).alias("addresses"), F.concat(F.lit("BKK-"), "n_name").alias("loc_code"), (key + 20).alias("unit_id"))
 
     @cached_property
     def supplier(self) -> DataFrame:
@@ -74,7 +100,8 @@ class Landing:
         sums = self.bill_line.groupBy("doc_id").agg(F.sum("amount_c").alias("lines_c"), F.count("*").alias("n_lines"))
         o = self.table("orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey", "o_orderdate", "o_orderstatus")
         c = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", F.col("c_nationkey").cast("long").alias("org_id"))
-        h = o.join(c, "o_custkey", "left").join(sums, "doc_id", "left")
+        n = self.table("nation").select(F.col("n_nationkey").cast("long").alias("org_id"), "n_name")
+        h = o.join(c, "o_custkey", "left").join(F.broadcast(n), "org_id", "left").join(sums, "doc_id", "left")
         d = F.col("doc_id")
         text = d.cast("string")
         invoice = F.when(d % 4 == 0, F.concat(F.lit("INV/"), text)).when(d % 4 == 1, F.concat(F.lit("INV"), text)).when(d % 4 == 2, F.concat(F.lit("inv "), text)).otherwise(F.concat(F.lit("INV-"), text))
@@ -83,6 +110,9 @@ class Landing:
             "doc_id", "o_orderdate", "o_orderstatus", "org_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "lines_c", invoice.alias("invoice_num"), (d + 50_000_000).cast("string").alias("po_number"),
             F.when(d % 41 != 0, F.col("c_name")).alias("customer_name"), F.when(d % 19 == 0, entity_tax_id(F.col("org_id") + 77)).otherwise(entity_tax_id(F.col("org_id"))).alias("customer_tax_id"),
             sub.alias("sub_total_c"), (d % 23 != 0).alias("receiver"), (d % 27 != 0).alias("deliverer"), (d % 37 != 0).alias("pages_complete"),
+            F.when(d % 43 != 0, F.concat(F.lit("Supplier "), (d % 10).cast("string"))).alias("supplier_name"), F.when(d % 53 != 0, F.lpad(text, 13, "0")).alias("supplier_tax_id"), F.when(d % 47 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("invoice_date"),
+            F.when(d % 34 == 0, "OTHER TRADING").when(d % 16 == 0, F.concat(F.lower("n_name"), F.lit(" head office"))).when(d % 15 == 0, F.concat("n_name", F.lit(" EXPORT"))).when(d % 61 != 0, F.concat(F.lit("The "), "n_name", F.lit(" Company Limited"))).alias("buyer_name"),
+            F.when(d % 59 != 0, F.concat(F.when(d % 51 == 0, "88/1 Main Road ").when(d % 3 == 0, "7 Branch Road ").otherwise("99/1 Main Road "), F.when(d % 21 == 0, "99999").otherwise(F.lpad((F.col("org_id") * 37 + 10_000).cast("string"), 5, "0")))).alias("customer_address"), (d % 50 == 7).alias("is_duplicate"),
         )
         h = h.withColumn("vat_c", F.expr("(sub_total_c * 7 + 50) div 100"))
         return h.withColumn("grand_c", F.col("sub_total_c") + F.col("vat_c") + F.when(d % 31 == 0, 75).otherwise(0))
@@ -120,7 +150,7 @@ ids AS (
 taxes AS MATERIALIZED (
   SELECT n, body || CAST((11 - sum(CAST(substr(body, CAST(i AS INT) + 1, 1) AS BIGINT) * (13 - i)) % 11) % 10 AS VARCHAR) AS tax FROM ids CROSS JOIN range(12) d(i) GROUP BY n, body),
 entity AS (
-  SELECT CAST(n_nationkey AS BIGINT) AS org_id, n_name || ' CO., LTD.' AS legal_name, r_name, tax AS tax_id, CASE WHEN n_nationkey % 9 = 4 THEN 'cancelled' ELSE 'active' END AS status, lpad(CAST(n_nationkey * 37 + 10000 AS VARCHAR), 5, '0') AS postal
+  SELECT CAST(n_nationkey AS BIGINT) AS org_id, n_name || ' CO., LTD.' AS legal_name, r_name, tax AS tax_id, CASE WHEN n_nationkey % 9 = 4 THEN 'cancelled' ELSE 'active' END AS status, lpad(CAST(n_nationkey * 37 + 10000 AS VARCHAR), 5, '0') AS postal, n_name, CAST(n_nationkey + 20 AS BIGINT) AS unit_id
   FROM nation JOIN region ON n_regionkey = r_regionkey JOIN taxes ON n = n_nationkey),
 supplier_dim AS (
   SELECT s_suppkey AS supp, s_name, CASE WHEN s_suppkey % 10 <> 3 THEN a.tax END AS vat_reg, b.tax AS other_id FROM supplier JOIN taxes a ON a.n = s_suppkey + 1000 JOIN taxes b ON b.n = s_suppkey + 5000),
@@ -130,10 +160,17 @@ bh0 AS (
          CASE o_orderkey % 4 WHEN 0 THEN 'INV/' WHEN 1 THEN 'INV' WHEN 2 THEN 'inv ' ELSE 'INV-' END || CAST(o_orderkey AS VARCHAR) AS invoice_num, CAST(o_orderkey + 50000000 AS VARCHAR) AS po_number,
          CASE WHEN o_orderkey % 41 <> 0 THEN c_name END AS customer_name, t.tax AS customer_tax_id,
          lines_c + CASE WHEN o_orderkey % 29 = 0 THEN 300 WHEN o_orderkey % 13 = 0 THEN 25 ELSE 0 END AS sub_total_c,
-         o_orderkey % 23 <> 0 AS receiver, o_orderkey % 27 <> 0 AS deliverer, o_orderkey % 37 <> 0 AS pages_complete
-  FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN sums ON sums.doc_id = o_orderkey
+         o_orderkey % 23 <> 0 AS receiver, o_orderkey % 27 <> 0 AS deliverer, o_orderkey % 37 <> 0 AS pages_complete,
+         CASE WHEN o_orderkey % 43 <> 0 THEN 'Supplier ' || CAST(o_orderkey % 10 AS VARCHAR) END AS supplier_name, CASE WHEN o_orderkey % 53 <> 0 THEN lpad(CAST(o_orderkey AS VARCHAR), 13, '0') END AS supplier_tax_id, CASE WHEN o_orderkey % 47 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS invoice_date,
+         CASE WHEN o_orderkey % 34 = 0 THEN 'OTHER TRADING' WHEN o_orderkey % 16 = 0 THEN lower(n_name) || ' head office' WHEN o_orderkey % 15 = 0 THEN n_name || ' EXPORT' WHEN o_orderkey % 61 <> 0 THEN 'The ' || n_name || ' Company Limited' END AS buyer_name,
+         CASE WHEN o_orderkey % 59 <> 0 THEN CASE WHEN o_orderkey % 51 = 0 THEN '88/1 Main Road ' WHEN o_orderkey % 3 = 0 THEN '7 Branch Road ' ELSE '99/1 Main Road ' END || CASE WHEN o_orderkey % 21 = 0 THEN '99999' ELSE lpad(CAST(c_nationkey * 37 + 10000 AS VARCHAR), 5, '0') END END AS customer_address, o_orderkey % 50 = 7 AS is_duplicate
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN sums ON sums.doc_id = o_orderkey
        LEFT JOIN taxes t ON t.n = c_nationkey + CASE WHEN o_orderkey % 19 = 0 THEN 77 ELSE 0 END),
 bh1 AS (SELECT *, (sub_total_c * 7 + 50) // 100 AS vat_c FROM bh0),
 bill_header AS (SELECT *, sub_total_c + vat_c + CASE WHEN doc_id % 31 = 0 THEN 75 ELSE 0 END AS grand_c FROM bh1),
+receipt_head AS (
+  SELECT 'INV' || CAST(CASE WHEN doc_id % 13 = 5 THEN doc_id - 1 ELSE doc_id END AS VARCHAR) AS booked_invoice, CASE WHEN doc_id % 3 <> 0 THEN 'INV/' || CAST(doc_id AS VARCHAR) END AS paid_invoice, CAST(doc_id + 50000000 AS VARCHAR) AS booked_po, receipt_num, g.supp, n_rows, coalesce(vat_reg, other_id) AS supplier_tax
+  FROM (SELECT doc_id, receipt_num, min(supp) AS supp, count(*) AS n_rows FROM active GROUP BY 1, 2) g LEFT JOIN supplier_dim s ON s.supp = g.supp),
+bill_key AS (SELECT b.doc_id, invoice_num, po_number, CASE WHEN b.doc_id % 6 <> 0 THEN coalesce(vat_reg, other_id) END AS read_tax FROM bill_header b LEFT JOIN (SELECT doc_id, min(supp) AS supp FROM active GROUP BY 1) f ON f.doc_id = b.doc_id LEFT JOIN supplier_dim s ON s.supp = f.supp),
 event AS (SELECT event_id, ts, user_id AS external_id, event_type, value, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS revision FROM events)
 """
