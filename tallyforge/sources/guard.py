@@ -7,7 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 SHAPES = {"po": r"\d{8}", "tax": r"\d{13}", "invoice": r"[A-Za-z0-9/_.\-]{1,40}"}
-WRITES = re.compile(r"\b(insert|update|delete|merge|drop|alter|create|truncate|grant|revoke|call|exec|execute|set|refresh|cache)\b", re.I)
+WRITES = re.compile(r"\b(insert|update|delete|merge|upsert|drop|alter|create|truncate|grant|revoke|call|exec|execute|begin|declare|lock|commit|rollback|savepoint|rename|comment|explain|plan|set|reset|refresh|cache|uncache|load|msck)\b", re.I)
+#: Quoted text (with Spark's backslash escapes), quoted names and comments.
+APART = re.compile(r"""(?P<quoted>'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*")|(?P<name>`(?:[^`]|``)*`)|(?P<comment>--[^\n]*|/\*.*?\*/)""", re.S)
 
 
 class Refused(ValueError):
@@ -15,14 +17,19 @@ class Refused(ValueError):
 
 
 def read_only(sql: str) -> str:
-    """The statement, if it is a single SELECT or WITH without any writing keyword outside quoted text."""
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";").strip()
-    outside = re.sub(r"'(?:[^']|'')*'", "''", bare)
-    if ";" in outside:
+    """The statement without comments, if it is a single SELECT or WITH without any writing keyword outside quoted text."""
+    bare = APART.sub(lambda m: " " if m["comment"] else m[0], sql).strip().rstrip(";").strip()
+    outside = APART.sub(lambda m: " " if m["comment"] else "''" if m["quoted"] else "``", sql).strip().rstrip(";").strip()
+    left = re.sub(r"''|``", " ", outside)
+    if re.search(r"['\"`]|/\*|\*/", left):
+        raise Refused("a quotation or comment that doesn't end")
+    if re.search(r"\br''", outside, re.I):
+        raise Refused("a raw literal, in which a backslash is no escape")
+    if ";" in left:
         raise Refused("more than one statement")
-    if not re.match(r"(select|with)\b", outside, re.I):
+    if not re.match(r"(select|with)\b", left.lstrip("( "), re.I):
         raise Refused("only SELECT and WITH")
-    if found := WRITES.search(outside):
+    if found := WRITES.search(left):
         raise Refused(f"keyword {found[1]}")
     return bare
 
