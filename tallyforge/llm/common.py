@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -60,17 +60,26 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within it, the session hands Python workers batches of few rows, so that buffers outside the heap stay small; what is run later has the caller's settings again."""
-    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
-    before = {name: spark.conf.get(name) for name in settings}
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Within it, the session has these settings; what is run later has the caller's again."""
+    before = {name: spark.conf.get(name) for name in wanted}
     try:
-        for name, most in settings.items():
-            spark.conf.set(name, most)
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        for name, most in before.items():
-            spark.conf.set(name, most)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Python workers get batches of few rows, so that buffers outside the heap stay small."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)})
+
+
+def freed_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """A query's shuffle files go when its result is written, not when the driver happens to collect garbage."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 def bitmap(values: DataFrame, column: str) -> np.ndarray:
