@@ -9,7 +9,6 @@ from contextlib import AbstractContextManager, contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -82,12 +81,16 @@ def freed_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
     return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
-def bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """SCREEN_BITS bits, set at the low bits of the hashes in a column; the driver gets SCREEN_BITS / 8 bytes at most."""
+def cells(values: DataFrame, column: str) -> DataFrame:
+    """part, bits: SCREEN_BITS bits, set at the low bits of the hashes in a column; SCREEN_BITS / 8 bytes at most in all."""
     cell = (F.col(column).bitwiseAND(SCREEN_BITS - 1) + 1).alias("cell")
-    found = values.select(cell).groupBy(F.bitmap_bucket_number("cell").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")).collect()
+    return values.select(cell).groupBy(F.bitmap_bucket_number("cell").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+
+
+def bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """The same on the driver."""
     screen = np.zeros(SCREEN_BITS // 8, np.uint8)
-    for part, bits in found:
+    for part, bits in cells(values, column).collect():
         screen[(part - 1) * len(bits) : part * len(bits)] = np.frombuffer(bits, np.uint8)
     return screen
 
@@ -97,15 +100,13 @@ def bit(screen: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (screen[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def screened(df: DataFrame, column: str, screen: np.ndarray) -> DataFrame:
-    """The rows of df whose hash in a column is in a bitmap; only that column goes to Python."""
-    held = df.sparkSession.sparkContext.broadcast(screen)
-
-    @F.pandas_udf("boolean")
-    def there(hashes: pd.Series) -> pd.Series:
-        return pd.Series(bit(held.value, hashes.to_numpy(np.int64)))
-
-    return df.where(there(column))
+def screened(df: DataFrame, column: str, values: DataFrame, name: str) -> DataFrame:
+    """The rows of df whose hash in a column may be among values' in `name`; SCREEN_BITS bounds what is broadcast."""
+    cell = F.col(column).bitwiseAND(SCREEN_BITS - 1) + 1
+    at = F.bitmap_bit_position(cell)
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8).cast("int") + 1)) != 0
+    return df.join(F.broadcast(cells(values, name)), F.bitmap_bucket_number(cell) == F.col("part")).where(there).select(df.columns)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
