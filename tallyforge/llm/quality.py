@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", "label")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # sample_rows bounds it
-    found = histograms(texts).orderBy(F.xxhash64("buckets", "counts")).collect()
+    found = histograms(texts).orderBy(F.xxhash64("buckets", "counts")).toLocalIterator()  # a partition at a time in the driver's JVM
     return fit([(np.frombuffer(b, "<u2"), np.frombuffer(c, "<u2"), y) for b, c, y in found])
 
 
