@@ -90,7 +90,7 @@ def ingest(batch: DataFrame, snapshot: DataFrame, built: DataFrame, buckets: int
     pairs = common.stored(positive.join(batch, "digest").join(held, "digest").select("digest", F.col("keep_id").alias("new_id"), F.col("size").alias("new_size"), "held_id"))
     wanted = pairs.select("digest", F.explode(F.array("new_id", "held_id")).alias("doc_id")).where("doc_id is not null")
     hashed = F.xxhash64("doc_id").alias("hash")
-    some = common.screened(texts.select("doc_id", "text", hashed), "hash", common.bitmap(wanted.select(hashed), "hash"))
+    some = common.screened(texts.select("doc_id", "text", hashed), "hash", wanted.select(hashed), "hash")
     found = some.join(wanted, "doc_id").select("digest", normalised(F.col("text")).alias("text")).where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
     # the least and the greatest of a pair's texts are the same bytes
     unequal = found.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("digest")
