@@ -81,32 +81,38 @@ def freed_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
     return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
-def cells(values: DataFrame, column: str) -> DataFrame:
-    """part, bits: SCREEN_BITS bits, set at the low bits of the hashes in a column; SCREEN_BITS / 8 bytes at most in all."""
-    cell = (F.col(column).bitwiseAND(SCREEN_BITS - 1) + 1).alias("cell")
+def width(hashes: int) -> int:
+    """Bits of a bitmap for so many hashes: over 32 for each, as far as SCREEN_BITS goes."""
+    return min(SCREEN_BITS, max(1 << 15, 1 << (32 * hashes).bit_length()))
+
+
+def cells(values: DataFrame, column: str, wide: int) -> DataFrame:
+    """part, bits: `wide` bits, set at the low bits of the hashes in a column; wide / 8 bytes at most in all."""
+    cell = (F.col(column).bitwiseAND(wide - 1) + 1).alias("cell")
     return values.select(cell).groupBy(F.bitmap_bucket_number("cell").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
 
 
-def bitmap(values: DataFrame, column: str) -> np.ndarray:
+def bitmap(values: DataFrame, column: str, wide: int = SCREEN_BITS) -> np.ndarray:
     """The same on the driver."""
-    screen = np.zeros(SCREEN_BITS // 8, np.uint8)
-    for part, bits in cells(values, column).collect():
+    screen = np.zeros(wide // 8, np.uint8)
+    for part, bits in cells(values, column, wide).collect():
         screen[(part - 1) * len(bits) : part * len(bits)] = np.frombuffer(bits, np.uint8)
     return screen
 
 
 def bit(screen: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    cell = hashes.astype(np.uint64) & np.uint64(SCREEN_BITS - 1)
+    cell = hashes.astype(np.uint64) & np.uint64(len(screen) * 8 - 1)
     return (screen[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def screened(df: DataFrame, column: str, values: DataFrame, name: str) -> DataFrame:
-    """The rows of df whose hash in a column may be among values' in `name`; SCREEN_BITS bounds what is broadcast."""
-    cell = F.col(column).bitwiseAND(SCREEN_BITS - 1) + 1
+    """The rows of df whose hash in a column may be among values' in `name`, which are counted first; SCREEN_BITS bounds what is broadcast."""
+    wide = width(values.count())
+    cell = F.col(column).bitwiseAND(wide - 1) + 1
     at = F.bitmap_bit_position(cell)
     byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     there = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8).cast("int") + 1)) != 0
-    return df.join(F.broadcast(cells(values, name)), F.bitmap_bucket_number(cell) == F.col("part")).where(there).select(df.columns)
+    return df.join(F.broadcast(cells(values, name, wide)), F.bitmap_bucket_number(cell) == F.col("part")).where(there).select(df.columns)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
