@@ -9,6 +9,7 @@ from contextlib import AbstractContextManager, contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -86,16 +87,12 @@ def width(hashes: int) -> int:
     return min(SCREEN_BITS, max(1 << 15, 1 << (32 * hashes).bit_length()))
 
 
-def cells(values: DataFrame, column: str, wide: int) -> DataFrame:
-    """part, bits: `wide` bits, set at the low bits of the hashes in a column; wide / 8 bytes at most in all."""
-    cell = (F.col(column).bitwiseAND(wide - 1) + 1).alias("cell")
-    return values.select(cell).groupBy(F.bitmap_bucket_number("cell").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
-
-
 def bitmap(values: DataFrame, column: str, wide: int = SCREEN_BITS) -> np.ndarray:
-    """The same on the driver."""
+    """`wide` bits, set at the low bits of the hashes in a column; the driver gets wide / 8 bytes at most."""
+    cell = (F.col(column).bitwiseAND(wide - 1) + 1).alias("cell")
+    found = values.select(cell).groupBy(F.bitmap_bucket_number("cell").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")).collect()
     screen = np.zeros(wide // 8, np.uint8)
-    for part, bits in cells(values, column, wide).collect():
+    for part, bits in found:
         screen[(part - 1) * len(bits) : part * len(bits)] = np.frombuffer(bits, np.uint8)
     return screen
 
@@ -106,13 +103,14 @@ def bit(screen: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def screened(df: DataFrame, column: str, values: DataFrame, name: str) -> DataFrame:
-    """The rows of df whose hash in a column may be among values' in `name`, which are counted first; SCREEN_BITS bounds what is broadcast."""
-    wide = width(values.count())
-    cell = F.col(column).bitwiseAND(wide - 1) + 1
-    at = F.bitmap_bit_position(cell)
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    there = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8).cast("int") + 1)) != 0
-    return df.join(F.broadcast(cells(values, name, wide)), F.bitmap_bucket_number(cell) == F.col("part")).where(there).select(df.columns)
+    """The rows of df whose hash in a column may be among values' in `name`, which are counted first; only that column goes to Python."""
+    held = df.sparkSession.sparkContext.broadcast(bitmap(values, name, width(values.count())))
+
+    @F.pandas_udf("boolean")
+    def there(hashes: pd.Series) -> pd.Series:
+        return pd.Series(bit(held.value, hashes.to_numpy(np.int64)))
+
+    return df.where(there(column))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
