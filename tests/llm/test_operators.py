@@ -461,3 +461,17 @@ def test_packing_follows_the_mix(spark, docs, tmp_path, monkeypatch):
         assert [first[b] for b in sorted(first)] == sorted(first.values())
         means.append([r.bin_id for r in sorted(packed, key=lambda r: (r.doc_id, r.piece))])
     assert means[0] != means[1]
+
+
+def test_sketches_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64) * np.uint64(2))
+    sets = [base, base[::2], base[:0], np.unique(np.concatenate([base[40:], rng.integers(0, 1 << 63, 40, dtype=np.uint64)])), base[:1], base]
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    made = resemblance.sketches(of, np.concatenate(sets), len(sets)).reshape(len(sets), resemblance.WORDS)
+    for i, a in enumerate(sets):
+        assert sum(int(w).bit_count() for w in made[i]) % 2 == len(a) % 2
+        for j, b in enumerate(sets):
+            differ = sum((int(x) ^ int(y)).bit_count() for x, y in zip(made[i], made[j], strict=True))
+            assert differ <= len(np.setxor1d(a, b))
+    assert not resemblance.sketches(np.zeros(0, np.int64), np.zeros(0, np.uint64), 2).any()
