@@ -156,3 +156,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("u")).distinct().withColumn("v", F.col("u"))
     return edges.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder: a stage's end, whose rows and order of values stay as they are."""
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
