@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import common
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms: all ASCII but letters.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 10
 TOP = 10
@@ -52,7 +52,7 @@ def key(seed: int) -> Column:
 
 
 def counts(docs: DataFrame, seed: int) -> DataFrame:
-    """key, term, n (occurrences), docs (documents that hold it). The matches of TERM are what a split at all else leaves."""
+    """key, term, n (occurrences), docs (documents that hold it). A regular expression's matches are what a split at its complement leaves."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
     terms = docs.select(key(seed), F.split(lowered, BETWEEN).alias("terms"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import common, divergence, exact_dedup, langid, mixing, packing, pii, quality, search, simhash, suffixes, tokens
+from tallyforge.llm import common, divergence, exact_dedup, langid, mixing, packing, pii, quality, search, simhash, suffixes, tokens, vectors
 
 END_ID = 2
 #: The queries' key; a real run brings its own.
@@ -63,6 +63,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(common.documents(spark, sf_dir))
 
 
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_token_output": op2_token_output,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_bm25_search": op10_bm25_search,
     "op11_divergence": op11_divergence,
+    "op12_vector_dedup": op12_vector_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
