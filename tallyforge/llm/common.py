@@ -159,7 +159,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder: a stage's end, whose rows and order of values stay as they are."""
+    """df as Parquet in the shared folder: a stage's end, whose rows stay as they are; its shuffle files go."""
     at = scratch(df.sparkSession, name)
-    df.write.parquet(at)
+    with freed_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import common, divergence, exact_dedup, langid, mixing, packing, pii, quality, search, simhash, suffixes, tokens, vectors
+from tallyforge.llm import alignment, common, divergence, exact_dedup, langid, mixing, packing, pii, quality, search, simhash, suffixes, tokens, vectors
 
 END_ID = 2
 #: The queries' key; a real run brings its own.
@@ -67,6 +67,12 @@ def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.by_document(alignment.align(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_token_output": op2_token_output,
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bm25_search": op10_bm25_search,
     "op11_divergence": op11_divergence,
     "op12_vector_dedup": op12_vector_dedup,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
