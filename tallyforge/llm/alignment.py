@@ -168,71 +168,78 @@ def encoded(segs: DataFrame, a_path: str, b_path: str, by_segment: bool) -> Data
     return segs.select("seg").mapInArrow(run, ENCODED)
 
 
-def grouped(texts: DataFrame) -> DataFrame:
-    """sid, end, grp, a, b, link_a, link_b: an end of a token of A (id a) or B (id b) or both, its group, and the ids of the tokens over the stretch before it; texts: sid, a, a_len, b, b_len."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.repartition(parts, "sid")  # joins and windows below keep it
+def ends(texts: DataFrame) -> DataFrame:
+    """sid, n, end, grp, a, b, link_a, link_b: an end of a token of A (id a) or B (id b) or both, its group, and the ids of the tokens over the stretch before it; texts: sid, n, a, a_len, b, b_len, dealt by sid."""
 
-    def ends(side: str) -> DataFrame:
-        tokens_ = dealt.select("sid", F.posexplode(F.arrays_zip(side, f"{side}_len")).alias("pos", "token")).select("sid", "pos", f"token.{side}", f"token.{side}_len")
-        return tokens_.select("sid", side, F.sum(f"{side}_len").over(Window.partitionBy("sid").orderBy("pos")).alias("end"))
+    def of(side: str) -> DataFrame:
+        found = texts.select("sid", "n", F.posexplode(F.arrays_zip(side, f"{side}_len")).alias("pos", "token")).select("sid", F.col("n").alias(f"n_{side}"), "pos", f"token.{side}", f"token.{side}_len")
+        return found.select("sid", f"n_{side}", side, F.sum(f"{side}_len").over(Window.partitionBy("sid").orderBy("pos")).alias("end"))
 
-    both = ends("a").join(ends("b"), ["sid", "end"], "full")
+    both = of("a").join(of("b"), ["sid", "end"], "full")
     before = Window.partitionBy("sid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("sid").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut_here = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
-    numbered = both.withColumn("grp", F.coalesce(F.sum(cut_here).over(before), F.lit(0)))
-    return numbered.select("sid", "end", "grp", "a", "b", F.last("a", ignorenulls=True).over(after).alias("link_a"), F.last("b", ignorenulls=True).over(after).alias("link_b"))
+    filled = both.select("sid", F.coalesce("n_a", "n_b").alias("n"), "end", "a", "b", F.last("a", ignorenulls=True).over(after).alias("link_a"), F.last("b", ignorenulls=True).over(after).alias("link_b"))
+    return filled.withColumn("grp", F.coalesce(F.sum(cut_here).over(before), F.lit(0)))
+
+
+def grouped(texts: DataFrame) -> DataFrame:
+    """sid, n, n_a, n_b, n_groups, groups ('a1,a2|b1;a3|b2,b3'), links (pairs of ids) of each text."""
+    token = lambda side, at: F.collect_list(F.when(F.col(side).isNotNull(), F.struct("grp", F.lit(at).alias("side"), "end", F.col(side).alias("id")))).alias(f"of_{side}")
+    found = ends(texts).groupBy("sid", "n").agg(token("a", 0), token("b", 1), F.collect_list(F.struct(F.col("link_a").alias("a"), F.col("link_b").alias("b"))).alias("links"))
+    ordered = found.withColumn("tokens", F.array_sort(F.concat("of_a", "of_b")))
+    mark = lambda t, last: F.when(last.isNull(), "").when(last["grp"] != t["grp"], ";").when(last["side"] != t["side"], "|").otherwise(",")
+    texts_ = F.transform("tokens", lambda t, i: F.concat(mark(t, F.get("tokens", i - 1)), t["id"].cast("string")))
+    groups = (F.element_at("tokens", -1)["grp"] + 1).cast("long")
+    return ordered.select("sid", "n", F.size("of_a").cast("long").alias("n_a"), F.size("of_b").cast("long").alias("n_b"), groups.alias("n_groups"), F.array_join(texts_, "").alias("groups"), "links")
 
 
 @dataclass
 class Alignment:
     cuts: DataFrame
-    #: seg, sid, fine, a, a_len, b, b_len of each distinct segment.
-    segs: DataFrame
-    #: block, local, sid, fine, n: what a block's dictionary holds, and how often.
+    #: block, local, sid: what a block's dictionary holds; sid is null for a segment that isn't the same by both.
     entries: DataFrame
-    #: As grouped() has them.
-    ends: DataFrame
+    #: As grouped() has them, a row a distinct segment.
+    segs: DataFrame
     #: a, b, n, best: each linked pair of ids, its links in the corpus, whether no other pair of that b has more.
     pairs: DataFrame
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES) -> Alignment:
+    spark = docs.sparkSession
     by_segment = cut_alike(a_path, b_path)
     cuts = common.written(cut(docs, by_segment, block_bytes), "segment-cuts")
     words = cuts.where("segs is not null").select("block", "base", F.posexplode(F.arrays_zip("segs", "counts")).alias("pos", "of"))
     words = words.select("block", (F.col("base") + F.col("pos")).alias("local"), F.col("of.segs").alias("seg"), F.col("of.counts").alias("n"))
     segs = common.written(encoded(words.select("seg").distinct(), a_path, b_path, by_segment).withColumn("sid", F.monotonically_increasing_id()), "segments")
-    entries = common.written(words.join(segs.select("seg", "sid", "fine"), "seg").select("block", "local", "sid", "fine", "n"), "segment-entries")
-    with common.settings(docs.sparkSession, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
-        ends = common.written(grouped(segs.where("fine").select("sid", "a", "a_len", "b", "b_len")), "segment-ends")
-    weights = occurrences(cuts, entries)
-    linked = ends.join(weights, "sid").groupBy(F.col("link_a").alias("a"), F.col("link_b").alias("b")).agg(F.sum("n").alias("n"))
+    own = F.when(F.col("fine"), F.col("sid")).alias("own")
+    entries = common.written(words.join(segs.select("seg", "sid", own), "seg").select("block", "local", "n", "sid", "own"), "segment-entries")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with common.settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):  # joins and windows keep the segments' partitioning
+        weighed = segs.where("fine").select("sid", "a", "a_len", "b", "b_len").join(occurrences(cuts, entries), "sid").repartition(parts, "sid")
+        found = common.written(grouped(weighed), "aligned-segments")
+    linked = found.select("n", F.explode("links").alias("of")).groupBy("of.a", "of.b").agg(F.sum("n").alias("n"))
     most = F.max("n").over(Window.partitionBy("b"))  # rows of a b: the ids of A at most
-    return Alignment(cuts, segs, entries, ends, common.written(linked.select("a", "b", "n", (F.col("n") == most).alias("best")), "token-pairs"))
+    pairs = common.written(linked.select("a", "b", "n", (F.col("n") == most).alias("best")), "token-pairs")
+    return Alignment(cuts, entries.select("block", "local", F.col("own").alias("sid")), found, pairs)
 
 
 def occurrences(cuts: DataFrame, entries: DataFrame) -> DataFrame:
     """sid, n: how often a segment stands in texts all of whose segments are fine."""
-    odd = entries.where("not fine").groupBy("block").agg(F.collect_list("local").alias("odd"))  # of one block's dictionary
+    odd = entries.where("own is null").groupBy("block").agg(F.collect_list("local").alias("odd"))  # of one block's dictionary
     texts = cuts.where("ids is not null").select("block", "ids").join(odd, "block").where(F.arrays_overlap("ids", "odd"))
     off = texts.select("block", F.explode("ids").alias("local")).groupBy("block", "local").agg((-F.count("*")).alias("n"))
-    off = off.join(entries.select("block", "local", "sid"), ["block", "local"]).select("sid", "n")
-    return entries.where("fine").select("sid", F.col("n").cast("long").alias("n")).unionByName(off).groupBy("sid").agg(F.sum("n").alias("n"))
+    off = off.join(entries.where("own is not null").select("block", "local", "sid"), ["block", "local"]).select("sid", "n")
+    return entries.where("own is not null").select("sid", F.col("n").cast("long").alias("n")).unionByName(off).groupBy("sid").agg(F.sum("n").alias("n"))
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def by_segment_totals(found: Alignment) -> DataFrame:
-    """sid, NUMBERS, groups ('a1,a2|b1;a3|b2,b3') of each fine segment."""
-    ids = lambda side: F.expr(f"listagg(cast({side} as string), ',') within group (order by end)")
-    each = found.ends.groupBy("sid", "grp").agg(F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count("*").alias("n_links"))
-    total = each.groupBy("sid").agg(F.expr("listagg(ids, ';') within group (order by grp)").alias("groups"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum("n_links").alias("n_links"))
-    scored = found.ends.select("sid", F.col("link_a").alias("a"), F.col("link_b").alias("b")).join(found.pairs, ["a", "b"])
-    scores = scored.groupBy("sid").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    return total.join(scores, "sid").select("sid", *NUMBERS, "groups")
+def scores(found: Alignment) -> DataFrame:
+    """sid, n_best, count_sum of each segment's links."""
+    linked = found.segs.select("sid", F.explode("links").alias("of")).select("sid", "of.a", "of.b").join(found.pairs, ["a", "b"])
+    return linked.groupBy("sid").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
 
 
 RESULT = "doc_id long, " + ", ".join(f"{n} long" for n in NUMBERS) + ", groups_sha256 string"
@@ -240,8 +247,9 @@ RESULT = "doc_id long, " + ", ".join(f"{n} long" for n in NUMBERS) + ", groups_s
 
 def by_document(found: Alignment) -> DataFrame:
     """doc_id, NUMBERS and groups_sha256 of every row."""
-    totals = common.written(by_segment_totals(found), "segment-totals")
-    entries = found.entries.join(totals, "sid", "left").select("block", "local", "fine", *NUMBERS, F.col("groups").cast("binary").alias("groups"))
+    worth = common.written(scores(found), "segment-scores")
+    totals = found.segs.withColumn("n_links", F.size("links").cast("long")).join(worth, "sid")
+    entries = found.entries.join(totals, "sid", "left").select("block", "local", F.col("sid").isNotNull().alias("fine"), *NUMBERS, F.col("groups").cast("binary").alias("groups"))
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         at = words.column("local").to_numpy()
