@@ -6,13 +6,12 @@ is paired takes its receipt line away from later ones) folds over one document's
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge import config
@@ -106,11 +105,11 @@ def unmatched_receipts(active: DataFrame, pairs: DataFrame) -> DataFrame:
     return active.join(pairs, ["doc_id", "rcv_line", "lot"], "left_anti").select("doc_id", "rcv_line", "lot")
 
 
-def description_score(description: str, item_no: str, item_text: str) -> int:
-    """J-19: 20 for the item number in the description, 2 for each longer word of the item's text in it."""
-    text = (description or "").upper()
-    words = [w for w in re.split(r"[\s,\-\\/]+", (item_text or "").upper()) if len(w) > 3]
-    return (20 if item_no and item_no.strip().upper() in text else 0) + 2 * sum(w in text for w in words)
+def signs(item_no: Column, item_text: Column) -> Column:
+    """J-19: what a description may hold of a receipt line, and what each is worth: its item number 20, each longer word of its text 2."""
+    number = F.filter(F.array(F.upper(F.trim(item_no))), lambda n: n.isNotNull() & (n != ""))
+    worth = lambda names, points: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(points).alias("worth")))
+    return F.concat(worth(number, 20), worth(N.long_words(F.upper(item_text)), 2))
 
 
 def ladder(lines: DataFrame, active: DataFrame) -> DataFrame:
@@ -124,7 +123,14 @@ def ladder(lines: DataFrame, active: DataFrame) -> DataFrame:
 
     def fold(bills: list[dict], receipts: list[dict]) -> list[tuple]:
         whole = bool(bills) and bills[0]["sub_total_c"] is not None and bills[0]["sub_total_c"] > 0 and abs(bills[0]["sub_total_c"] - sum(r["rcv_amount_c"] for r in receipts)) <= 100
-        score = lambda b, r: description_score(b["description"], r["item_no"], r["item_text"])
+        scores: dict[tuple, int] = {}  # of pairs that a step has asked for
+
+        def score(b: dict, r: dict) -> int:
+            pair = b["line_no"], r["rcv_line"], r["lot"]
+            if pair not in scores:
+                scores[pair] = sum(sign["worth"] for sign in r["signs"] if sign["name"] in b["text"])
+            return scores[pair]
+
         price, qty = (lambda b, r: b["price_c"] == r["rcv_price_c"]), (lambda b, r: b["qty"] == r["rcv_qty"])
 
         def near(b: dict, r: dict) -> bool:
@@ -135,7 +141,7 @@ def ladder(lines: DataFrame, active: DataFrame) -> DataFrame:
             (lambda b, r: price(b, r) and qty(b, r), score),
             (lambda b, r: near(b, r) and qty(b, r), score),
             (lambda b, r: whole and abs((b["amount_c"] if b["amount_c"] > 0 else b["price_c"] * b["qty"]) - r["rcv_amount_c"]) <= 100, score),
-            (lambda b, r: bool(r["item_no"]) and r["item_no"].upper() in (b["description"] or "").upper(), lambda b, r: -abs(b["price_c"] - r["rcv_price_c"])),
+            (lambda b, r: any(sign["worth"] == 20 and sign["name"] in b["text"] for sign in r["signs"]), lambda b, r: -abs(b["price_c"] - r["rcv_price_c"])),
             (price, score),
             (lambda b, r: score(b, r) > 0, score),
             (lambda b, r: r["rcv_line"] == b["line_no"], lambda b, r: 0),
@@ -157,7 +163,8 @@ def ladder(lines: DataFrame, active: DataFrame) -> DataFrame:
             open_lines = rest
         return out
 
-    return folded(lines, active, fold)
+    prepared = lines.withColumn("text", F.upper(F.coalesce("description", F.lit(""))))
+    return folded(prepared, active.withColumn("signs", signs(F.col("item_no"), F.col("item_text"))), fold)
 
 
 def proposals(lines: DataFrame, receipts: DataFrame, least: float = 0.34) -> DataFrame:

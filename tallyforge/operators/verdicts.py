@@ -100,9 +100,9 @@ def entity_outcome(profile: str) -> Column:
     c = F.col
     made = lambda result, code=None, severity=None, halted=None: F.struct(F.lit(result).alias("result"), F.lit(code).cast("string").alias("code"), F.lit(severity).cast("string").alias("severity"), F.lit(halted).cast("string").alias("halted_by"))
     if profile == "v62":
-        address = F.coalesce(c("customer_address"), F.lit(""))
-        parts = F.filter(F.split(F.coalesce(c("loc_code"), F.lit("")), r"[\\/,\s-]+"), lambda p: F.length(p) > 3)
-        near = F.coalesce(address.contains(c("postal")), F.lit(False)) | F.exists(parts, lambda p: F.lower(address).contains(F.lower(p))) | (F.coalesce(c("postal"), F.lit("")) == "") | (address == "")
+        address, postal = F.lower(F.coalesce(c("customer_address"), F.lit(""))), F.coalesce(c("postal"), F.lit(""))
+        named = F.size(F.filter(N.long_words(F.lower(c("loc_code"))), address.contains)) > 0
+        near = (address == "") | address.contains(postal) | F.coalesce(named, F.lit(False))  # every address holds an empty postal code
         return F.when(F.coalesce(c("known_tax"), F.lit("")) == "", made("manual_review")).when(~c("customer_tax_id").eqNullSafe(c("known_tax")), made("fail", "E09", "High")).when(near, made("pass")).otherwise(made("fail", "E09", "Medium"))
     named, addressed = F.coalesce(c("buyer_name"), F.lit("")) != "", F.coalesce(c("customer_address"), F.lit("")) != ""
     alike = c("likeness") >= config.NAME_EQUIVALENT

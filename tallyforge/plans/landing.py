@@ -146,7 +146,7 @@ active AS (SELECT * FROM receipt_line WHERE rcv_qty > 0),
 ids AS (
   SELECT n, lpad(CAST(n * 7919 + 100000000000 AS VARCHAR), 12, '0') AS body FROM (
     SELECT n_nationkey AS n FROM nation UNION SELECT n_nationkey + 77 FROM nation UNION SELECT c_nationkey FROM customer UNION SELECT c_nationkey + 77 FROM customer
-    UNION SELECT s_suppkey + 1000 FROM supplier UNION SELECT s_suppkey + 5000 FROM supplier)),
+    UNION SELECT s_suppkey FROM supplier UNION SELECT s_suppkey + 1000 FROM supplier UNION SELECT s_suppkey + 5000 FROM supplier)),
 taxes AS MATERIALIZED (
   SELECT n, body || CAST((11 - sum(CAST(substr(body, CAST(i AS INT) + 1, 1) AS BIGINT) * (13 - i)) % 11) % 10 AS VARCHAR) AS tax FROM ids CROSS JOIN range(12) d(i) GROUP BY n, body),
 entity AS (
