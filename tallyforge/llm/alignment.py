@@ -46,17 +46,41 @@ BLOCK_BYTES = 32 << 20
 DICTIONARY_ROWS = 20_000
 SPACE = "▁"
 
-#: White space before a place at which texts would be cut otherwise.
-RUN = re.compile(r"\s[ \n]").search
+#: Rows of the table of pairs up to which it is broadcast (24 bytes each); beyond that it is joined by a shuffle.
+BROADCAST_PAIRS = 1_000_000
+
 SEGMENTS = re.compile(r"[ \n](?:[^ \n]|(?<=\s)[ \n])*").findall
 
 
+def plain_segments(text: str) -> list[str]:
+    """A space and the text, cut before each space or line break; right where no piece ends in white space."""
+    whole = f" {text}"
+    return SEGMENTS(whole) if "\0" in text else whole.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
+
+
 def segments(text: str) -> list[str]:
     """The pieces of a space and the text, cut before each space or line break that follows something else than white space."""
-    whole = f" {text}"
-    if "\0" in text or RUN(whole):
-        return SEGMENTS(whole)
-    return whole.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
+    found = plain_segments(text)
+    return SEGMENTS(f" {text}") if any(s[-1].isspace() for s in found) else found
+
+
+class Dictionary:
+    """Numbers for a block's segments, in order of their first occurrence."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, int] = {}
+        self.loose: set[str] = set()  # those that end in white space
+
+    def numbers(self, text: str, by_segment: bool) -> np.ndarray:
+        found = plain_segments(text) if by_segment else [f" {text}"]
+        fresh = [s for s in dict.fromkeys(found) if s not in self.held]
+        if by_segment and (any(s[-1].isspace() for s in fresh) or not self.loose.isdisjoint(found)):
+            found = SEGMENTS(f" {text}")
+            fresh = [s for s in dict.fromkeys(found) if s not in self.held]
+            self.loose.update(s for s in fresh if s[-1].isspace())
+        for s in fresh:
+            self.held[s] = len(self.held)
+        return np.fromiter(map(self.held.__getitem__, found), np.int32, len(found))
 
 
 @cache
@@ -114,12 +138,11 @@ def cut(docs: DataFrame, by_segment: bool, block_bytes: int = BLOCK_BYTES) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("base", pa.int32()), ("segs", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
         block, place, size = TaskContext.get().partitionId() << 32, 0, 0
-        held: dict[str, int] = {}
-        seen: list[np.ndarray] = []
+        known, seen = Dictionary(), [np.zeros(0, np.int32)]
 
         def dictionary() -> Iterator[pa.RecordBatch]:
-            counts = np.bincount(np.concatenate(seen), minlength=len(held)) if held else np.zeros(0)
-            names = list(held)
+            counts = np.bincount(np.concatenate(seen), minlength=len(known.held))
+            names = list(known.held)
             for base in range(0, len(names), DICTIONARY_ROWS):
                 part = slice(base, base + DICTIONARY_ROWS)
                 yield pa.RecordBatch.from_pylist([{"block": block, "base": base, "segs": names[part], "counts": counts[part].tolist()}], schema)
@@ -127,11 +150,7 @@ def cut(docs: DataFrame, by_segment: bool, block_bytes: int = BLOCK_BYTES) -> Da
         for batch in common.slices(batches, "text"):
             found, places = [], []
             for text in batch.column("text").to_pylist():
-                cuts = (segments(text) if by_segment else [f" {text}"]) if text else []
-                for name in dict.fromkeys(cuts):
-                    if name not in held:
-                        held[name] = len(held)
-                found.append(np.fromiter(map(held.__getitem__, cuts), np.int32, len(cuts)))
+                found.append(known.numbers(text, by_segment) if text else seen[0])
                 places.append(place)
                 place += 1
                 size += len(text or "")
@@ -143,7 +162,7 @@ def cut(docs: DataFrame, by_segment: bool, block_bytes: int = BLOCK_BYTES) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(places, pa.int32()), batch.column("doc_id"), ids, none("base"), none("segs"), none("counts")], schema=schema)
             if size >= block_bytes:
                 yield from dictionary()
-                block, place, size, held, seen = block + 1, 0, 0, {}, []
+                block, place, size, known, seen = block + 1, 0, 0, Dictionary(), seen[:1]
         yield from dictionary()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CUT)
@@ -238,7 +257,8 @@ NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 def scores(found: Alignment) -> DataFrame:
     """sid, n_best, count_sum of each segment's links."""
-    linked = found.segs.select("sid", F.explode("links").alias("of")).select("sid", "of.a", "of.b").join(found.pairs, ["a", "b"])
+    pairs = F.broadcast(found.pairs) if found.pairs.count() <= BROADCAST_PAIRS else found.pairs
+    linked = found.segs.select("sid", F.explode("links").alias("of")).select("sid", "of.a", "of.b").join(pairs, ["a", "b"])
     return linked.groupBy("sid").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
 
 
