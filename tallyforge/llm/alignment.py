@@ -230,26 +230,27 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BY
     cuts = common.written(cut(docs, by_segment, block_bytes), "segment-cuts")
     words = cuts.where("segs is not null").select("block", "base", F.posexplode(F.arrays_zip("segs", "counts")).alias("pos", "of"))
     words = words.select("block", (F.col("base") + F.col("pos")).alias("local"), F.col("of.segs").alias("seg"), F.col("of.counts").alias("n"))
-    segs = common.written(encoded(words.select("seg").distinct(), a_path, b_path, by_segment).withColumn("sid", F.monotonically_increasing_id()), "segments")
-    own = F.when(F.col("fine"), F.col("sid")).alias("own")
-    entries = common.written(words.join(segs.select("seg", "sid", own), "seg").select("block", "local", "n", "sid", "own"), "segment-entries")
+    at = common.scratch(spark, "segments")
+    segs = common.written(encoded(words.select("seg").distinct(), a_path, b_path, by_segment).withColumn("sid", F.monotonically_increasing_id()), "segments", at)
+    entries = common.written(words.join(segs.select("seg", "sid", "fine"), "seg").select("block", "local", "n", "sid", "fine"), "segment-entries")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with common.settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):  # joins and windows keep the segments' partitioning
         weighed = segs.where("fine").select("sid", "a", "a_len", "b", "b_len").join(occurrences(cuts, entries), "sid").repartition(parts, "sid")
         found = common.written(grouped(weighed), "aligned-segments")
+    common.erase(spark, at)
     linked = found.select("n", F.explode("links").alias("of")).groupBy("of.a", "of.b").agg(F.sum("n").alias("n"))
     most = F.max("n").over(Window.partitionBy("b"))  # rows of a b: the ids of A at most
     pairs = common.written(linked.select("a", "b", "n", (F.col("n") == most).alias("best")), "token-pairs")
-    return Alignment(cuts, entries.select("block", "local", F.col("own").alias("sid")), found, pairs)
+    return Alignment(cuts, entries.select("block", "local", F.when(F.col("fine"), F.col("sid")).alias("sid")), found, pairs)
 
 
 def occurrences(cuts: DataFrame, entries: DataFrame) -> DataFrame:
     """sid, n: how often a segment stands in texts all of whose segments are fine."""
-    odd = entries.where("own is null").groupBy("block").agg(F.collect_list("local").alias("odd"))  # of one block's dictionary
+    odd = entries.where("not fine").groupBy("block").agg(F.collect_list("local").alias("odd"))  # of one block's dictionary
     texts = cuts.where("ids is not null").select("block", "ids").join(odd, "block").where(F.arrays_overlap("ids", "odd"))
     off = texts.select("block", F.explode("ids").alias("local")).groupBy("block", "local").agg((-F.count("*")).alias("n"))
-    off = off.join(entries.where("own is not null").select("block", "local", "sid"), ["block", "local"]).select("sid", "n")
-    return entries.where("own is not null").select("sid", F.col("n").cast("long").alias("n")).unionByName(off).groupBy("sid").agg(F.sum("n").alias("n"))
+    off = off.join(entries.where("fine").select("block", "local", "sid"), ["block", "local"]).select("sid", "n")
+    return entries.where("fine").select("sid", F.col("n").cast("long").alias("n")).unionByName(off).groupBy("sid").agg(F.sum("n").alias("n"))
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -268,15 +269,20 @@ RESULT = "doc_id long, " + ", ".join(f"{n} long" for n in NUMBERS) + ", groups_s
 def by_document(found: Alignment) -> DataFrame:
     """doc_id, NUMBERS and groups_sha256 of every row."""
     worth = common.written(scores(found), "segment-scores")
-    totals = found.segs.withColumn("n_links", F.size("links").cast("long")).join(worth, "sid")
-    entries = found.entries.join(totals, "sid", "left").select("block", "local", F.col("sid").isNotNull().alias("fine"), *NUMBERS, F.col("groups").cast("binary").alias("groups"))
+    shipped = ("n_a", "n_best", "count_sum")  # the other numbers follow from them and the groups' marks
+    totals = found.segs.select("sid", "n_a", F.col("groups").cast("binary").alias("groups")).join(worth, "sid")
+    entries = found.entries.join(totals, "sid", "left").select("block", "local", *shipped, "groups")
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         at = words.column("local").to_numpy()
         place = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
         place[at] = np.arange(len(at))
-        sums = np.stack([words.column(n).fill_null(0).to_numpy() for n in NUMBERS], axis=1).astype(np.int64).reshape(len(at), len(NUMBERS))
-        fine, text = words.column("fine").to_numpy(), words.column("groups").to_pylist()
+        text = [t or b"" for t in words.column("groups").to_pylist()]
+        fine = np.array([bool(t) for t in text], bool)
+        n_a, n_best, count_sum = (words.column(n).fill_null(0).to_numpy().astype(np.int64) for n in shipped)
+        n_groups = np.array([t.count(b"|") for t in text], np.int64)
+        n_ids = np.array([t.count(b",") for t in text], np.int64) + 2 * n_groups
+        sums = np.stack([n_a, n_ids - n_a, n_groups, n_ids - n_groups, n_best, count_sum], axis=1).reshape(len(at), len(NUMBERS))  # as NUMBERS
         out, marks = np.zeros((docs.num_rows, len(NUMBERS)), np.int64), [""] * docs.num_rows
         row = 0
         for chunk in docs.column("ids").chunks:

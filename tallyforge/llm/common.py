@@ -158,9 +158,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
     """df as Parquet in the shared folder: a stage's end, whose rows stay as they are; its shuffle files go."""
-    at = scratch(df.sparkSession, name)
+    at = at or scratch(df.sparkSession, name)
     with freed_shuffles(df.sparkSession):
         df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def erase(spark: SparkSession, at: str) -> None:
+    """Removes a scratch folder that nothing will read again."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -37,7 +37,7 @@ from tallyforge.llm import common
 
 THRESHOLD = 0.9
 #: Cells that a point is compared in: its home and the next nearest.
-VISITS = 4
+VISITS = 6
 #: Bounds of what is fitted on the driver: points, bytes of their components, cells.
 SAMPLE_ROWS = 40_000
 SAMPLE_BYTES = 48 << 20
