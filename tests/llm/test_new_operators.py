@@ -209,8 +209,9 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("block_bytes", [60, 1 << 20])
-def test_alignment_of_odd_texts(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "broadcast"), [(60, 0), (1 << 20, 1 << 20)])
+def test_alignment_of_odd_texts(spark, monkeypatch, block_bytes, broadcast):
+    monkeypatch.setattr(alignment, "BROADCAST_PAIRS", broadcast)
     df = spark.createDataFrame([(*r, "x", 5) for r in ODD], "doc_id long, text string, seg string, sid int").repartition(3)
     assert found_alignment(df, block_bytes=block_bytes) == plain_alignment(ODD)
     assert found_alignment(df.where("false")) == []
