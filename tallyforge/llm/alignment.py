@@ -34,6 +34,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ BLOCK_BYTES = 32 << 20
 DICTIONARY_ROWS = 20_000
 SPACE = "▁"
 
+#: Entries of dictionaries that a task packs at a time.
+PAGE_ROWS = 200_000
 #: Rows of the table of pairs up to which it is broadcast (24 bytes each); beyond that it is joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
 
@@ -266,27 +269,54 @@ def scores(found: Alignment) -> DataFrame:
 RESULT = "doc_id long, " + ", ".join(f"{n} long" for n in NUMBERS) + ", groups_sha256 string"
 
 
+def paged(entries: DataFrame) -> DataFrame:
+    """block, page: rows of entries (with a column block) of one block, as compressed Arrow streams: far fewer bytes to move than rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pages() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            table = table.take(pc.sort_indices(table.column("block"))).combine_chunks()
+            blocks = table.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(table.slice(start, end - start))
+                yield pa.RecordBatch.from_arrays([pa.array([int(blocks[start])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "page"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PAGE_ROWS:
+                yield from pages()
+                held = []
+        if held and sum(b.num_rows for b in held):
+            yield from pages()
+
+    return entries.mapInArrow(run, "block long, page binary")
+
+
 def by_document(found: Alignment) -> DataFrame:
     """doc_id, NUMBERS and groups_sha256 of every row."""
     worth = common.written(scores(found), "segment-scores")
-    shipped = ("n_a", "n_best", "count_sum")  # the other numbers follow from them and the groups' marks
-    totals = found.segs.select("sid", "n_a", F.col("groups").cast("binary").alias("groups")).join(worth, "sid")
-    entries = found.entries.join(totals, "sid", "left").select("block", "local", *shipped, "groups")
+    totals = found.segs.withColumn("n_links", F.size("links").cast("long")).join(worth, "sid").select("sid", *(F.col(n).cast("long").alias(n) for n in NUMBERS), F.col("groups").cast("binary").alias("groups"))
+    pages = paged(found.entries.join(totals, "sid", "left").select("block", "local", *NUMBERS, "groups"))
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        at = words.column("local").to_numpy()
-        place = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
-        place[at] = np.arange(len(at))
-        text = [t or b"" for t in words.column("groups").to_pylist()]
+        parts = [pa.ipc.open_stream(p.as_py()).read_all() for p in words.column("page")]
+        text: list[bytes] = [b""] * sum(p.num_rows for p in parts)
+        sums = np.zeros((len(text), len(NUMBERS)), np.int64)
+        for p in parts:  # numbers of a dictionary are those from 0 on
+            at = p.column("local").to_numpy()
+            sums[at] = np.stack([p.column(n).fill_null(0).to_numpy() for n in NUMBERS], axis=1)
+            for i, t in zip(at.tolist(), p.column("groups").to_pylist(), strict=True):
+                text[i] = t or b""
         fine = np.array([bool(t) for t in text], bool)
-        n_a, n_best, count_sum = (words.column(n).fill_null(0).to_numpy().astype(np.int64) for n in shipped)
-        n_groups = np.array([t.count(b"|") for t in text], np.int64)
-        n_ids = np.array([t.count(b",") for t in text], np.int64) + 2 * n_groups
-        sums = np.stack([n_a, n_ids - n_a, n_groups, n_ids - n_groups, n_best, count_sum], axis=1).reshape(len(at), len(NUMBERS))  # as NUMBERS
         out, marks = np.zeros((docs.num_rows, len(NUMBERS)), np.int64), [""] * docs.num_rows
         row = 0
         for chunk in docs.column("ids").chunks:
-            offsets, flat = chunk.offsets.to_numpy(), place[chunk.values.to_numpy()]
+            offsets, flat = chunk.offsets.to_numpy(), chunk.values.to_numpy()
             for start, end in zip(offsets[:-1], offsets[1:], strict=True):
                 here = flat[start:end]
                 if len(here) and fine[here].all():
@@ -299,4 +329,4 @@ def by_document(found: Alignment) -> DataFrame:
         return pa.table([docs.column("doc_id"), *(pa.array(out[:, k]) for k in range(len(NUMBERS))), pa.array(marks, pa.string())], names=["doc_id", *NUMBERS, "groups_sha256"])
 
     texts = found.cuts.where("ids is not null").select("block", "doc_id", "ids")
-    return texts.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(run, RESULT)
+    return texts.groupBy("block").cogroup(pages.groupBy("block")).applyInArrow(run, RESULT)
