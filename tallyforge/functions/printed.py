@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyforge.functions import normalize as N
+from tallyforge.functions.normalize import let
 
 # Forms and bounds that results depend on.
 AMOUNT = r"\d[\d,]*\.\d{2}"
@@ -55,23 +56,28 @@ def row_cells(c: Column) -> Column:
     the first if that does, else the second unless it is zero.
     """
     text = N.squeezed(N.arabic(F.regexp_replace(c, CURRENCY_WORDS, " ")))
-    words = F.split(text, " ")
-    tail = lambda n: rf"^{AMOUNT}(?: {AMOUNT}){{{n - 1}}}$"
-    last = lambda n: F.array_join(F.slice(words, -n, n), " ")
+    return let(text, lambda t: let(F.split(t, " "), lambda words: _row_of(t, words)))
+
+
+def _row_of(text: Column, words: Column) -> Column:
     at = lambda back: F.try_element_at(words, F.lit(-back))
-    has = lambda n: F.size(words) >= n + 2
 
-    def ends(n: int, unit_first: bool) -> Column:
-        """Of a row with n amounts at its end: struct(qty, uom, money, rest), or null."""
+    def ends(last: Column, n: int, unit_first: bool) -> Column:
+        """Of a row with n amounts at its end (last): struct(qty, uom, money, rest), or null."""
         counted, unit = (at(n + 1), at(n + 2)) if unit_first else (at(n + 2), at(n + 1))
-        number = r"^(\d+(?:\.\d+)?)$" if unit_first else rf"({COUNT})$"
-        qty = F.regexp_extract(counted, number, 1)
+        qty = F.regexp_extract(counted, r"^(\d+(?:\.\d+)?)$" if unit_first else rf"({COUNT})$", 1)
         name = F.regexp_extract(unit, rf"({UNIT})$" if unit_first else rf"^({UNIT})$", 1)
-        whole = F.length(name) + 1 + F.length(counted) if unit_first else F.length(qty) + 1 + F.length(unit)
-        rest = F.trim(F.substring(text, F.lit(1), F.length(text) - F.length(last(n)) - 1 - whole))
-        return F.when(has(n) & last(n).rlike(tail(n)) & (qty != "") & (name != ""), F.struct(qty.alias("qty"), name.alias("uom"), F.slice(words, -n, n).alias("money"), F.nullif(rest, F.lit("")).alias("rest")))
 
-    found = F.coalesce(ends(3, False), ends(2, False), ends(3, True), ends(2, True))
+        def cut(x: Column) -> Column:
+            behind = F.length(last) + 2 + F.length(x["uom"]) + F.length(x["qty"])
+            rest = F.trim(F.substring(text, F.lit(1), F.length(text) - behind))
+            return F.when((x["qty"] != "") & (x["uom"] != ""), F.struct(x["qty"].alias("qty"), x["uom"].alias("uom"), F.slice(words, -n, n).alias("money"), F.nullif(rest, F.lit("")).alias("rest")))
+
+        return let(F.struct(qty.alias("qty"), name.alias("uom")), cut)
+
+    def closing(n: int, unit_first: bool) -> Column:
+        last = F.when(F.size(words) >= n + 2, F.array_join(F.slice(words, -n, n), " "))
+        return let(last, lambda x: F.when(x.rlike(rf"^{AMOUNT}(?: {AMOUNT}){{{n - 1}}}$"), ends(x, n, unit_first)))
 
     def made(f: Column) -> Column:
         q, money = plain_number(f["qty"]), f["money"]
@@ -81,7 +87,8 @@ def row_cells(c: Column) -> Column:
         price = F.when(F.size(money) == 3, three).otherwise(F.get(money, F.lit(0)))
         return F.struct(f["rest"].alias("description"), f["qty"].alias("qty"), f["uom"].alias("uom"), price.alias("unit_price"), F.element_at(money, -1).alias("amount"))
 
-    return F.get(F.transform(F.array(found), lambda f: F.when(f.isNotNull(), made(f))), F.lit(0))
+    found = F.coalesce(closing(3, False), closing(2, False), closing(3, True), closing(2, True))
+    return let(found, lambda f: F.when(f.isNotNull(), made(f)))
 
 
 def without_label(c: Column) -> Column:
@@ -141,10 +148,12 @@ def recovered(text: str | None, members: bool = False) -> str | None:
     outside, depth = _structure(raw)
 
     def parsed(piece: bytes) -> str | None:
-        try:
-            return json.dumps(json.loads(re.sub(rb",\s*([}\]])", rb"\1", piece)), ensure_ascii=False)
-        except ValueError:
-            return None
+        for tried in (piece, re.sub(rb",\s*([}\]])", rb"\1", piece)):  # with a comma before a closing bracket only if it isn't JSON as it is
+            try:
+                return json.dumps(json.loads(tried), ensure_ascii=False)
+            except ValueError:
+                continue
+        return None
 
     done = np.flatnonzero(outside & (depth == 0) & (raw == ord("}")))
     if len(done):

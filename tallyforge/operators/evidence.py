@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge import config
 from tallyforge.functions import normalize as N
 
 
@@ -18,18 +19,18 @@ def promote(field: Column, condition: Column, tag: str) -> Column:
 
 
 def promote_arithmetic(lines: DataFrame) -> DataFrame:
-    """E-02: a line whose quantity times price gives its amount confirms all three cells (those of every 7th line were read without confirmation)."""
-    read = (F.col("line_no") + F.col("doc_id")) % 7 != 0
+    """E-02 over lines (doc_id, line_no, qty, price_c, amount_c, confirmed): a line whose quantity times price gives its amount confirms an amount that readers didn't."""
+    read = F.coalesce("confirmed", F.lit(False))
     cell = F.struct(F.col("amount_c").alias("value"), read.alias("ok"), F.when(~read, "LOW_CONFIDENCE").alias("null_reason"), F.array().cast("array<string>").alias("evidence"))
-    closes = F.abs(F.col("qty") * F.col("price_c") - F.col("amount_c")) <= 50
+    closes = F.abs(F.col("qty") * F.col("price_c") - F.col("amount_c")) <= config.LINE_TOLERANCE_C
     x = lines.select("doc_id", "line_no", promote(cell, closes, "qty_x_price").alias("x"))
     return x.select("doc_id", "line_no", F.col("x.ok").alias("ok"), F.col("x.null_reason").alias("null_reason"), F.array_join("x.evidence", ",").alias("evidence"))
 
 
 def promote_by_receipt(compared: DataFrame) -> DataFrame:
-    """E-03, E-04: what a matched receipt line says too: price, quantity, unit; an empty unit is inherited."""
-    unit = F.when(F.col("line_no") % 3 != 0, F.col("uom"))
-    same = N.v66_uom_group(F.coalesce(unit, F.col("rcv_uom"))) == N.v66_uom_group(F.col("rcv_uom"))
+    """E-03, E-04: what a matched receipt line says too (compared, with unit_read: the unit as it was read): price, quantity, unit; an empty unit is inherited."""
+    unit = F.col("unit_read")
+    same = N.v66_uom_group(unit) == N.v66_uom_group(F.col("rcv_uom"))
     tags = F.array_compact(F.array(F.when(F.col("price_c") == F.col("rcv_price_c"), "price"), F.when(F.col("qty") == F.col("rcv_qty"), "qty"), F.when(unit.isNull() & F.col("rcv_uom").isNotNull(), "uom_inherited").when(same, "uom")))
     return compared.select("doc_id", "line_no", F.coalesce(unit, F.col("rcv_uom")).alias("uom"), F.array_join(tags, ",").alias("evidence"))
 

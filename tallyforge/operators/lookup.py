@@ -68,11 +68,13 @@ def by_po(keys: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def by_prefix(keys: DataFrame, heads: DataFrame) -> DataFrame:
-    """J-03: composite keys that begin with the invoice number and hold the purchase order."""
-    composite = heads.withColumn("composite", F.concat("booked_invoice", F.lit("-"), "booked_po"))
-    keyed = composite.withColumn("prefix", F.substring_index("composite", "-", 1))
-    h = keys.select("doc_id", "po_number", N.letters_key(F.col("invoice_num")).alias("key"))
-    return h.join(keyed, (F.col("key") == F.col("prefix")) & F.col("composite").contains(F.col("po_number"))).select(*FOUND, F.lit("PREFIX").alias("match_mode"))
+    """J-03: receipts of the purchase order by a header that may be a composite key (column composite): the invoice number as written, another spelling of it, or a key that begins with it and holds the order; the best of these counts."""
+    h = heads.where("composite is not null")
+    own = h.join(spelled(keys), (F.col("spelling") == F.col("composite")) & (F.col("po_number") == F.col("booked_po"))).select(*FOUND, F.when(F.col("place") == 0, 0).otherwise(1).alias("rank"))
+    keyed = h.withColumn("prefix", F.substring_index("composite", "-", 1)).where("prefix <> composite")
+    begun = keys.select("doc_id", "po_number", N.letters_key(F.col("invoice_num")).alias("key")).join(keyed, (F.col("key") == F.col("prefix")) & F.col("composite").contains(F.col("po_number"))).select(*FOUND, F.lit(2).alias("rank"))
+    best = own.unionByName(begun).groupBy(*FOUND).agg(F.min("rank").alias("rank"))
+    return best.select(*FOUND, F.when(F.col("rank") == 0, "EXACT").when(F.col("rank") == 1, "NORMALIZED").otherwise("PREFIX").alias("match_mode"))
 
 
 def cascade(*levels: DataFrame) -> DataFrame:

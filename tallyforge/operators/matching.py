@@ -185,14 +185,18 @@ def guarded(proposed: DataFrame, lines: DataFrame, active: DataFrame) -> DataFra
     return known.select("doc_id", "place", "line_no", "rcv_line", "level", reason.alias("refused"))
 
 
-def narrowed(header: DataFrame, active: DataFrame, key: DataFrame | None = None) -> DataFrame:
-    """G-07: of a document's receipts those with its header key, else the one whose total is the sub-total, else the one with quantity that is still to be billed; else none."""
-    per = active.groupBy("doc_id", "receipt_num").agg(F.sum("rcv_amount_c").alias("total_c"), F.bool_or(F.col("rcv_qty") % 5 == 0).alias("unbilled"), F.bool_or(F.col("receipt_num") == F.col("doc_id").cast("string")).alias("keyed"))
-    h = per.join(header.select("doc_id", "sub_total_c"), "doc_id")
+def narrowed(header: DataFrame, active: DataFrame) -> DataFrame:
+    """G-07: of a document's receipts those with its header key, else the one whose total is the sub-total, else the one with quantity that is still to be billed; else none.
+
+    header: doc_id, sub_total_c, invoice_num; active: doc_id, receipt_num, header_key (the invoice number that the receipt carries, or null), rcv_amount_c, rcv_qty, billed_qty.
+    """
+    own = header.select("doc_id", "sub_total_c", N.letters_key(F.col("invoice_num")).alias("own_key"))
+    per = active.join(own, "doc_id").groupBy("doc_id", "receipt_num", "sub_total_c").agg(
+        F.sum("rcv_amount_c").alias("total_c"), F.bool_or(F.coalesce(F.col("billed_qty"), F.lit(0)) < F.col("rcv_qty")).alias("unbilled"), F.bool_or(F.coalesce(N.letters_key(F.col("header_key")) == F.col("own_key"), F.lit(False))).alias("keyed"))
     of = Window.partitionBy("doc_id")
     n = lambda cond: F.count_if(cond).over(of)
     total = F.coalesce(F.col("total_c") == F.col("sub_total_c"), F.lit(False))
-    several = h.withColumn("receipts", F.count("*").over(of)).withColumn("n_key", n(F.col("keyed") & (F.col("doc_id") % 2 == 0))).withColumn("n_total", n(total)).withColumn("n_open", n(F.col("unbilled"))).where("receipts > 1")
+    several = per.withColumn("receipts", F.count("*").over(of)).withColumn("n_key", n(F.col("keyed"))).withColumn("n_total", n(total)).withColumn("n_open", n(F.col("unbilled"))).where("receipts > 1")
     rule = F.when(F.col("n_key") > 0, "key").when(F.col("n_total") == 1, "total").when(F.col("n_open") == 1, "unbilled").otherwise("ambiguous")
     stays = F.when(F.col("n_key") > 0, F.col("keyed")).when(F.col("n_total") == 1, total).when(F.col("n_open") == 1, F.col("unbilled")).otherwise(False)
     return several.select("doc_id", "receipt_num", rule.alias("narrowed_by"), stays.alias("stays"))

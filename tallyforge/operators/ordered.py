@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def best_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -52,3 +58,23 @@ def capped(df: DataFrame, keys: list[str], order: list, cap: int) -> DataFrame:
     """L-01, W-12: the first `cap` rows of each key, and whether there were as many or more."""
     w = Window.partitionBy(*keys)
     return df.withColumn("n_all", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(*order))).where(F.col("place") <= cap).withColumn("capped", F.col("n_all") >= cap)
+
+
+def folded(rows: DataFrame, key: list[str], order: list[str], schema: str, fold: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
+    """The rows that fold() gives for each key's rows in order, as a stream."""
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+    names = shape.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (r for b in batches for r in b.to_pylist())
+        out: list[dict] = []
+        for _, group in groupby(stream, key=lambda r: tuple(r[k] for k in key)):
+            for row in fold(group):
+                out.append({n: row.get(n) for n in names})
+                if len(out) >= 5_000:
+                    yield pa.RecordBatch.from_pylist(out, shape)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, shape)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)

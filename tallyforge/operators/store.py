@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ordered import folded
+
 ACTIONS = ("explain", "resubmit", "rerun", "return", "reject", "hold", "confirm")
 # The status and assignee that each action leads to.
 AFTER = {
@@ -77,46 +81,59 @@ def refused(action: Column, state: Column, assignee: Column, receiver: Column, p
     )
 
 
-def apply_action(state: dict, action: dict) -> tuple[dict, str]:
-    """S-04..S-06, one step of the workflow on a document's state: version, state, assignee, pending, seen (request ids)."""
+def apply_action(state: dict, action: dict, seen) -> tuple[dict, str]:
+    """S-04..S-06, one step of the workflow on a document's state: version, state, assignee, pending. seen: the request ids that had an effect; it has `in` and add()."""
     kind = action["action"]
-    if action["request_id"] in state["seen"]:
+    if action["request_id"] in seen:
         return state, "duplicate"
     if kind in ("accepted", "failed"):  # an acknowledgement
         if not state["pending"]:
             return state, "not_pending"
+        seen.add(action["request_id"])
         changed = {"state": "action_failed", "assignee": "Accounting"} if kind == "failed" else {}
-        return state | changed | {"pending": False, "seen": [*state["seen"], action["request_id"]]}, kind
+        return state | changed | {"pending": False}, kind
     if kind == "revision":
+        seen.add(action["request_id"])
         resumed = {"state": "under_review", "assignee": "Accounting"} if state["state"] == "awaiting_revision" else {}
-        return state | resumed | {"pending": False if resumed else state["pending"], "seen": [*state["seen"], action["request_id"]]}, "resumed" if resumed else "recorded"
+        return state | resumed | {"pending": False if resumed else state["pending"]}, "resumed" if resumed else "recorded"
     user, accounting = state["assignee"] == "End user", state["assignee"] == "Accounting"
     allowed = (user if kind in ("explain", "resubmit") else accounting) and not (kind == "rerun" and action["receiver"]) and not (kind == "return" and not action["receiver"]) and not (kind == "hold" and state["state"] == "on_hold") and not (kind == "confirm" and state["state"] == "confirmed")
     if state["state"] in ("posted", "rejected") or state["pending"] or kind not in AFTER or not allowed:
         return state, "refused"
     if action["expected_version"] is not None and action["expected_version"] != state["version"]:
         return state, "conflict"
+    seen.add(action["request_id"])
     to, who = AFTER[kind]
-    return {"version": state["version"] + 1, "state": to, "assignee": who, "pending": to == "awaiting_revision", "seen": [*state["seen"], action["request_id"]]}, "pending" if to == "awaiting_revision" else "recorded"
+    return {"version": state["version"] + 1, "state": to, "assignee": who, "pending": to == "awaiting_revision"}, "pending" if to == "awaiting_revision" else "recorded"
 
 
-START = {"version": 0, "state": "under_review", "assignee": "Accounting", "pending": False, "seen": []}
+START = {"version": 0, "state": "under_review", "assignee": "Accounting", "pending": False}
 STATE_SCHEMA = "external_id long, version long, state string, assignee string, pending boolean, applied long, refused long"
 
 
+EFFECTS = {"refused": (0, 1), "conflict": (0, 1), "duplicate": (0, 0), "not_pending": (0, 0)}
+
+
+def stepped(state: dict, action: dict, seen) -> dict:
+    """The state after an action, with what it adds to applied and refused (1 and 0 unless EFFECTS says otherwise)."""
+    now, outcome = apply_action(state, action, seen)
+    applied, refused = EFFECTS.get(outcome, (1, 0))
+    return now | {"applied": state["applied"] + applied, "refused": state["refused"] + refused}
+
+
+FRESH = START | {"applied": 0, "refused": 0}
+
+
 def workflow(actions: DataFrame) -> DataFrame:
-    """S-04..S-06 as a batch: each document's actions folded in order of arrival.
+    """S-04..S-06 as a batch: each document's actions folded in order of arrival, as a stream of sorted rows; a task holds one document's state and the request ids that had an effect.
 
     actions: external_id, arrival, request_id, action, receiver, expected_version.
     """
-    import pandas as pd
 
-    def run(key: tuple, rows: "pd.DataFrame") -> "pd.DataFrame":
-        state, applied, no = dict(START), 0, 0
-        for a in rows.sort_values("arrival").to_dict("records"):
-            a["expected_version"] = None if pd.isna(a["expected_version"]) else a["expected_version"]
-            state, outcome = apply_action(state, a)
-            applied, no = applied + (outcome not in ("refused", "conflict", "duplicate", "not_pending")), no + (outcome in ("refused", "conflict"))
-        return pd.DataFrame([(key[0], state["version"], state["state"], state["assignee"], state["pending"], applied, no)], columns=["external_id", "version", "state", "assignee", "pending", "applied", "refused"])
+    def fold(rows: Iterator[dict]) -> Iterator[dict]:
+        state, seen = dict(FRESH), set()
+        for a in rows:
+            state = stepped(state, a, seen)
+        yield state | {"external_id": a["external_id"]}
 
-    return actions.groupBy("external_id").applyInPandas(run, STATE_SCHEMA)
+    return folded(actions, ["external_id"], ["arrival"], STATE_SCHEMA, fold)

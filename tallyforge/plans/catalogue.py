@@ -320,9 +320,15 @@ def tax_invoice_columns(x: Landing) -> DataFrame:
     return lookup.by_tax_columns(lookup.with_tax(x.bill_key, x.receipt_head), x.receipt_head)
 
 
-@query(HEADS + "SELECT doc_id, receipt_num, n_rows, supp, 'PREFIX' AS match_mode FROM (SELECT doc_id, po_number, upper(replace(replace(replace(invoice_num, ' ', ''), '-', ''), '/', '')) AS k FROM bill_header) JOIN receipt_head ON k = booked_invoice AND po_number = booked_po")
+@query(HEADS + """, hd AS (SELECT *, CASE CAST(booked_po AS BIGINT) % 3 WHEN 0 THEN booked_invoice || '-' || booked_po WHEN 1 THEN booked_invoice ELSE paid_invoice END AS composite FROM receipt_head),
+cm AS (SELECT doc_id, receipt_num, n_rows, supp, CASE WHEN place = 0 THEN 0 ELSE 1 END AS rank FROM sp JOIN hd ON spelling = composite AND po_number = booked_po
+  UNION ALL SELECT doc_id, receipt_num, n_rows, supp, 2 FROM (SELECT doc_id, po_number, upper(replace(replace(replace(invoice_num, ' ', ''), '-', ''), '/', '')) AS k FROM bill_header) JOIN hd ON k = split_part(composite, '-', 1) AND contains(composite, '-') AND contains(composite, po_number))
+SELECT doc_id, receipt_num, n_rows, supp, CASE min(rank) WHEN 0 THEN 'EXACT' WHEN 1 THEN 'NORMALIZED' ELSE 'PREFIX' END AS match_mode FROM cm GROUP BY 1, 2, 3, 4""")
 def rcv_composite_prefix(x: Landing) -> DataFrame:
-    return lookup.by_prefix(x.bill_key, x.receipt_head)
+    """J-03: receipts' headers hold a composite key, an invoice number as booked, or one as paid."""
+    kind = F.col("booked_po").cast("long") % 3
+    composite = F.when(kind == 0, F.concat("booked_invoice", F.lit("-"), "booked_po")).when(kind == 1, F.col("booked_invoice")).otherwise(F.col("paid_invoice"))
+    return lookup.by_prefix(x.bill_key, x.receipt_head.withColumn("composite", composite))
 
 
 @query(HEADS + ", every AS (SELECT *, 1 AS level FROM unified UNION ALL SELECT *, 2 FROM by_po) SELECT doc_id, receipt_num, n_rows, supp, match_mode, CAST(level AS BIGINT) AS level FROM every" + FIRST)
@@ -336,9 +342,16 @@ def lookup_cascade_legacy(x: Landing) -> DataFrame:
     return lookup.legacy(x.bill_key, x.receipt_head)
 
 
-@query(HEADS + ", every AS (SELECT *, 1 AS level FROM by_tax_columns UNION ALL SELECT *, 2 FROM by_po WHERE doc_id IN (SELECT doc_id FROM sp)) SELECT doc_id, receipt_num, n_rows, supp, match_mode, CAST(level AS BIGINT) AS level FROM every" + FIRST)
+MISREAD = HEADS.replace("bill_key", "misread_key").replace(", norm AS", ", misread_key AS (SELECT doc_id, invoice_num, po_number, CASE WHEN doc_id % 14 <> 3 THEN read_tax END AS read_tax FROM bill_key), norm AS", 1)
+
+
+@query(MISREAD + ", every AS (SELECT *, 1 AS level FROM by_tax_columns UNION ALL SELECT *, 2 FROM by_po WHERE doc_id IN (SELECT doc_id FROM sp)) SELECT doc_id, receipt_num, n_rows, supp, match_mode, CAST(level AS BIGINT) AS level FROM every" + FIRST)
 def lookup_cascade_tax(x: Landing) -> DataFrame:
-    return lookup.by_tax_or_po(x.bill_key, x.receipt_head)
+    """J-10: of every fourteenth document the last digit of the tax id was misread, so that it doesn't count."""
+    tax = F.col("read_tax")
+    misread = F.concat(F.left("read_tax", F.lit(12)), ((F.right("read_tax", F.lit(1)).cast("int") + 1) % 10).cast("string"))
+    keys = x.bill_key.withColumn("read_tax", F.when(F.col("doc_id") % 14 == 3, misread).otherwise(tax))
+    return lookup.by_tax_or_po(keys, x.receipt_head, N.valid_supplier_tax(tax).isNotNull())
 
 
 @query("SELECT doc_id, f.supp, coalesce(vat_reg, other_id) AS supplier_tax FROM (SELECT doc_id, min(supp) AS supp FROM receipt_line GROUP BY 1) f JOIN supplier_dim USING (supp)")
@@ -434,11 +447,13 @@ def proposal_guard(x: Landing) -> DataFrame:
     return matching.guarded(proposed, x.bill_line, x.active)
 
 
-@query(""", per AS (SELECT doc_id, receipt_num, CAST(sum(rcv_amount_c) AS BIGINT) AS total_c, bool_or(rcv_qty % 5 = 0) AS unbilled, bool_or(receipt_num = CAST(doc_id AS VARCHAR)) AS keyed FROM active GROUP BY 1, 2),
-s AS (SELECT per.*, coalesce(total_c = sub_total_c, false) AS tot, count(*) OVER w AS receipts, count(*) FILTER (keyed AND doc_id % 2 = 0) OVER w AS n_key, count(*) FILTER (coalesce(total_c = sub_total_c, false)) OVER w AS n_total, count(*) FILTER (unbilled) OVER w AS n_open FROM per JOIN bill_header USING (doc_id) WINDOW w AS (PARTITION BY doc_id))
+@query(""", per AS (SELECT doc_id, receipt_num, CAST(sum(rcv_amount_c) AS BIGINT) AS total_c, bool_or(rcv_qty % 5 = 0) AS unbilled, bool_or(doc_id % 2 = 0 AND receipt_num = CAST(doc_id AS VARCHAR)) AS keyed FROM active GROUP BY 1, 2),
+s AS (SELECT per.*, coalesce(total_c = sub_total_c, false) AS tot, count(*) OVER w AS receipts, count(*) FILTER (keyed) OVER w AS n_key, count(*) FILTER (coalesce(total_c = sub_total_c, false)) OVER w AS n_total, count(*) FILTER (unbilled) OVER w AS n_open FROM per JOIN bill_header USING (doc_id) WINDOW w AS (PARTITION BY doc_id))
 SELECT doc_id, receipt_num, CASE WHEN n_key > 0 THEN 'key' WHEN n_total = 1 THEN 'total' WHEN n_open = 1 THEN 'unbilled' ELSE 'ambiguous' END AS narrowed_by, CASE WHEN n_key > 0 THEN keyed WHEN n_total = 1 THEN tot WHEN n_open = 1 THEN unbilled ELSE false END AS stays FROM s WHERE receipts > 1""")
 def po_list_narrowing(x: Landing) -> DataFrame:
-    return matching.narrowed(x.bill_header, x.active)
+    d, own = F.col("doc_id"), F.col("receipt_num") == F.col("doc_id").cast("string")
+    landed = x.active.withColumn("header_key", F.when((d % 2 == 0) & own, F.concat(F.lit("INV/"), d.cast("string")))).withColumn("billed_qty", F.col("rcv_qty") - F.when(F.col("rcv_qty") % 5 == 0, 1).otherwise(0))
+    return matching.narrowed(x.bill_header, landed)
 
 
 @query("""SELECT doc_id, item, CASE WHEN count(DISTINCT rcv_price_c) = 1 THEN max(rcv_price_c) * 100 ELSE CAST(sum(rcv_amount_c) * 100 // sum(rcv_qty) + CASE WHEN (sum(rcv_amount_c) * 100 % sum(rcv_qty)) * 2 > sum(rcv_qty) OR ((sum(rcv_amount_c) * 100 % sum(rcv_qty)) * 2 = sum(rcv_qty) AND (sum(rcv_amount_c) * 100 // sum(rcv_qty)) % 2 = 1) THEN 1 ELSE 0 END AS BIGINT) END AS price_e4 FROM active GROUP BY 1, 2""")
@@ -471,12 +486,13 @@ def items_summary(x: Landing) -> DataFrame:
 
 @query("""SELECT doc_id, line_no, (line_no + doc_id) % 7 <> 0 OR abs(qty * price_c - amount_c) <= 50 AS ok, CASE WHEN (line_no + doc_id) % 7 = 0 AND abs(qty * price_c - amount_c) > 50 THEN 'LOW_CONFIDENCE' END AS null_reason, CASE WHEN (line_no + doc_id) % 7 = 0 AND abs(qty * price_c - amount_c) <= 50 THEN 'qty_x_price' ELSE '' END AS evidence FROM bill_line""")
 def promote_arithmetic(x: Landing) -> DataFrame:
-    return evidence.promote_arithmetic(x.bill_line)
+    return evidence.promote_arithmetic(x.bill_line.withColumn("confirmed", (F.col("line_no") + F.col("doc_id")) % 7 != 0))
 
 
 @query(COMPARED + """SELECT doc_id, line_no, CASE WHEN line_no % 3 <> 0 THEN uom ELSE rcv_uom END AS uom, concat_ws(',', CASE WHEN price_c = rcv_price_c THEN 'price' END, CASE WHEN qty = rcv_qty THEN 'qty' END, CASE WHEN line_no % 3 = 0 AND rcv_uom IS NOT NULL THEN 'uom_inherited' WHEN line_no % 3 <> 0 AND uom = rcv_uom THEN 'uom' END) AS evidence FROM compared WHERE rcv_qty IS NOT NULL""")
 def promote_by_receipt(x: Landing) -> DataFrame:
-    return evidence.promote_by_receipt(rules.compared(x.bill_line, x.active).where("rcv_qty is not null"))
+    read = rules.compared(x.bill_line, x.active).withColumn("unit_read", F.when(F.col("line_no") % 3 != 0, F.col("uom")))
+    return evidence.promote_by_receipt(read.where("rcv_qty is not null"))
 
 
 @query(COMPARED + "SELECT doc_id, line_no, CASE WHEN abs(amount_c * 1000 - rcv_qty * price_c * 1000) <= price_c THEN rcv_qty END AS derived_qty FROM compared WHERE price_c > 0")

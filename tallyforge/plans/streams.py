@@ -19,18 +19,18 @@ def stream_latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.drained(store.monotone(e), "stream-latest").groupBy("external_id").agg(F.max("revision").alias("revision"))
 
 
-def stream_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def actions_of(events: DataFrame) -> DataFrame:
+    """Events as actions on documents, some of them sent again."""
     kind = F.get(F.array(*map(F.lit, (*ACTS, "accepted", "revision"))), (F.col("event_id") * 7 + F.col("user_id")) % 9)
-    e = store.events(spark, sf_dir)
-    return e.select(F.col("user_id").alias("external_id"), F.col("event_id").alias("arrival"), F.concat(F.lit("r"), (F.col("event_id") - F.when(F.col("event_id") % 11 == 0, 11).otherwise(0)).cast("string")).alias("request_id"), kind.alias("action"), (F.col("user_id") % 2 == 0).alias("receiver"), F.lit(None).cast("long").alias("expected_version"))
+    return events.select(F.col("user_id").alias("external_id"), F.col("event_id").alias("arrival"), F.concat(F.lit("r"), (F.col("event_id") - F.when(F.col("event_id") % 11 == 0, 11).otherwise(0)).cast("string")).alias("request_id"), kind.alias("action"), (F.col("user_id") % 2 == 0).alias("receiver"), F.lit(None).cast("long").alias("expected_version"))
 
 
 def stream_workflow_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.drained(store.workflow(stream_actions(spark, sf_dir)), "stream-workflow")
+    return store.drained(store.workflow(actions_of(store.events(spark, sf_dir))), "stream-workflow", latest="external_id")
 
 
 def stream_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.drained(store.workflow(stream_actions(spark, sf_dir), ttl_ms=86_400_000), "stream-ttl")
+    return store.drained(store.workflow(actions_of(store.events(spark, sf_dir)), ttl_ms=86_400_000), "stream-ttl", latest="external_id")
 
 
 QUERIES = {f.__name__: f for f in (stream_ingest_dedupe, stream_latest_revision, stream_workflow_state, stream_ttl)}

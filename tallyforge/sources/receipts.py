@@ -6,32 +6,43 @@ reason. A table without any of the expected columns is a technical error, never
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FOOTER = r"(?i)^\s*(\d+ rows? selected\.?|no rows selected\.?)\s*$"
 COLUMNS = ("PO_NUM", "RCV_NUM", "ITM_CODE", "UOM", "RCV_QTY", "PO_UPRICE", "LINE_TOTAL", "SUPPLIER_TAX_ID")
 
 
-class MissingColumns(ValueError):
-    """The source isn't the table that was asked for."""
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, at (place in its file): text rows without blank ones and footers. Files aren't split, so a row's place is its own."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
-    return rows.where((F.trim("value") != "") & ~F.col("value").rlike(FOOTER))
-
-
-def parse(lines: DataFrame, header: str, expected: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """A column for each expected name, as text (null where the table hasn't it), and `line_num`, the row's place among the data rows."""
-    names = [n.strip().strip('"').upper() for n in header.split(",")]
-    if not set(names) & set(expected):
-        raise MissingColumns(f"none of {', '.join(expected)} in: {header[:200]}")
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    data = lines.where(F.upper(F.trim("value")) != ",".join(names)).select("at", F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
-    column = {n: F.trim(F.col(f"r.c{i}")) for i, n in enumerate(names)}
-    return data.select(F.col("at").cast("long").alias("line_num"), *(F.nullif(column[n], F.lit("")).alias(n) if n in column else F.lit(None).cast("string").alias(n) for n in expected))
+    """file, at (place in the file, from 0), value: text rows without blank ones and footers.
+
+    Files are split as Spark likes: a row's place is its place in its split, which is read in order, plus the rows of the splits before it.
+    """
+    meta = F.col("_metadata")
+    rows = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("seq"))
+    within = F.row_number().over(Window.partitionBy("file", "block").orderBy("seq"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = rows.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))  # a row a split
+    placed = rows.withColumn("within", within).join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("within") - 1).alias("at"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    return placed.where((F.trim("value") != "") & ~F.col("value").rlike(FOOTER))
+
+
+def parse(lines: DataFrame, expected: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """file, line_num (the row's place among its file's data rows) and a column for each expected name, as text (null where the file hasn't it).
+
+    Each file's first row names its columns. A file with none of the expected ones fails the job: it is another table, not an empty one.
+    """
+    first = lines.groupBy("file").agg(F.min("at").alias("first"), F.min_by("value", "at").alias("header"))
+    names = F.transform(F.split("header", ","), lambda n: F.upper(F.trim(F.regexp_replace(n, '"', ""))))
+    known = first.withColumn("names", names)
+    shown = F.concat(F.lit(f"MissingColumns: none of {', '.join(expected)} in: "), F.substring("header", 1, 200))
+    checked = known.withColumn("names", F.when(F.arrays_overlap("names", F.array(*map(F.lit, expected))), F.col("names")).otherwise(F.raise_error(shown)))
+    widest = 200  # columns of a row that are read at most
+    data = lines.join(checked, "file").where(F.col("at") > F.col("first"))
+    cells = F.array(*(F.trim(F.col("r")[f"c{i}"]) for i in range(widest)))
+    row = data.withColumn("r", F.from_csv("value", ", ".join(f"c{i} string" for i in range(widest)), {"mode": "PERMISSIVE"})).withColumn("cells", cells)
+    at = lambda n: F.get("cells", F.array_position("names", n).cast("int") - 1)
+    return row.select("file", (F.col("at") - F.col("first")).alias("line_num"), *(F.nullif(at(n), F.lit("")).alias(n) for n in expected))
 
 
 def decimal(c: Column) -> Column:
@@ -43,13 +54,12 @@ def typed(rows: DataFrame) -> DataFrame:
     qty, price, total = decimal(F.col("RCV_QTY")), decimal(F.col("PO_UPRICE")), decimal(F.col("LINE_TOTAL"))
     reason = F.when(F.col("PO_NUM").isNull() | F.col("RCV_NUM").isNull(), "no_key").when(qty.isNull() | price.isNull(), "not_a_number")
     amount = F.coalesce(total, (qty * price).cast("decimal(18,4)"))
-    return rows.select("line_num", F.col("PO_NUM").alias("po_number"), F.col("RCV_NUM").alias("receipt_num"), F.col("ITM_CODE").alias("item_code"), F.col("UOM").alias("uom"), qty.alias("qty"), price.alias("unit_price"), amount.alias("line_amount"), F.col("SUPPLIER_TAX_ID").alias("supplier_tax_id"), reason.alias("rejected"))
+    return rows.select("file", "line_num", F.col("PO_NUM").alias("po_number"), F.col("RCV_NUM").alias("receipt_num"), F.col("ITM_CODE").alias("item_code"), F.col("UOM").alias("uom"), qty.alias("qty"), price.alias("unit_price"), amount.alias("line_amount"), F.col("SUPPLIER_TAX_ID").alias("supplier_tax_id"), reason.alias("rejected"))
 
 
 def read_receipts(spark: SparkSession, path: str) -> DataFrame:
-    lines = read_lines(spark, path)
-    first = lines.orderBy("at").select("value").first()
-    return typed(parse(lines, first[0] if first else ",".join(COLUMNS)))
+    """All files of a path, each with its own header."""
+    return typed(parse(read_lines(spark, path)))
 
 
 def framed(payload: Column) -> Column:

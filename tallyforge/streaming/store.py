@@ -1,7 +1,8 @@
 """The document store as streams (S-01..S-06, S-09): Structured Streaming over event files or topics.
 
-State is bounded: duplicates are remembered within a watermark, and a document's state is one row
-in the state store, which expires if a time to live is set.
+Duplicate events are remembered within a watermark. A document's workflow is one row in the state store
+and a map of the request ids that had an effect; both expire if a time to live is set, and the document
+then begins anew. Without one the map grows with the document's actions.
 """
 
 from __future__ import annotations
@@ -9,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from tallyforge.operators import store
 from tallyforge.storage import scratch
@@ -63,28 +64,39 @@ def monotone(stream: DataFrame) -> DataFrame:
     return keyed(stream, Latest(), "external_id long, event_id long, revision long", "Append", "None")
 
 
+class Requests:
+    """The request ids in a map state, as operators.store.apply_action() wants them."""
+
+    def __init__(self, state) -> None:
+        self.state = state
+
+    def __contains__(self, request: str) -> bool:
+        return self.state.containsKey((request,))
+
+    def add(self, request: str) -> None:
+        self.state.updateValue((request,), (True,))
+
+
 class Workflow(StatefulProcessor):
     """S-04..S-06: a document's workflow state; S-09: it is forgotten after the time to live."""
 
+    NAMES = ("version", "state", "assignee", "pending", "applied", "refused")
+
     def __init__(self, ttl_ms: int | None = None) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("version", LongType()), StructField("state", StringType()), StructField("assignee", StringType()), StructField("pending", LongType()), StructField("seen", StringType()), StructField("applied", LongType()), StructField("refused", LongType())])
-        self.value = handle.getValueState("workflow", schema, self.ttl_ms) if self.ttl_ms else handle.getValueState("workflow", schema)
+        types = dict(zip(self.NAMES, (LongType(), StringType(), StringType(), BooleanType(), LongType(), LongType()), strict=True))
+        self.value = handle.getValueState("workflow", StructType([StructField(n, t) for n, t in types.items()]), self.ttl_ms)
+        self.requests = Requests(handle.getMapState("requests", StructType([StructField("request", StringType())]), StructType([StructField("done", BooleanType())]), self.ttl_ms))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.value.exists():
-            version, state, assignee, pending, seen, applied, no = self.value.get()
-            now = {"version": version, "state": state, "assignee": assignee, "pending": bool(pending), "seen": seen.split("\n") if seen else []}
-        else:
-            now, applied, no = dict(store.START), 0, 0
-        for a in pd.concat(list(rows)).sort_values("arrival").to_dict("records"):
+        now = dict(zip(self.NAMES, self.value.get(), strict=True)) if self.value.exists() else dict(store.FRESH)
+        for a in pd.concat(list(rows)).sort_values("arrival").to_dict("records"):  # a document's actions in one micro-batch
             a["expected_version"] = None if pd.isna(a["expected_version"]) else a["expected_version"]
-            now, outcome = store.apply_action(now, a)
-            applied, no = applied + (outcome not in ("refused", "conflict", "duplicate", "not_pending")), no + (outcome in ("refused", "conflict"))
-        self.value.update((now["version"], now["state"], now["assignee"], int(now["pending"]), "\n".join(now["seen"]), applied, no))
-        yield pd.DataFrame([(key[0], now["version"], now["state"], now["assignee"], now["pending"], applied, no)], columns=["external_id", "version", "state", "assignee", "pending", "applied", "refused"])
+            now = store.stepped(now, a, self.requests)
+        self.value.update(tuple(now[n] for n in self.NAMES))
+        yield pd.DataFrame([(key[0], *(now[n] for n in self.NAMES))], columns=["external_id", *self.NAMES])
 
     def close(self) -> None:
         pass
@@ -105,8 +117,8 @@ def upserted(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """All that a stream gives for what is there now, as a table.
+def drained(stream: DataFrame, name: str, latest: str | None = None) -> DataFrame:
+    """All that a stream gives for what is there now, as a table; with `latest`, the last batch's row for each value of that column.
 
     Batches without data are off meanwhile: state with a time to live would ask for them for ever.
     """
@@ -117,4 +129,8 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
         upserted(stream, f"{out}/table", f"{out}/checkpoint").awaitTermination()
     finally:
         spark.conf.set(quiet, before)
-    return spark.read.parquet(f"{out}/table").drop("batch")
+    found = spark.read.parquet(f"{out}/table")
+    if latest:
+        newest = F.max("batch").over(Window.partitionBy(latest))
+        found = found.withColumn("newest", newest).where("batch = newest").drop("newest")
+    return found.drop("batch")

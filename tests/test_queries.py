@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallyforge.plans import catalogue, documents, streams  # noqa: F401
+from tallyforge.plans import catalogue, documents, pages, streams  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
