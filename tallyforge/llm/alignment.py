@@ -230,12 +230,18 @@ class Alignment:
 def align(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES) -> Alignment:
     spark = docs.sparkSession
     by_segment = cut_alike(a_path, b_path)
-    cuts = common.written(cut(docs, by_segment, block_bytes), "segment-cuts")
-    words = cuts.where("segs is not null").select("block", "base", F.posexplode(F.arrays_zip("segs", "counts")).alias("pos", "of"))
+    both = cut(docs, by_segment, block_bytes).withColumn("kind", F.col("segs").isNotNull().cast("int"))
+    cut_at = common.scratch(spark, "segment-cuts")
+    with common.settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": "2"}):  # documents and dictionaries in folders of their own, without a sort
+        both.write.partitionBy("kind").option("compression", "zstd").parquet(cut_at)
+    written = spark.read.schema(both.schema).parquet(cut_at)
+    cuts = written.where("kind = 0").drop("kind")
+    words = written.where("kind = 1").select("block", "base", F.posexplode(F.arrays_zip("segs", "counts")).alias("pos", "of"))
     words = words.select("block", (F.col("base") + F.col("pos")).alias("local"), F.col("of.segs").alias("seg"), F.col("of.counts").alias("n"))
     at = common.scratch(spark, "segments")
     segs = common.written(encoded(words.select("seg").distinct(), a_path, b_path, by_segment).withColumn("sid", F.monotonically_increasing_id()), "segments", at)
     entries = common.written(words.join(segs.select("seg", "sid", "fine"), "seg").select("block", "local", "n", "sid", "fine"), "segment-entries")
+    common.erase(spark, f"{cut_at}/kind=1")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with common.settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):  # joins and windows keep the segments' partitioning
         weighed = segs.where("fine").select("sid", "a", "a_len", "b", "b_len").join(occurrences(cuts, entries), "sid").repartition(parts, "sid")
