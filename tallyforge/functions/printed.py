@@ -33,7 +33,8 @@ def plain_number(c: Column) -> Column:
 def single_amount(c: Column) -> Column:
     """F-36: the one number in a text as decimal(18,4); null if there is none or more than one."""
     found = F.regexp_extract_all(N.arabic(c), F.lit(COUNT), F.lit(0))
-    return F.when(F.size(found) == 1, plain_number(F.get(found, F.lit(0))))
+    several = let(found, lambda f: F.when(F.size(f) == 1, plain_number(F.get(f, F.lit(0)))))
+    return F.when(c.rlike(rf"^{COUNT}$"), F.replace(c, F.lit(",")).try_cast("decimal(18,4)")).otherwise(several)  # most are nothing but a number
 
 
 def closing_order(numbers: Column, cents: int = 1) -> Column:

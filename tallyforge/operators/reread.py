@@ -41,11 +41,11 @@ def raised(cells: Column, when: dict[str, tuple[Column, float]]) -> Column:
     """The map with the agreement of named cells set, and their confidence at least so much, where a condition holds and they have a text but no agreement."""
 
     def each(name: Column, c: Column) -> Column:
-        out = c
+        out = F
         for n, (cond, least) in when.items():
             sure = F.greatest(F.coalesce(c["confidence"], F.lit(0.0)), F.lit(least))
-            out = F.when((name == n) & cond & ~F.coalesce(c["agreement"], F.lit(False)) & (F.coalesce(c["raw"], F.lit("")) != ""), cell(c["raw"], sure)).otherwise(out)
-        return out
+            out = out.when((name == n) & cond, cell(c["raw"], sure))
+        return F.when(F.coalesce(c["agreement"], F.lit(False)) | (F.coalesce(c["raw"], F.lit("")) == ""), c).otherwise(out.otherwise(c))
 
     return F.transform_values(cells, each)
 
