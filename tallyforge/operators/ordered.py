@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -60,6 +62,36 @@ def capped(df: DataFrame, keys: list[str], order: list, cap: int) -> DataFrame:
     return df.withColumn("n_all", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(*order))).where(F.col("place") <= cap).withColumn("capped", F.col("n_all") >= cap)
 
 
+def dealt(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The rows, each key's in one partition and in order; rows that are dealt by the key already are only sorted."""
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))  # asks for the key's dealing where repartition() would always move the rows
+    return rows.withColumn("_place", place).sortWithinPartitions(*key, *order)
+
+
+def codes(column: pa.Array) -> np.ndarray:
+    """A number for each different value, nulls included."""
+    return pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted batches, in batches that hold all rows of each of their keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = codes(batch.column(key))
+        last = int(np.argmax(code == code[-1]))  # where the last key begins, which may go on in the next batch
+        if held and (last or held[-1].column(key)[0].as_py() != batch.column(key)[0].as_py()):
+            yield pa.concat_batches([*held, batch.slice(0, last)])  # of another key, or of the rest of this one
+            held, batch = [], batch.slice(last)
+        elif last:
+            yield batch.slice(0, last)
+            batch = batch.slice(last)
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def folded(rows: DataFrame, key: list[str], order: list[str], schema: str, fold: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
     """The rows that fold() gives for each key's rows in order, as a stream."""
     shape = to_arrow_schema(StructType.fromDDL(schema))

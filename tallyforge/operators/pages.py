@@ -11,10 +11,13 @@ import difflib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.ordered import folded
+from tallyforge.operators.ordered import codes, dealt, folded, whole
 
 #: Tiles of a page in each direction.
 TILES = 16
@@ -119,7 +122,24 @@ def shared_area(a: tuple, b: tuple) -> float:
 
 
 NUMBERS = ("qty", "unit_price", "amount")
+BOX = ("x", "y", "w", "h")
+TAKEN = (*NUMBERS, "uom", "description")
 ROW = "page long, row_no long, merged_into long, x double, y double, w double, h double, description string, uom string, qty string, unit_price string, amount string"
+#: Rows of a page that are held against one another without tiles.
+FEW = 16
+
+
+def _alike(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the rows that print a number which another row of their page prints, and codes of the rows' pages and of their printed numbers (-1: none), a row of NUMBERS each."""
+    page, boxed = codes(batch.column("page")), pc.is_valid(batch.column("w")).to_numpy(zero_copy_only=False)
+    alike, numbers = np.zeros(batch.num_rows, bool), np.full((len(NUMBERS), batch.num_rows), -1)
+    for i, n in enumerate(NUMBERS):
+        key = codes(batch.column(f"key_{n}"))
+        printed = np.flatnonzero(boxed & pc.fill_null(pc.not_equal(batch.column(n), ""), False).to_numpy(zero_copy_only=False))
+        numbers[i, printed] = key[printed]
+        _, at, times = np.unique(page[printed] * len(key) + key[printed], return_inverse=True, return_counts=True)
+        alike[printed] |= times[at] > 1
+    return np.flatnonzero(alike), page, numbers
 
 
 def merged_rows(rows: DataFrame, size: float = 0.05) -> DataFrame:
@@ -128,47 +148,69 @@ def merged_rows(rows: DataFrame, size: float = 0.05) -> DataFrame:
     rows: page, row_no, x, y, w, h (shares of the page; null: no box), description, uom, qty, unit_price, amount, and key_qty,
     key_unit_price, key_amount, by which readings are compared (functions.normalize.reading_key). A row repeats the first kept one
     that shares half of the smaller box with it and prints the same numbers where both print any. The kept row
-    takes over cells that it lacks and a longer description, and its box grows. Kept rows are looked up by tile.
+    takes over cells that it lacks and a longer description, and its box grows. A row none of whose numbers another row of
+    its page prints stays as it is, in its Arrow batch; only others are looked at one by one, on pages with many of them by tile.
     """
 
-    def fold(group: Iterator[dict]) -> Iterator[dict]:
-        kept: list[dict] = []
+    def fold(group: list[int], box: dict, printed: dict, cells: dict, taken: dict, into: np.ndarray) -> None:
+        """Merges a page's alike rows, in order; group: their places in the batch."""
+        kept: list[int] = []
         by_tile: dict[tuple[int, int], list[int]] = defaultdict(list)
+        places = (lambda b: tiles(b, size)) if len(group) > FEW else (lambda b: [(0, 0)])
 
-        def box(r: dict) -> tuple | None:
-            return None if r["w"] is None else (r["x"], r["y"], r["w"], r["h"])
-
-        def same_numbers(a: dict, b: dict) -> bool:
-            both = [(a[f"key_{n}"], b[f"key_{n}"]) for n in NUMBERS if a[n] and b[n]]
+        def same_numbers(a: tuple, b: tuple) -> bool:
+            both = [(p, q) for p, q in zip(a, b, strict=True) if p >= 0 and q >= 0]
             return bool(both) and all(p == q for p, q in both)
 
-        def put(i: int, old: set) -> None:
-            for t in tiles(box(kept[i]), size):
-                if t not in old:
-                    by_tile[t].append(i)
-
         for r in group:
-            mine = box(r)
-            near = sorted({i for t in tiles(mine, size) for i in by_tile[t]}) if mine else []
-            into = next((i for i in near if same_numbers(kept[i], r) and shared_area(box(kept[i]), mine) >= SHARED_AREA), None)
-            if into is None:
-                kept.append(dict(r))
-                if mine:
-                    put(len(kept) - 1, set())
-                continue
-            k = kept[into]
-            for n in (*NUMBERS, "uom", "description"):
-                if r[n] and (not k[n] or (n == "description" and len(r[n]) > len(k[n]))):
-                    k[n] = r[n]
-                    if n in NUMBERS:
-                        k[f"key_{n}"] = r[f"key_{n}"]
-            old, (x, y, w, h), (a, b, c, d) = set(tiles(box(k), size)), box(k), mine
-            k |= {"x": min(x, a), "y": min(y, b), "w": max(x + w, a + c) - min(x, a), "h": max(y + h, b + d) - min(y, b)}
-            put(into, old)
-            yield r | {"merged_into": k["row_no"]}
-        yield from kept
-
-    return folded(rows, ["page"], ["row_no"], ROW, fold)
+            mine = box[r]
+            near = sorted({i for t in places(mine) for i in by_tile[t]})
+            found = next((i for i in near if same_numbers(printed[kept[i]], printed[r]) and shared_area(box[kept[i]], mine) >= SHARED_AREA), None)
+            old: list[tuple[int, int]] = []
+            if found is None:
+                kept.append(r)
+                found = len(kept) - 1
+            else:
+                k = kept[found]
+                into[r] = k
+                for n in TAKEN:
+                    has, lacks = cells[n][r], not cells[n][k]
+                    if has and (lacks or (n == "description" and has > cells[n][k])):
+                        taken[n][k], cells[n][k] = r, has
+                printed[k] = tuple(q if p < 0 else p for p, q in zip(printed[k], printed[r], strict=True))
+                old, (x, y, w, h), (a, b, c, d) = places(box[k]), box[k], mine
+                box[k] = (min(x, a), min(y, b), max(x + w, a + c) - min(x, a), max(y + h, b + d) - min(y, b))
+            for t in set(places(box[kept[found]])).difference(old):
+                by_tile[t].append(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole(batches, "page"):
+            at, page, numbers = _alike(batch)
+            some = batch.take(pa.array(at))
+            box = dict(zip(at.tolist(), zip(*(some.column(c).to_pylist() for c in BOX), strict=True), strict=True))
+            printed = dict(zip(at.tolist(), zip(*numbers[:, at].tolist(), strict=True), strict=True))
+            # of a cell only its length counts, and where it is
+            cells = {n: dict(zip(at.tolist(), pc.fill_null(pc.utf8_length(some.column(n)), 0).to_pylist(), strict=True)) for n in TAKEN}
+            taken: dict[str, dict[int, int]] = {n: {} for n in TAKEN}
+            into = np.full(batch.num_rows, -1)
+            for group in np.split(at, np.flatnonzero(np.diff(page[at])) + 1):
+                fold(group.tolist(), box, printed, cells, taken, into)
+
+            def changed(column: pa.Array, cells: dict[int, int]) -> pa.Array:
+                source = np.arange(len(column))
+                source[list(cells)] = list(cells.values())
+                return column.take(pa.array(source)) if cells else column
+
+            out = {n: batch.column(n) for n in ("page", "row_no")} | {n: changed(batch.column(n), taken[n]) for n in TAKEN}
+            out["merged_into"] = batch.column("row_no").take(pa.array(into, mask=into < 0))
+            for i, c in enumerate(BOX):
+                values = batch.column(c).to_numpy(zero_copy_only=False).copy()
+                values[at] = [b[i] for b in box.values()]
+                out[c] = pa.array(values, mask=pc.is_null(batch.column(c)).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
+
+    names = [c.split()[0] for c in ROW.split(", ")]
+    return dealt(rows, ["page"], ["row_no"]).mapInArrow(run, ROW)
 
 
 COPY = "doc_id long, page long, copy_of long"
