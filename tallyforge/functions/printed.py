@@ -1,16 +1,17 @@
 """What is printed: item rows without columns, amounts in running text, labels, broken answers (F-32, F-35 .. F-39).
 
-All but F-39 are Column builders. Null gives null; a text that doesn't have the form gives null, never an error.
+All but F-35 and F-39, which read one text at a time, are Column builders. Null gives null; a text that doesn't have the form gives null, never an error.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import deque
 from itertools import permutations
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,47 +50,69 @@ def closing_order(numbers: Column, cents: int = 1) -> Column:
     return F.when((F.size(numbers) == 3) & (F.size(closing) == 1), F.get(closing, F.lit(0)))
 
 
-def row_cells(c: Column) -> Column:
-    """F-35: struct(description, qty, uom, unit_price, amount), as printed, of an item row that ends in them; else null.
+_CURRENCY, _SPACE = re.compile(CURRENCY_WORDS, re.A), re.compile(r"\s+", re.A)
+#: Most texts have neither currency words nor spaces to squeeze, which is found sooner.
+_MAY_BE_CURRENCY, _UNEVEN = re.compile("[Tt][Hh][Bb]|[Bb][Aa][Hh][Tt]"), re.compile(r"[\t-\r]|  ")
+_AMOUNT, _UNIT, _PLAIN = re.compile(AMOUNT, re.A), re.compile(UNIT, re.A), re.compile(r"\d+(?:\.\d+)?", re.A)
+_COUNT_END, _UNIT_END = re.compile(rf"{COUNT}\Z", re.A), re.compile(rf"{UNIT}\Z", re.A)
+_ARABIC = str.maketrans(N.THAI_DIGITS, "0123456789")
+ROW_CELLS = ("description", "qty", "uom", "unit_price", "amount")
 
-    The row ends in two or three amounts. Before them stand quantity and unit, or unit and quantity. Of three
-    amounts the last one is the row's; the price is the second if quantity times it gives the row's amount to the cent, else
-    the first if that does, else the second unless it is zero.
-    """
-    text = N.squeezed(N.arabic(F.regexp_replace(c, CURRENCY_WORDS, " ")))
-    return let(text, lambda t: let(F.split(t, " "), lambda words: _row_of(t, words)))
 
+def _ten_thousandths(number: str) -> int | None:
+    """A printed number as decimal(18,4) holds it, times 10,000; null if it is too large."""
+    whole, _, rest = number.replace(",", "").partition(".")
+    value = int(whole + rest[:4].ljust(4, "0")) + (rest[4:5] >= "5")
+    return value if value < 10**18 else None
 
-def _row_of(text: Column, words: Column) -> Column:
-    at = lambda back: F.try_element_at(words, F.lit(-back))
 
-    def ends(last: Column, n: int, unit_first: bool) -> Column:
-        """Of a row with n amounts at its end (last): struct(qty, uom, money, rest), or null."""
-        counted, unit = (at(n + 1), at(n + 2)) if unit_first else (at(n + 2), at(n + 1))
-        qty = F.regexp_extract(counted, r"^(\d+(?:\.\d+)?)$" if unit_first else rf"({COUNT})$", 1)
-        name = F.regexp_extract(unit, rf"({UNIT})$" if unit_first else rf"^({UNIT})$", 1)
+def row_of(text: str | None) -> tuple[str | None, str, str, str, str] | None:
+    """F-35 of one row: ROW_CELLS, or null."""
+    if text is None:
+        return None
+    if not text.isascii() or _MAY_BE_CURRENCY.search(text):
+        text = _CURRENCY.sub(" ", text).translate(_ARABIC)
+    text = (_SPACE.sub(" ", text) if _UNEVEN.search(text) else text).strip(" ")
+    words = text.split(" ")
+    amounts = 0
+    while amounts < min(3, len(words) - 2) and _AMOUNT.fullmatch(words[-1 - amounts]):
+        amounts += 1
+    for unit_first in (False, True):
+        for n in range(amounts, 1, -1):
+            before, after = words[-n - 2], words[-n - 1]
+            qty, unit = (_PLAIN.fullmatch(after), _UNIT_END.search(before)) if unit_first else (_COUNT_END.search(before), _UNIT.fullmatch(after))
+            if not qty or not unit:
+                continue
+            q, u, money = qty[0], unit[0], words[-n:]
+            behind = sum(map(len, money)) + n + 1 + len(u) + len(q)
+            return text[: len(text) - behind].strip(" ") or None, q, u, _price(q, money), money[-1]
+    return None
 
-        def cut(x: Column) -> Column:
-            behind = F.length(last) + 2 + F.length(x["uom"]) + F.length(x["qty"])
-            rest = F.trim(F.substring(text, F.lit(1), F.length(text) - behind))
-            return F.when((x["qty"] != "") & (x["uom"] != ""), F.struct(x["qty"].alias("qty"), x["uom"].alias("uom"), F.slice(words, -n, n).alias("money"), F.nullif(rest, F.lit("")).alias("rest")))
 
-        return let(F.struct(qty.alias("qty"), name.alias("uom")), cut)
+def _price(qty: str, money: list[str]) -> str:
+    if len(money) == 2:
+        return money[0]
+    q, first, second, amount = map(_ten_thousandths, (qty, *money))
+    closes = lambda v: None not in (q, v, amount) and abs(q * v - amount * 10_000) <= 1_000_000
+    return money[0] if not closes(second) and (closes(first) or second == 0) else money[1]
 
-    def closing(n: int, unit_first: bool) -> Column:
-        last = F.when(F.size(words) >= n + 2, F.array_join(F.slice(words, -n, n), " "))
-        return let(last, lambda x: F.when(x.rlike(rf"^{AMOUNT}(?: {AMOUNT}){{{n - 1}}}$"), ends(x, n, unit_first)))
 
-    def made(f: Column) -> Column:
-        q, money = plain_number(f["qty"]), f["money"]
-        value = lambda i: plain_number(F.get(money, F.lit(i)))
-        closes = lambda i: F.abs(q * value(i) - value(2)) <= F.lit("0.01").cast("decimal(4,2)")
-        three = F.when(closes(1), F.get(money, F.lit(1))).when(closes(0) | (value(1) == 0), F.get(money, F.lit(0))).otherwise(F.get(money, F.lit(1)))
-        price = F.when(F.size(money) == 3, three).otherwise(F.get(money, F.lit(0)))
-        return F.struct(f["rest"].alias("description"), f["qty"].alias("qty"), f["uom"].alias("uom"), price.alias("unit_price"), F.element_at(money, -1).alias("amount"))
+def row_cells(c: Column) -> Column:
+    """F-35: struct(description, qty, uom, unit_price, amount), as printed, of an item row that ends in them; else null.
 
-    found = F.coalesce(closing(3, False), closing(2, False), closing(3, True), closing(2, True))
-    return let(found, lambda f: F.when(f.isNotNull(), made(f)))
+    The row ends in two or three amounts. Before them stand quantity and unit, or unit and quantity. Of three
+    amounts the last one is the row's; the price is the second if quantity times it gives the row's amount to the cent, else
+    the first if that does, else the second unless it is zero.
+    """
+    kind = pa.struct([(n, pa.string()) for n in ROW_CELLS])
+
+    @F.arrow_udf(", ".join(f"{n} string" for n in ROW_CELLS))
+    def run(texts: pa.Array) -> pa.Array:
+        found = [row_of(t) for t in texts.to_pylist()]
+        columns = zip(*(r or (None,) * len(ROW_CELLS) for r in found), strict=True) if found else ([],) * len(ROW_CELLS)
+        return pa.StructArray.from_arrays([pa.array(v, pa.string()) for v in columns], fields=list(kind), mask=pa.array([r is None for r in found], pa.bool_()))
+
+    return run.asNondeterministic()(c)  # so that a filter on the result doesn't read each row a second time
 
 
 def without_label(c: Column) -> Column:
@@ -120,20 +143,20 @@ def money_string(c: Column) -> Column:
 
 _ASIDE = re.compile(r"<(think|thinking|reasoning)>.*?</\1>", re.S | re.I)
 _FENCES = re.compile(r"^\s*```(?:json)?\s*|\s*```\s*$", re.I)
-_CLOSER = {ord("{"): b"}", ord("["): b"]"}
-
-
-def _structure(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of JSON in bytes: which of them stand outside strings (quotes included), and the depth of brackets after each."""
-    slash = raw == ord("\\")
-    at = np.arange(len(raw))
-    other = np.maximum.accumulate(np.where(slash, -1, at)) if len(raw) else at
-    run = np.concatenate([[0], (at - other)[:-1]])  # backslashes right before
-    quote = (raw == ord('"')) & (run % 2 == 0)
-    within = np.concatenate([[0], np.cumsum(quote)[:-1]]) % 2 == 1
-    outside = ~within
-    step = np.isin(raw, (ord("{"), ord("["))).astype(np.int64) - np.isin(raw, (ord("}"), ord("]")))
-    return outside, np.cumsum(step * outside)
+_CLOSER = {"{": "}", "[": "]"}
+#: What counts of JSON: strings (also one without an end), which hide what is in them, and brackets and commas outside.
+_TOKENS = re.compile(r'"(?:[^"\\]++|\\.)*+(?:"|\\?\Z)|\\[\\"]|[{}\[\],]', re.S)
+_COMMA = re.compile(r",\s*([}\]])", re.A)
+_DECODER = json.JSONDecoder()
+
+
+def _parsed(piece: str) -> str | None:
+    for tried in (piece, _COMMA.sub(r"\1", piece)):  # with a comma before a closing bracket only if it isn't JSON as it is
+        try:
+            return json.dumps(json.loads(tried), ensure_ascii=False)
+        except ValueError:
+            continue
+    return None
 
 
 def recovered(text: str | None, members: bool = False) -> str | None:
@@ -141,35 +164,34 @@ def recovered(text: str | None, members: bool = False) -> str | None:
 
     What is complete ends with an object; with `members`, at the last complete member of any kind.
     """
-    bare = _FENCES.sub("", _ASIDE.sub("", text or "")).strip()
+    bare = _ASIDE.sub("", text or "") if "<" in (text or "") else text or ""
+    bare = (_FENCES.sub("", bare) if "```" in bare else bare).strip()
     start = bare.find("{")
     if start < 0:
         return None
-    raw = np.frombuffer(bare[start:].encode(), np.uint8)
-    outside, depth = _structure(raw)
-
-    def parsed(piece: bytes) -> str | None:
-        for tried in (piece, re.sub(rb",\s*([}\]])", rb"\1", piece)):  # with a comma before a closing bracket only if it isn't JSON as it is
-            try:
-                return json.dumps(json.loads(tried), ensure_ascii=False)
-            except ValueError:
-                continue
-        return None
-
-    done = np.flatnonzero(outside & (depth == 0) & (raw == ord("}")))
-    if len(done):
-        return parsed(raw[: done[0] + 1].tobytes())
-    cuts = outside & ((raw == ord("}")) | (members & np.isin(raw, (ord("]"), ord(",")))))
-    opens = np.flatnonzero(outside & np.isin(raw, (ord("{"), ord("["))))
-    for cut in np.flatnonzero(cuts)[::-1][:MOST_CUTS]:
-        before = opens[opens <= cut]
-        level = depth[cut]
-        # the bracket still open at each depth is the last one that opened there
-        still = [before[depth[before] == d][-1] for d in range(level, 0, -1)]
-        end = cut if raw[cut] == ord(",") else cut + 1
-        found = parsed(raw[:end].tobytes() + b"".join(_CLOSER[int(raw[i])] for i in still))
-        if found is not None:
-            return found
+    try:  # most objects that are whole are JSON as they are
+        return json.dumps(_DECODER.raw_decode(bare, start)[0], ensure_ascii=False)
+    except ValueError:
+        pass
+    depth, last = 0, {}  # last: the bracket that opened last at each depth; one still open there is it
+    cuts: deque[tuple[int, str]] = deque(maxlen=MOST_CUTS)
+    for found in _TOKENS.finditer(bare, start):
+        token = found[0]
+        if token in _CLOSER:
+            depth += 1
+            last[depth] = token
+            continue
+        if token in ("}", "]"):
+            depth -= 1
+            if token == "}" and depth == 0:
+                return _parsed(bare[start : found.end()])
+        if token == "}" or (members and token in ("]", ",")):
+            end = found.start() if token == "," else found.end()
+            cuts.append((end, "".join(_CLOSER[last[d]] for d in range(depth, 0, -1))))
+    for end, closing in reversed(cuts):
+        piece = _parsed(bare[start:end] + closing)
+        if piece is not None:
+            return piece
     return None
 
 

@@ -2,8 +2,10 @@
 
 import pyarrow as pa
 
+from tallyforge.functions import printed
 from tallyforge.operators.ordered import whole
 from tallyforge.plans import catalogue, pages  # noqa: F401  (pages adds to the catalogue)
+from tallyforge.streaming.store import Requests
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -22,3 +24,35 @@ def test_whole_batches_hold_all_rows_of_a_key():
         cut = [pa.record_batch({"k": pa.array(keys[i : i + n], pa.int64())}) for i in range(0, len(keys), n)]
         got = [b.column("k").to_pylist() for b in whole(iter(cut), "k")]
         assert [k for b in got for k in b] == keys and all(set(a).isdisjoint(b) for a, b in zip(got, got[1:], strict=False))
+
+
+def test_rows_are_read_as_plain_texts():
+    assert printed.row_of("Bolt 3 KG 1.00 5.00 15.00 THB") == ("Bolt", "3", "KG", "5.00", "15.00")
+    assert printed.row_of("Bolt  12KG 3 5.00 15.00") == ("Bolt 12", "3", "KG", "5.00", "15.00") and printed.row_of("Bolt 5.00 15.00") is None
+
+
+def test_a_whole_answer_is_parsed_once(monkeypatch):
+    monkeypatch.setattr(printed, "_TOKENS", None)  # which only answers that are cut off need
+    assert printed.recovered('```json\n{"a": "}{"} {"b": 1}\n```') == '{"a": "}{"}'
+
+
+def test_a_new_document_asks_the_state_for_no_request():
+    class State(dict):
+        asked = 0
+
+        def containsKey(self, key):  # noqa: N802
+            self.asked += 1
+            return key in self
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+
+    state = State()
+    seen = Requests(state)
+    for known in (False, True):
+        seen.begin(known)
+        assert ("a" in seen) == known
+        seen.add("a")
+        assert "a" in seen and "b" not in seen
+        seen.end()
+        assert state == {("a",): (True,)} and state.asked == 2 * known
