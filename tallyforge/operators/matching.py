@@ -6,6 +6,7 @@ is paired takes its receipt line away from later ones) folds over one document's
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 
 from tallyforge import config
 from tallyforge.functions import normalize as N
+from tallyforge.operators import ordered
 
 PAIR_SCHEMA = "doc_id long, line_no long, rcv_line long, lot long, step int"
 PAIR_NAMES = ["doc_id", "line_no", "rcv_line", "lot", "step"]
 PAIR_TYPES = [pa.int64()] * 4 + [pa.int32()]
+LADDER_NAMES = ["doc_id", "side", "no", "lot", "text", "qty", "price_c", "amount_c", "total_c", "number"]
 
 
 def price_pairs(lines: DataFrame, active: DataFrame) -> DataFrame:
@@ -105,66 +108,89 @@ def unmatched_receipts(active: DataFrame, pairs: DataFrame) -> DataFrame:
     return active.join(pairs, ["doc_id", "rcv_line", "lot"], "left_anti").select("doc_id", "rcv_line", "lot")
 
 
-def signs(item_no: Column, item_text: Column) -> Column:
-    """J-19: what a description may hold of a receipt line, and what each is worth: its item number 20, each longer word of its text 2."""
-    number = F.filter(F.array(F.upper(F.trim(item_no))), lambda n: n.isNotNull() & (n != ""))
-    worth = lambda names, points: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(points).alias("worth")))
-    return F.concat(worth(number, 20), worth(N.long_words(F.upper(item_text)), 2))
-
-
 def ladder(lines: DataFrame, active: DataFrame) -> DataFrame:
     """J-18: eight steps from strict to loose; in each, lines in order take the best free receipt line.
 
     lines: doc_id, line_no, description, qty, price_c, amount_c, sub_total_c; active: doc_id, rcv_line,
     lot, item_no, item_text, rcv_qty, rcv_price_c, rcv_amount_c. A step is a test of a pair and a
     score; of equal scores the first receipt line in order wins. Lines that find none free share the
-    first one.
+    first one. J-19: a description that holds a receipt line's item number scores 20, each longer word of its text 2.
     """
-
-    def fold(bills: list[dict], receipts: list[dict]) -> list[tuple]:
-        whole = bool(bills) and bills[0]["sub_total_c"] is not None and bills[0]["sub_total_c"] > 0 and abs(bills[0]["sub_total_c"] - sum(r["rcv_amount_c"] for r in receipts)) <= 100
-        scores: dict[tuple, int] = {}  # of pairs that a step has asked for
-
-        def score(b: dict, r: dict) -> int:
-            pair = b["line_no"], r["rcv_line"], r["lot"]
-            if pair not in scores:
-                scores[pair] = sum(sign["worth"] for sign in r["signs"] if sign["name"] in b["text"])
-            return scores[pair]
-
-        price, qty = (lambda b, r: b["price_c"] == r["rcv_price_c"]), (lambda b, r: b["qty"] == r["rcv_qty"])
-
-        def near(b: dict, r: dict) -> bool:
-            d = abs(b["price_c"] - r["rcv_price_c"])
-            return r["rcv_price_c"] > 0 and d * 100 <= r["rcv_price_c"] and d <= config.PRICE_LIMIT_C
-
-        steps = (
-            (lambda b, r: price(b, r) and qty(b, r), score),
-            (lambda b, r: near(b, r) and qty(b, r), score),
-            (lambda b, r: whole and abs((b["amount_c"] if b["amount_c"] > 0 else b["price_c"] * b["qty"]) - r["rcv_amount_c"]) <= 100, score),
-            (lambda b, r: any(sign["worth"] == 20 and sign["name"] in b["text"] for sign in r["signs"]), lambda b, r: -abs(b["price_c"] - r["rcv_price_c"])),
-            (price, score),
-            (lambda b, r: score(b, r) > 0, score),
-            (lambda b, r: r["rcv_line"] == b["line_no"], lambda b, r: 0),
-            (lambda b, r: True, lambda b, r: 0),
+    NO, LOT, TEXT, QTY, PRICE, AMOUNT, TOTAL, NUMBER = range(8)  # a row's places; of a receipt line, text holds the longer words
+
+    def fold(bills: list[tuple], receipts: list[tuple]) -> Iterator[tuple]:
+        scores: dict[tuple[int, int], int] = {}  # of pairs that a step has asked for
+
+        def score(n: int, i: int) -> int:
+            if (n, i) not in scores:
+                text, r = bills[n][TEXT], receipts[i]
+                scores[n, i] = (20 if r[NUMBER] and r[NUMBER] in text else 0) + 2 * sum(word in text for word in r[TEXT].split())
+            return scores[n, i]
+
+        def equal_all(b: tuple) -> list[int]:
+            return [i for i in free if receipts[i][PRICE] == b[PRICE] and receipts[i][QTY] == b[QTY]]
+
+        def near_price(b: tuple) -> list[int]:
+            def near(p: int) -> bool:
+                return p > 0 and abs(b[PRICE] - p) * 100 <= p and abs(b[PRICE] - p) <= config.PRICE_LIMIT_C
+
+            return [i for i in free if receipts[i][QTY] == b[QTY] and near(receipts[i][PRICE])]
+
+        def equal_amount(b: tuple) -> list[int]:
+            total = bills[0][TOTAL]
+            if total is None or total <= 0 or abs(total - received) > 100:
+                return []
+            mine = b[AMOUNT] if b[AMOUNT] > 0 else b[PRICE] * b[QTY]
+            return [i for i in free if abs(mine - receipts[i][AMOUNT]) <= 100]
+
+        steps: tuple[tuple[Callable, Callable], ...] = (
+            (lambda n, b: equal_all(b), score),
+            (lambda n, b: near_price(b), score),
+            (lambda n, b: equal_amount(b), score),
+            (lambda n, b: [i for i in free if receipts[i][NUMBER] and receipts[i][NUMBER] in b[TEXT]], lambda n, i: -abs(bills[n][PRICE] - receipts[i][PRICE])),
+            (lambda n, b: [i for i in free if receipts[i][PRICE] == b[PRICE]], score),
+            (lambda n, b: [i for i in free if score(n, i) > 0], score),
+            (lambda n, b: [i for i in free if receipts[i][NO] == b[NO]], lambda n, i: 0),
+            (lambda n, b: free, lambda n, i: 0),
         )
-        free, out, open_lines = list(range(len(receipts))), [], bills
-        for number, (test, worth) in enumerate(steps, 1):
+        free, open_lines, received = list(range(len(receipts))), list(range(len(bills))), None
+        for number, (fitting, worth) in enumerate(steps, 1):
+            if not open_lines:
+                return
+            if number == 3:
+                received = sum(r[AMOUNT] for r in receipts)
             rest = []
-            for b in open_lines:
-                fits = [i for i in free if test(b, receipts[i])]
+            for n in open_lines:
+                b = bills[n]
+                fits = fitting(n, b)
                 if fits:
-                    best = max(fits, key=lambda i, b=b, worth=worth: (worth(b, receipts[i]), -i))
+                    best = fits[0] if len(fits) == 1 else max(fits, key=lambda i, n=n, worth=worth: (worth(n, i), -i))
                     free.remove(best)
-                    out.append((b["line_no"], receipts[best]["rcv_line"], receipts[best]["lot"], number))
+                    yield b[NO], receipts[best][NO], receipts[best][LOT], number
                 elif number == len(steps) and receipts:
-                    out.append((b["line_no"], receipts[0]["rcv_line"], receipts[0]["lot"], number))
+                    yield b[NO], receipts[0][NO], receipts[0][LOT], number
                 else:
-                    rest.append(b)
+                    rest.append(n)
             open_lines = rest
-        return out
 
-    prepared = lines.withColumn("text", F.upper(F.coalesce("description", F.lit(""))))
-    return folded(prepared, active.withColumn("signs", signs(F.col("item_no"), F.col("item_text"))), fold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in ordered.whole(batches, "doc_id"):
+            docs, sides, *cells = (ordered.values(batch.column(c)) for c in LADDER_NAMES)
+            rows, out, at = list(zip(*cells, strict=True)), [], 0
+            for doc, n in Counter(docs).items():  # rows are in order
+                split = bisect(sides, 0, at, at + n)
+                out += [(doc, *pair) for pair in fold(rows[at:split], rows[split : at + n])]
+                at += n
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PAIR_TYPES, strict=True)], names=PAIR_NAMES)
+
+    none = F.lit("")
+    words = F.array_join(N.long_words(F.upper("item_text")), " ")
+    bill = [F.lit(0), F.col("line_no"), F.lit(0).cast("long"), F.upper(F.coalesce("description", none)), F.col("qty"), F.col("price_c"), F.col("amount_c"), F.col("sub_total_c"), none]
+    receipt = [F.lit(1), F.col("rcv_line"), F.col("lot"), words, F.col("rcv_qty"), F.col("rcv_price_c"), F.col("rcv_amount_c"), F.lit(0).cast("long"), F.coalesce(F.upper(F.trim("item_no")), none)]
+    cells = lambda df, columns: df.select("doc_id", *(c.alias(n) for c, n in zip(columns, LADDER_NAMES[1:], strict=True)))
+    both = cells(lines, bill).unionByName(cells(active, receipt))
+    return both.repartition("doc_id").sortWithinPartitions("doc_id", "side", "no", "lot").mapInArrow(run, PAIR_SCHEMA)
 
 
 def proposals(lines: DataFrame, receipts: DataFrame, least: float = 0.34) -> DataFrame:

@@ -73,6 +73,11 @@ def codes(column: pa.Array) -> np.ndarray:
     return pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def values(column: pa.Array) -> list:
+    """The values of a column as Python's, by numpy where none is null."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     """The rows of sorted batches, in batches that hold all rows of each of their keys."""
     held: list[pa.RecordBatch] = []

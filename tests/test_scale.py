@@ -18,6 +18,11 @@ def test_read_rows_are_dealt_by_page_once(spark):
     assert exchanges(catalogue.QUERIES["merged_page_rows"](spark, SMOKE)) == 1
 
 
+def test_the_ladder_reads_no_customers(spark):
+    read = [f.rsplit("/", 1)[-1] for f in catalogue.QUERIES["match_ladder_8pass"](spark, SMOKE).inputFiles()]
+    assert sorted(set(read)) == ["lineitem.parquet", "orders.parquet", "part.parquet"]
+
+
 def test_whole_batches_hold_all_rows_of_a_key():
     keys = [None, None, 1, 1, 1, 2, 3, 3, 3, 3, 3, 4]
     for n in range(1, len(keys) + 1):
