@@ -18,6 +18,13 @@ def test_read_rows_are_dealt_by_page_once(spark):
     assert exchanges(catalogue.QUERIES["merged_page_rows"](spark, SMOKE)) == 1
 
 
+def test_outcomes_sum_lines_once_and_are_not_made_again_by_filters(spark):
+    for name in ("rule_results", "rule_fill_not_evaluated", "status_drift", "pick_candidate", "code_frequency", "decision_shares", "kpi_counts", "decision_v62"):
+        plan = catalogue.QUERIES[name](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert sum("Relation" in x and "l_orderkey#" in x for x in plan) == 2, name  # bill lines and receipt lines
+        assert not any("Filter" in x and "V-02" in x for x in plan), name
+
+
 def test_the_ladder_reads_no_customers(spark):
     read = [f.rsplit("/", 1)[-1] for f in catalogue.QUERIES["match_ladder_8pass"](spark, SMOKE).inputFiles()]
     assert sorted(set(read)) == ["lineitem.parquet", "orders.parquet", "part.parquet"]
