@@ -18,7 +18,6 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,19 +158,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def batch_scores(model: Model, texts: pa.Array) -> pa.Array:
+    """The scores of a batch's texts, of which only a slice at a time is copied out of Arrow's memory."""
+    parts = common.slices(iter([pa.record_batch({"text": texts})]), "text")
+    return pa.array(np.concatenate([np.zeros(0), *(model.scores(common.byte_texts(p.column("text"))) for p in parts)]))
+
+
 def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        found, start, total = [], 0, 0
-        every = [b"" if t is None else t.encode() for t in texts]
-        for i, t in enumerate([*every, None]):
-            if t is None or (total + len(t) > common.SLICE_BYTES and i > start):
-                found.append(held.value.scores(every[start:i]))
-                start, total = i, 0
-            total += len(t or b"")
-        return pd.Series(np.concatenate(found))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return batch_scores(held.value, texts)
 
     return docs.where(scored("text") >= threshold)

@@ -1,10 +1,12 @@
 """Each operator against a plain version, an exact round trip or held-out accuracy, and over odd tables."""
 
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -358,6 +360,20 @@ def test_pipeline_keeps_one_of_each_and_packs_all(spark):
     assert {r.doc_id for r in packed} == {d for d, _ in rows}
 
 
+def test_scoring_a_batch_copies_a_slice_at_a_time():
+    class Plain(quality.Model):
+        def scores(self, texts):
+            return np.array([float(len(t)) for t in texts])
+
+    texts = pa.array(["x" * 1000] * 20_000 + [None, "", "y" * 3_000_000])  # 23 MB
+    tracemalloc.start()
+    got = quality.batch_scores(Plain(np.zeros(0), 0.0), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [1000.0] * 20_000 + [0.0, 0.0, 3_000_000.0] and peak < 12_000_000
+    assert quality.batch_scores(Plain(np.zeros(0), 0.0), pa.array([], pa.string())).to_pylist() == []
+
+
 def test_near_stage_links_all_of_similarity_four_fifths(spark, odd, docs, monkeypatch):
     rng = np.random.default_rng(11)
     some = [(r.doc_id, r.text) for r in docs.limit(60).collect()]
