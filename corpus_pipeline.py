@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import common, exact_dedup, mixing, packing, quality, resemblance
+from tallyforge.llm import common, exact_dedup, mixing, packing, quality, resemblance, simhash
 
 #: Near duplicates: shingles of five words, of similarity 0.8 (resemblance.NUMBER / OF) or more.
 NEAR_WORDS = 5
@@ -40,8 +40,13 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that of smallest doc_id, or, where none has an id, that of least mark."""
-    rows = resemblance.classes(docs, NEAR_WORDS)
+    """One document of each class of near duplicates: that of smallest doc_id, or, where none has an id, that of least mark.
+
+    SimHash (operator 9) proposes a link of each text to the least one of its class, an exact check follows; then
+    prefixes find what SimHash misses, among texts that are in different classes still."""
+    with common.freed_shuffles(spark):
+        found = simhash.near_duplicates(resemblance.marked(docs), id_col="mark")
+        rows = resemblance.classes(docs, NEAR_WORDS, found.select(F.col("doc_id").alias("mark"), F.col("component_id").alias("other")))
     stay = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("mark").alias("of"))).alias("least")).select("least.id", "least.of")
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["id"]) & (resemblance.mark(docs["text"]) == stay["of"]), "left_semi")
 

@@ -3,15 +3,16 @@
 Two sets of similarity s share s times the larger one's members, so under any one order of all
 shingles their first n - ceil(s * n) + 1 members have one in common (prefix filtering): every pair
 that counts meets in a bucket of such a prefix member, and each pair that meets is verified by the
-sets themselves. The order is by hash, but shingles that are frequent in a sample come last, which
-keeps boilerplate out of prefixes; the sample changes the work only, never the result. Pairs are held
-first by sketches, the parities of how many members fall on each of 64 * WORDS bits: bits that differ are at
+sets themselves. The order is by hash, but shingles of crowded buckets come late, those that are frequent
+in a sample last, which keeps boilerplate out of prefixes: a first pass over all texts counts the buckets, so
+their size doesn't grow with the table as long as texts have rarer shingles. The order changes the work only,
+never the result. Pairs are held first by sketches, the parities of how many members fall on each of 64 * WORDS bits: bits that differ are at
 most as many as members that differ, so no similar pair is lost, and few sets of other pairs are moved.
 
-Buckets of at most SMALL sets pair all of them. In a larger one each set is held against a hub, then
-those still in another class against other hubs; what is in one class by then needs no pairs, and
-sets of a large bucket that stay in different classes after ROUNDS are paired all with all. So the
-classes are those of all pairs. Words and equal sets are known by 64-bit hashes.
+Guessed pairs (of SimHash, say) are verified before all others; what is in one class needs no pairs. Buckets
+of at most SMALL sets pair all others. In a larger one each set is held against a hub, then those still in
+another class against other hubs, and sets of a large bucket that stay in different classes after ROUNDS are
+paired all with all, as far as their sketches allow. So the classes are those of all pairs. Words and equal sets are known by 64-bit hashes.
 
 Texts without words form one class; texts of fewer words than a shingle's are one shingle; an empty
 table gives an empty result.
@@ -31,7 +32,7 @@ from tallyforge.llm import common, search
 
 NUMBER, OF = 4, 5
 SMALL = 8
-ROUNDS = 4
+ROUNDS = 2
 #: Bits of a set's sketch, as 64-bit words.
 WORDS = 16
 #: Texts of the sample, how many of them must hold a frequent shingle, and frequent shingles at most.
@@ -127,16 +128,19 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(found.view(U))
 
 
-def prefixes(docs: DataFrame, words: int, late: np.ndarray, screen: np.ndarray | None = None) -> DataFrame:
-    """key, shape, n (size of the set), at (place in its order) of each prefix member of each row's set, or of those that a screen of keys lets pass; members in `late` come last."""
-    shared = docs.sparkSession.sparkContext.broadcast((late, screen))
+def prefixes(docs: DataFrame, words: int, late: np.ndarray, crowded: np.ndarray | None = None, screen: np.ndarray | None = None) -> DataFrame:
+    """key, shape, n (size of the set), at (place in its order) of each prefix member of each row's set, or of those that a screen of keys lets pass; members in `late` come last, those in the bitmap `crowded` before them."""
+    shared = docs.sparkSession.sparkContext.broadcast((late, crowded, screen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, some = shared.value
+        last, full, some = shared.value
         for batch in common.slices(batches, "text"):
             of, s, ends, shape = _sets(batch, words)
             at = np.minimum(np.searchsorted(last, s), max(len(last) - 1, 0))
-            order = np.lexsort((s, last[at] == s if len(last) else np.zeros(len(s), bool), of))
+            turn = (last[at] == s if len(last) else np.zeros(len(s), bool)) * 2
+            if full is not None:
+                turn = np.maximum(turn, common.bit(full, s))
+            order = np.lexsort((s, turn, of))
             n = np.diff(ends)[of]
             place = np.arange(len(s)) - ends[of]
             keep = place <= n - -(-NUMBER * n // OF)
@@ -147,23 +151,47 @@ def prefixes(docs: DataFrame, words: int, late: np.ndarray, screen: np.ndarray |
     return marked(docs).mapInArrow(run, "key long, shape long, n int, at int")
 
 
+def buckets(members: DataFrame) -> DataFrame:
+    """key, size of the buckets that hold different sets."""
+    return members.groupBy("key").agg(F.min("shape").alias("lo"), F.max("shape").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+
+
+def merged(members: DataFrame) -> DataFrame:
+    """key, shape, n, at, size: buckets of the same sets made one, whose place for a set is the first of its places, so that no pair fails there which fits in one of them.
+
+    Copies share hundreds of members, and would meet as often. A key is a hash of the sets; equal hashes of others add pairs, none is lost."""
+    same = members.groupBy("key").agg(F.xxhash64(F.bit_xor(F.xxhash64("shape")), F.count("*")).alias("same"), F.count("*").alias("size"))
+    return members.join(same, "key").groupBy(F.col("same").alias("key"), "size", "shape").agg(F.min("n").alias("n"), F.min("at").alias("at"))
+
+
+def screen(rows: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of a column's hashes, as wide as their number asks."""
+    return common.bitmap(rows, column, common.width(rows.count()))
+
+
+def close(a: str, b: str, both: Column) -> Column:
+    """Whether the sketches a and b, of sets that have `both` members together, allow the similarity."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return differ * (OF + NUMBER) <= both * (OF - NUMBER)
+
+
 def pairs(left: DataFrame, right: DataFrame, *also: str) -> DataFrame:
-    """u, v: the shapes of left (l) and right (r) that meet in a bucket and whose sizes, and places of the bucket's member, allow the similarity.
+    """u, v: the shapes of left (l) and right (r) that meet in a bucket and whose sizes, places of the bucket's member and, if both have them, sketches allow the similarity.
 
     From the first member that two sets share, the rest of each bounds what they share: a similar pair passes there."""
     a, b = left.alias("l"), right.alias("r")
     fits = (F.col("l.n") * OF >= F.col("r.n") * NUMBER) & (F.col("r.n") * OF >= F.col("l.n") * NUMBER)
     fits &= F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) * (OF + NUMBER) >= (F.col("l.n") + F.col("r.n")) * NUMBER
-    met = a.join(b, (F.col("l.key") == F.col("r.key")) & (F.col("l.shape") != F.col("r.shape")) & fits & F.expr(" AND ".join(also) or "true"))
+    if "sketch" in left.columns and "sketch" in right.columns:
+        fits &= close("l.sketch", "r.sketch", F.col("l.n") + F.col("r.n"))
+    met = a.join(b, (F.col("l.key") == F.col("r.key")) & (F.col("l.shape") != F.col("r.shape")) & F.expr(" AND ".join(also) or "true") & fits)
     return met.select(F.greatest("l.shape", "r.shape").alias("u"), F.least("l.shape", "r.shape").alias("v")).distinct()
 
 
 def likely(met: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sketches (held: shape, shingles, sketch) allow the similarity."""
     side = lambda own, n, name: held.select(F.col("shape").alias(own), F.size("shingles").alias(n), F.col("sketch").alias(name))
-    differ = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    fits = differ * (OF + NUMBER) <= (F.col("m") + F.col("n")) * (OF - NUMBER)
-    return met.join(side("u", "m", "a"), "u").join(side("v", "n", "b"), "v").where(fits).select("u", "v").distinct()
+    return met.join(side("u", "m", "a"), "u").join(side("v", "n", "b"), "v").where(close("a", "b", F.col("m") + F.col("n"))).select("u", "v").distinct()
 
 
 def similar(met: DataFrame, held: DataFrame) -> DataFrame:
@@ -175,39 +203,54 @@ def similar(met: DataFrame, held: DataFrame) -> DataFrame:
     return met.join(a, "u").join(b, "v").where(both * (OF + NUMBER) >= (F.size("a") + F.size("b")) * NUMBER).select("u", "v").distinct()
 
 
-def links(docs: DataFrame, words: int, known: DataFrame | None = None) -> DataFrame:
-    """u, v: pairs of similar shapes, whose classes are those of all similar pairs; known: shapes(docs, words)."""
+def links(docs: DataFrame, words: int, known: DataFrame | None = None, guessed: DataFrame | None = None) -> DataFrame:
+    """u, v: pairs of similar shapes, whose classes are those of all similar pairs; known: shapes(docs, words); guessed: u, v, pairs of shapes that may be similar."""
     known = shapes(docs, words) if known is None else known
     late = frequent(docs, words)
-    shared = prefixes(docs, words, late).groupBy("key").agg(F.min("shape").alias("lo"), F.max("shape").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    several = common.stored(shared.select("key", "size"))
+    crowded = screen(common.stored(buckets(prefixes(docs, words, late)).where(F.col("size") > SMALL)), "key")
+    several = common.stored(buckets(prefixes(docs, words, late, crowded)))
     # most members stand alone: what the bitmaps leave out is neither stored nor moved again
-    rows = prefixes(docs, words, late, common.bitmap(several, "key", common.width(several.count()))).distinct()
-    met = common.stored(rows.join(several, "key"))
+    rows = prefixes(docs, words, late, crowded, screen(several, "key")).distinct()
+    met = common.stored(merged(rows.join(several.select("key"), "key")))
     one = known.groupBy("shape").agg(F.min("mark").alias("mark")).join(met.select("shape").distinct(), "shape", "left_semi")  # a text for each shape
     held = common.stored(sets(docs, words, common.bitmap(one, "mark", common.width(known.count()))).select("shape", "shingles", "sketch"))
-    small, large = met.where(F.col("size") <= SMALL), met.where(F.col("size") > SMALL).select("key", "shape", "n", "at")
-    large = common.stored(large.withColumn("class", F.col("shape")))
-    found = common.stored(similar(pairs(small, small, "l.shape > r.shape"), held))
-    tried = None
+    found = None if guessed is None else common.stored(similar(guessed, held))  # a similar pair meets in a bucket, so both are held
+    left, tried = met, None
     for turn in range(ROUNDS + 1):
-        classes = common.components(found).select(F.col("node").alias("shape"), "component")
-        large = large.join(classes, "shape", "left").select("key", "shape", "n", "at", F.coalesce("component", "shape").alias("class"))
-        split = large.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct(F.xxhash64("shape", F.lit(turn)), "shape", "n", "at", "class")).alias("hub")).where("lo < hi")
-        split = common.stored(split.select("key", "hub.shape", "hub.n", "hub.at", "hub.class"))
-        large = common.stored(large.join(split.select("key"), "key", "left_semi"))
+        if found is not None:
+            classes = common.components(found).select(F.col("node").alias("shape"), "component")
+            left = left.drop("class").join(classes, "shape", "left").withColumn("class", F.coalesce("component", "shape")).drop("component")
+        else:
+            left = left.withColumn("class", F.col("shape"))
+        left = left.where((F.col("size") > SMALL) | F.lit(turn == 0))
+        split = left.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct(F.xxhash64("shape", F.lit(turn)), "shape", "n", "at", "class", "size")).alias("hub")).where("lo < hi")
+        split = common.stored(split.select("key", "hub.shape", "hub.n", "hub.at", "hub.class", "hub.size"))
         if split.isEmpty():
             break
-        new = pairs(large, split if turn < ROUNDS else large, "l.class <> r.class", *(() if turn < ROUNDS else ("l.shape > r.shape",)))
+        left = common.stored(left.join(split.select("key"), "key", "left_semi"))
+        small, large = left.where(F.col("size") <= SMALL), left.where(F.col("size") > SMALL)
+        if turn < ROUNDS:
+            new = pairs(large, split.where(F.col("size") > SMALL), "l.class <> r.class")
+        else:  # sketches go to the buckets, so that the pairs of dissimilar sets, whose number grows with the square of a bucket, are never made
+            large = common.stored(large.join(held.select("shape", "sketch").dropDuplicates(["shape"]), "shape"))
+            new = pairs(large, large, "l.class <> r.class", "l.shape > r.shape")
+        if turn == 0:
+            new = new.unionByName(pairs(small, small, "l.class <> r.class", "l.shape > r.shape")).distinct()
         new = common.stored(new if tried is None else new.join(tried, ["u", "v"], "left_anti"))
         tried = new if tried is None else tried.unionByName(new)
-        found = common.stored(found.unionByName(similar(new, held)))
-    return found
+        more = similar(new, held)
+        found = common.stored(more if found is None else found.unionByName(more))
+    return met.selectExpr("shape AS u", "shape AS v").where("false") if found is None else found
 
 
-def classes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, mark, class of each row of docs (doc_id, text)."""
+def classes(docs: DataFrame, words: int, alike: DataFrame | None = None) -> DataFrame:
+    """doc_id, mark, class of each row of docs (doc_id, text); alike: mark, other, guesses at what is similar, which are verified first."""
     with common.freed_shuffles(docs.sparkSession):
         rows = common.stored(shapes(docs, words))
-        joined = common.components(links(docs, words, rows)).select(F.col("node").alias("shape"), "component")
+        guessed = None
+        if alike is not None:
+            of = rows.select("mark", "shape").distinct()
+            both = alike.where("mark <> other").join(of.withColumnRenamed("shape", "a"), "mark").join(of.select(F.col("mark").alias("other"), F.col("shape").alias("b")), "other").where("a <> b")
+            guessed = both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        joined = common.components(links(docs, words, rows, guessed)).select(F.col("node").alias("shape"), "component")
     return rows.join(joined, "shape", "left").select("doc_id", "mark", F.coalesce("component", "shape").alias("class"))

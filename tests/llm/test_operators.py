@@ -393,6 +393,46 @@ def test_near_stage_links_all_of_similarity_four_fifths(spark, odd, docs, monkey
     assert corpus_pipeline.near_stage(spark, odd.where("false"), SMALL).collect() == []
 
 
+def test_near_stage_takes_simhash_first_and_checks_it(spark, monkeypatch):
+    long, short = [f"w{i}" for i in range(20_000)], [f"v{i}" for i in range(12)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long, "more"])), (3, " ".join(short)), (4, " ".join(short[::-1])), (5, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, checked = [], resemblance.similar
+
+    def similar(met, held):
+        found = checked(met, held)
+        seen.append((met.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(resemblance, "similar", similar)
+    monkeypatch.setattr(resemblance, "pairs", lambda *_: pytest.fail("what SimHash linked is paired again"))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, table, SMALL).collect()) == [1, 3, 4, 5]
+    assert seen == [(1, 1)]
+
+
+def test_pairs_of_near_stage_grow_as_the_table(spark, monkeypatch):
+    made, paired = {}, resemblance.pairs
+
+    def counted(left, right, *also):
+        found = paired(left, right, *also)
+        made[n] = made.get(n, 0) + found.count()
+        return found
+
+    monkeypatch.setattr(resemblance, "pairs", counted)
+    hot = [f"h{x}" for x in range(100)]
+    for n in (40, 160):  # texts that share 80 of 100 shingles with all others, so their similarity is 0.7
+        table = spark.createDataFrame([(i, " ".join(hot[:84] + [f"u{i}x{j}" for j in range(16)])) for i in range(n)], "doc_id long, text string")
+        assert corpus_pipeline.near_stage(spark, table, SMALL).count() == n
+    assert made[160] <= 5 * made[40]
+
+
+def test_buckets_of_the_same_sets_are_one(spark):
+    members = spark.createDataFrame([(k, s, 10, (k + s) % 4) for k in range(4) for s in (1, 2)] + [(9, s, 10, 0) for s in (1, 2, 3)], "key long, shape long, n int, at int")
+    got = resemblance.merged(members).collect()
+    assert sorted((r.size, r.shape, r.n, r["at"]) for r in got) == [(2, 1, 10, 0), (2, 2, 10, 0), (3, 1, 10, 0), (3, 2, 10, 0), (3, 3, 10, 0)]
+    assert len({r.key for r in got}) == 2
+
+
 def test_search_of_whole_texts_is_exact(spark, monkeypatch):
     rows = [(r.doc_id, r.text) for r in common.documents(spark, SMALL).collect()]
     monkeypatch.setattr(search, "SHARD_DOCS", 60)
