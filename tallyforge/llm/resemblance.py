@@ -232,6 +232,8 @@ def links(docs: DataFrame, words: int, known: DataFrame | None = None, guessed:
         if turn < ROUNDS:
             new = pairs(large, split.where(F.col("size") > SMALL), "l.class <> r.class")
         else:  # sketches go to the buckets, so that the pairs of dissimilar sets, whose number grows with the square of a bucket, are never made
+            # buckets of one hub are one, with the first of a set's places: what shares many members of long texts meets once for each hub
+            large = large.join(split.select("key", F.col("shape").alias("of")), "key").groupBy(F.col("of").alias("key"), "shape").agg(F.min("n").alias("n"), F.min("at").alias("at"), F.min("class").alias("class"))
             large = common.stored(large.join(held.select("shape", "sketch").dropDuplicates(["shape"]), "shape"))
             new = pairs(large, large, "l.class <> r.class", "l.shape > r.shape")
         if turn == 0:

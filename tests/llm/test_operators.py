@@ -419,10 +419,10 @@ def test_pairs_of_near_stage_grow_as_the_table(spark, monkeypatch):
         return found
 
     monkeypatch.setattr(resemblance, "pairs", counted)
-    hot = [f"h{x}" for x in range(100)]
-    for n in (40, 160):  # texts that share 80 of 100 shingles with all others, so their similarity is 0.7
-        table = spark.createDataFrame([(i, " ".join(hot[:84] + [f"u{i}x{j}" for j in range(16)])) for i in range(n)], "doc_id long, text string")
-        assert corpus_pipeline.near_stage(spark, table, SMALL).count() == n
+    passages, rng = [" ".join(f"p{i}w{j}" for j in range(20)) for i in range(40)], np.random.default_rng(3)
+    for n in (40, 160):  # texts of 30 of 40 common passages: two of them share some 22
+        table = spark.createDataFrame([(i, " ".join(passages[j] for j in sorted(rng.choice(40, 30, replace=False)))) for i in range(n)], "doc_id long, text string")
+        corpus_pipeline.near_stage(spark, table, SMALL).count()
     assert made[160] <= 5 * made[40]
 
 
