@@ -76,6 +76,20 @@ def by_own_numbers(extracted: DataFrame) -> DataFrame:
     return extracted.withColumns({"fields": fields, "lines": F.transform("lines", row)})
 
 
+def confirmed(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row for each cell whose agreement by_own_numbers() sets where it was false: key, line_no (0 for fields), name, confidence."""
+    both = by_own_numbers(extracted.withColumns({"own_fields": F.col("fields"), "own_lines": F.col("lines")}))
+
+    def changed(line: Column, before: Column, after: Column) -> Column:
+        # cells that are as they were are left out before their line and name are put to them
+        new = F.map_filter(after, lambda name, c: c["agreement"] & ~F.try_element_at(before, name)["agreement"])
+        return F.transform(F.map_entries(new), lambda e: F.struct(line.alias("line_no"), e["key"].alias("name"), e["value"]["confidence"].alias("confidence")))
+
+    of_lines = F.zip_with("own_lines", "lines", lambda a, b: F.coalesce(changed(b["line_no"], a["cells"], b["cells"]), F.array()))
+    every = F.concat(F.coalesce(changed(F.lit(0), F.col("own_fields"), F.col("fields")), F.array()), F.coalesce(F.flatten(of_lines), F.array()))
+    return both.select(key, F.inline(every))
+
+
 def closing_total(extracted: DataFrame, candidates: str) -> DataFrame:
     """E-08: where sub-total and tax don't give the grand total, the first printed amount that they do give. candidates: column, array of struct(page, text) of what is labelled as a grand total."""
     f = F.col("fields")
